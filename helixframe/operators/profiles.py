@@ -288,3 +288,36 @@ def conditional_cells(counts: DataFrame, bins: int = 5) -> DataFrame:
 def min_ic_filter(totals: DataFrame, threshold: float = 10.0) -> DataFrame:
     """Matrices whose total information reaches ``threshold`` bits."""
     return totals.where(F.col("total_ic") >= threshold)
+
+
+def profile_from_aligned(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Residue frequency per position, within the group and over all rows.
+
+    ``text`` holds aligned strings of one length per group.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    whole = rows.agg(F.count(F.lit(1)).alias("_whole"))
+    cells = (
+        rows.select(key, F.posexplode(F.split(text, "")).alias("_p", "base"))
+        .groupBy(key, (F.col("_p") + 1).alias("pos"), "base")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    return cells.join(sizes, key).select(
+        key, "pos", "base", (F.col("_n") / F.col("_size")).alias("freq"), (F.col("_n") / whole.scalar()).alias("freq_overall")
+    )
+
+
+def residue_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Long residue counts of aligned protein rows."""
+    return (
+        rows.where(F.length(text) > 0)
+        .select(key, F.posexplode(F.split(text, "")).alias("_p", "res"))
+        .groupBy(key, (F.col("_p") + 1).alias("pos"), "res")
+        .agg(F.count(F.lit(1)).cast("double").alias("n"))
+    )
+
+
+def residue_information(residues: DataFrame, key: str) -> DataFrame:
+    """``log2 20 + sum f log2 f`` per position, from sums alone: no window is needed."""
+    logs = residues.groupBy(key, "pos").agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return logs.select(key, "pos", (F.log2(F.lit(20.0)) + F.col("s") / F.col("w") - F.log2("w")).alias("ic"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import profiles
 from helixframe.operators.selection import select_listed
+from helixframe.plans.comparison import score_table
 from helixframe.plans.registry import query, r6, view
 from helixframe.session import scratch_path
 from helixframe.sources import readers, writers
@@ -157,11 +158,9 @@ def src_blocks(fx):
     return readers.read_blocks(fx.spark, path)
 
 
-@query("score_dist_io", f"""SELECT len1, len2, {r6('avg(score)')} AS mean, {r6('stddev_pop(score)')} AS sd, count(*) AS n,
+@query("score_dist_io", f"""SELECT CAST(len1 AS INT) AS len1, CAST(len2 AS INT) AS len2, {r6('avg(score)')} AS mean, {r6('stddev_pop(score)')} AS sd, count(*) AS n,
     {r6('min(score)')} AS min, {r6('max(score)')} AS max FROM pair_scores_both GROUP BY 1,2""")
 def score_dist_io(fx):
-    from helixframe.plans.comparison import score_table
-
     path = scratch_path(fx.spark, "scores")
     score_table(fx).write.csv(path, sep="\t")
     return readers.read_score_table(fx.spark, path)
