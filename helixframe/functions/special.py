@@ -3,34 +3,21 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add, mul
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 SHIFT = 8
 
 
-def lgamma(x: Column) -> Column:
-    """Log gamma for positive arguments: shifted Stirling series, JVM-side."""
-    y = x + SHIFT
-    series = (
-        (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi)
-        + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
-        - 1 / (1680 * F.pow(y, F.lit(7))) + 1 / (1188 * F.pow(y, F.lit(9)))
-    )
-    return series - F.log(reduce(mul, [x + k for k in range(SHIFT)]))
-
-
-def digamma(x: Column) -> Column:
-    """Derivative of ``lgamma`` for positive arguments."""
-    y = x + SHIFT
-    z = 1 / (y * y)
-    series = F.log(y) - 1 / (2 * y) - z / 12 + z * z / 120 - z * z * z / 252 + z * z * z * z / 240 - z * z * z * z * z / 132
-    return series - reduce(add, [1 / (x + k) for k in range(SHIFT)])
+def lgamma_sql(x: str) -> str:
+    """SQL text of log gamma for a positive argument: shifted Stirling series."""
+    y = f"({x} + {SHIFT})"
+    rising = " * ".join(f"({x} + {k})" for k in range(SHIFT))
+    tail = f"(1 / 12D - (1 / 360D - (1 / 1260D - (1 / 1680D - 1 / 1188D / {y} / {y}) / {y} / {y}) / {y} / {y}) / {y} / {y}) / {y}"
+    return f"(({y} - 0.5D) * ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}D + {tail} - ln({rising}))"
 
 
 def lgamma_array(x: np.ndarray) -> np.ndarray:

@@ -8,9 +8,9 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from helixframe.functions.special import digamma_array, lgamma, lgamma_array
+from helixframe.functions.special import digamma_array, lgamma_array, lgamma_sql
 from helixframe.operators.profiles import BASES
 from helixframe.session import cut_lineage
 
@@ -26,20 +26,16 @@ class Component:
 def log_weights(columns: DataFrame, components: DataFrame) -> DataFrame:
     """Joint log weight of every column row with every component ``(k, pmix, a_a, a_c, a_g, a_t)``.
 
-    The components ride along as one array value, so no row is shuffled for them.
+    The components ride along as one array value, so no row is shuffled for them;
+    the part that does not depend on the row is worked out once per component.
     """
-    packed = components.agg(F.array_sort(F.collect_list(F.struct("k", "pmix", *[f"a_{b}" for b in BASES]))).alias("_mix"))
-    return columns.withColumn("_mix", packed.scalar()).withColumn("_lw", F.transform("_mix", _log_weight))
-
-
-def _log_weight(m: Column) -> Column:
-    alphas = [m[f"a_{b}"] for b in BASES]
-    whole = alphas[0] + alphas[1] + alphas[2] + alphas[3]
-    depth = F.col("a") + F.col("c") + F.col("g") + F.col("t")
-    out = F.log(m["pmix"]) + lgamma(whole) - lgamma(depth + whole)
-    for b, alpha in zip(BASES, alphas):
-        out = out + lgamma(F.col(b) + alpha) - lgamma(alpha)
-    return out
+    whole = "a_a + a_c + a_g + a_t"
+    fixed = " - ".join([f"ln(pmix) + {lgamma_sql(f'({whole})')}", *[lgamma_sql(f"a_{b}") for b in BASES]])
+    prepared = components.select("k", "pmix", *[f"a_{b}" for b in BASES], F.expr(f"({whole})").alias("whole"), F.expr(fixed).alias("fixed"))
+    packed = prepared.agg(F.array_sort(F.collect_list(F.struct("*"))))
+    cells = " + ".join(lgamma_sql(f"({b} + m.a_{b})") for b in BASES)
+    weight = f"transform(_mix, m -> m.fixed + {cells} - {lgamma_sql('(a + c + g + t + m.whole)')})"
+    return columns.withColumn("_mix", packed.scalar()).withColumn("_lw", F.expr(weight))
 
 
 def responsibilities(columns: DataFrame, components: DataFrame) -> DataFrame:
@@ -50,7 +46,7 @@ def responsibilities(columns: DataFrame, components: DataFrame) -> DataFrame:
     lse = weighed.withColumn("ll", top + F.log(spread))
     return lse.select(
         *columns.columns, "ll", F.inline(F.arrays_zip(F.col("_mix").alias("m"), F.col("_lw").alias("lw")))
-    ).select(*columns.columns, "ll", F.col("m.*"), F.exp(F.col("lw") - F.col("ll")).alias("gamma"))
+    ).select(*columns.columns, "ll", "m.k", F.exp(F.col("lw") - F.col("ll")).alias("gamma"))
 
 
 def fit(counts: DataFrame, start: list[Component], max_rounds: int = 10_000, min_gain: float = 1e-6,
