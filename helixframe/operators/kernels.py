@@ -46,6 +46,20 @@ def ungapped(s):
     return *found, steps
 
 
+def contained(s):
+    """Best mean column score over the diagonals that cover the whole shorter profile."""
+    n, w1, w2 = s.shape
+    short = min(w1, w2)
+    steps = np.full((n, w1 + 1, w2 + 1), START, np.int8)
+    found = _start(n, FAR)
+    for shift in range(abs(w1 - w2) + 1):
+        di, dj = (shift, 0) if w1 >= w2 else (0, shift)
+        whole = sum(s[:, di + t, dj + t] for t in range(short))
+        _better(found, di + short, dj + short, whole)
+    steps[:, 1:, 1:] = DIAGONAL
+    return found[0] // short, found[1], found[2], steps
+
+
 def scan(s, gap_open=3.0, gap_extend=0.01):
     """One gap run at most: aligned, then an insertion or deletion, then aligned to the end."""
     n, w1, w2 = s.shape
@@ -159,6 +173,7 @@ def affine(s, gap_open=1.0, gap_extend=0.5, overlap=True, whole=False):
 
 
 METHODS = {
+    "contained": contained,
     "ungapped": ungapped,
     "scan": scan,
     "sw": linear_gap,

@@ -19,4 +19,7 @@ def grid_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, s
     lanes = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     a = left.withColumn("_row", F.pmod(F.xxhash64(left_id), F.lit(side)).cast("int")).withColumn("_col", lanes)
     b = right.withColumn("_col", F.pmod(F.xxhash64(right_id), F.lit(side)).cast("int")).withColumn("_row", lanes)
-    return a.join(b, ["_row", "_col"]).drop("_row", "_col")
+    # A fixed partition count: the join makes far more rows than it reads, so the
+    # cells must not be merged by the size of their input.
+    cells = side * side
+    return a.repartition(cells, "_row", "_col").join(b.repartition(cells, "_row", "_col"), ["_row", "_col"]).drop("_row", "_col")

@@ -27,17 +27,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once on shared storage; later stages restart from there."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one written table."""
     return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back.
+
+    Later stages restart from the written table, also after executor loss, and
+    the planner sees its real size.  A written table is used rather than
+    ``checkpoint()`` because that keeps the constraints of the old plan, which
+    pile up over the rounds of an iterative job.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def grid_side(spark: SparkSession) -> int:
     """Side of the task grid used for all-pairs work: side**2 is about one shuffle's width."""
     return max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
