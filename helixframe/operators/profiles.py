@@ -62,6 +62,19 @@ def log_odds(frequencies: DataFrame, background=UNIFORM) -> DataFrame:
     )
 
 
+def scan_pwm(counts: DataFrame, background=UNIFORM) -> DataFrame:
+    """Log-odds for sequence scanning, with a pseudocount of ``sqrt(total)`` per column.
+
+    The small weight of ``pseudo_frequencies`` would put one unseen base some 17
+    bits down and make every relative threshold meaningless.
+    """
+    whole = total()
+    root = F.sqrt(whole)
+    return counts.select(
+        "matrix_id", "pos", *[F.log2((F.col(b) + root * p) / (whole + root) / p).alias(b) for b, p in zip(BASES, background)]
+    )
+
+
 def counts_of(frequencies: DataFrame, scale: int = COUNT_SCALE) -> DataFrame:
     return frequencies.select(
         "matrix_id", "pos", *[F.floor(F.col(b) * scale).cast("double").alias(b) for b in BASES]

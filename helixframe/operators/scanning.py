@@ -40,6 +40,15 @@ def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
+def composition(sequences: DataFrame) -> tuple[float, ...]:
+    """Share of each base over all sequences: four numbers from one aggregate."""
+    row = sequences.agg(
+        *[F.sum(F.length("seq") - F.length(F.translate("seq", b.upper(), ""))).alias(b) for b in BASES],
+        F.sum(F.length("seq")).alias("whole"),
+    ).first()
+    return tuple(row[b] / row["whole"] for b in BASES)
+
+
 def pack_pwm(pwm: DataFrame) -> DataFrame:
     """One row per matrix: width, cells in whole millionths (four per column) and attainable range."""
     units = [F.round(F.col(b) * UNIT).cast("bigint").alias(b) for b in BASES]
@@ -291,3 +300,12 @@ def sensitivity(known: DataFrame, hits: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("found")).withColumn("known", known.agg(F.count(F.lit(1))).scalar()).select(
         "known", "found", (F.col("found") / F.col("known")).alias("share")
     )
+
+
+def conservation_rate(reference: DataFrame, other: DataFrame) -> DataFrame:
+    """Occurrences ``(seq_id, matrix_id, apos)`` that the other species has at the same alignment position, per matrix."""
+    keys = ["seq_id", "matrix_id", "apos"]
+    met = reference.join(other.select(*keys, F.lit(1).alias("_c")), keys, "left")
+    return met.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n"), F.count("_c").alias("conserved")).withColumn(
+        "rate", F.col("conserved") / F.col("n")
+    )
