@@ -25,7 +25,7 @@ def _query_gap(prev_start, prev_end):
 def chain_runs(blocks: DataFrame, gap: int) -> DataFrame:
     """Blocks with ``chain_id``: neighbours in target order chain while both gaps are within ``gap``."""
     held = blocks.withColumn("_b", F.struct("t_end", "q_start", "q_end"))
-    prev = prefix_scan(held, LANE, [F.col("t_start"), F.col("block_id")], _p=("lag", "_b"))
+    prev = prefix_scan(held, LANE, [F.col("t_start"), F.col("block_id")], keep_range=True, _p=("lag", "_b"))
     t_gap = F.col("t_start") - F.col("_p.t_end")
     q_gap = _query_gap(F.col("_p.q_start"), F.col("_p.q_end"))
     joins = F.coalesce((t_gap >= 0) & (t_gap <= gap) & (q_gap >= 0) & (q_gap <= gap), F.lit(False))
@@ -194,7 +194,7 @@ def net_pieces(ranked: DataFrame, chained: DataFrame) -> DataFrame:
 def number_fills(pieces: DataFrame) -> DataFrame:
     """Adds ``fill``: touching pieces with the same owner, level and parent share a number per target."""
     held = pieces.withColumn("_k", F.struct("end", "rk", "level", "parent"))
-    prev = prefix_scan(held, ["t_name"], [F.col("start")], _p=("lag", "_k"))
+    prev = prefix_scan(held, ["t_name"], [F.col("start")], keep_range=True, _p=("lag", "_k"))
     same = (
         (F.col("_p.end") == F.col("start")) & (F.col("_p.rk") == F.col("rk")) & (F.col("_p.level") == F.col("level"))
         & F.col("_p.parent").eqNullSafe(F.col("parent"))

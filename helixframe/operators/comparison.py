@@ -203,7 +203,7 @@ def fp_curve(scored: DataFrame, window: int) -> DataFrame:
     on the row number, so no task needs the whole ordering.
     """
     hits = scored.withColumn("_tp", F.col("label").cast("bigint"))
-    ranked = prefix_scan(hits, [], [desc("score"), F.col("id")], rn=("rank", None), tp=("sum", "_tp"))
+    ranked = prefix_scan(hits, [], [desc("score"), F.col("id")], keep_range=True, rn=("rank", None), tp=("sum", "_tp"))
     curve = ranked.withColumn("fp", F.col("rn") - F.col("tp")).withColumn("fp_rate", F.col("fp") / F.col("rn") * 100)
     summed = prefix_scan(curve, [], [F.col("rn")], _s=("sum", "fp_rate"))
     back = summed.select((F.col("rn") + window + 1).alias("rn"), F.col("_s").alias("_b"))

@@ -18,7 +18,8 @@ from helixframe.session import cut_lineage
 KINDS = ("rank", "sum", "max_before", "last", "lag")
 
 
-def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | tuple[Column, str]], **outs: tuple[str, str | None]) -> DataFrame:
+def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | tuple[Column, str]], keep_range: bool = False,
+                **outs: tuple[str, str | None]) -> DataFrame:
     """Add running columns.  ``outs`` maps a new column to ``(kind, column)``.
 
     ``rank``        1-based row number inside the key (column is None)
@@ -28,6 +29,8 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | tuple
     ``lag``         value of the row before
 
     ``order`` must order the rows of a key totally; wrap a key in ``desc`` to reverse it.
+    ``keep_range`` leaves the range number in the result, so that a second scan
+    over the same key and order runs on it without partitioning again.
     """
     by = list(by)
     for kind, _ in outs.values():
@@ -36,11 +39,14 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | tuple
     keys = [o if isinstance(o, tuple) else (o, "asc") for o in order]
     keyed = df.select("*", *[o.alias(f"_o{i}") for i, (o, _) in enumerate(keys)])
     directions = [F.col(f"_o{i}").desc() if d == "desc" else F.col(f"_o{i}").asc() for i, (_, d) in enumerate(keys)]
-    # The range number is stored with the rows, so every later stage and every
-    # retried task sees the same assignment.
-    ranged = cut_lineage(
-        keyed.repartitionByRange(*[F.col(c) for c in by], *directions).withColumn("_range", F.spark_partition_id())
-    )
+    if "_range" in df.columns:
+        ranged = keyed
+    else:
+        # The range number is stored with the rows, so every later stage and
+        # every retried task sees the same assignment.
+        ranged = cut_lineage(
+            keyed.repartitionByRange(*[F.col(c) for c in by], *directions).withColumn("_range", F.spark_partition_id())
+        )
     inside = W.partitionBy(*by, "_range").orderBy(*directions)
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
     earlier = inside.rowsBetween(W.unboundedPreceding, -1)
@@ -91,7 +97,8 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | tuple
             final.append(F.coalesce(here, before).alias(name))
         else:
             final.append(F.coalesce(here, before).getField("v").alias(name))
-    return scanned.join(carry, [*by, "_range"]).select(*df.columns, *final)
+    kept = [c for c in df.columns if c != "_range"] + (["_range"] if keep_range else [])
+    return scanned.join(carry, [*by, "_range"]).select(*kept, *final)
 
 
 def rank_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
@@ -105,7 +112,7 @@ def islands(df: DataFrame, by: Sequence[str], start: str, end: str, gap: int = 0
     Intervals are half open; touching intervals join when ``gap`` is 0.
     """
     order = [F.col(start), F.col(end), *[F.col(c) for c in df.columns if c not in (*by, start, end)]]
-    reach = prefix_scan(df, by, order, _reach=("max_before", end))
+    reach = prefix_scan(df, by, order, keep_range=True, _reach=("max_before", end))
     opened = reach.withColumn(
         "_open", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + gap), 1).otherwise(0)
     )
