@@ -47,8 +47,9 @@ def chain_best(blocks: DataFrame, max_gap: int, gap_cost: float) -> DataFrame:
 
     A link leads to a block that starts within ``max_gap`` after another on both
     sequences.  Best scores settle round by round over the link table; then each
-    block keeps its best predecessor and each predecessor its best successor, and
-    the chains are the remaining paths, named by doubling of back pointers.
+    block keeps its best predecessor and each predecessor the successor on the way
+    to the highest score, and the chains are the remaining paths, named by
+    doubling of back pointers.
     """
     end_q = F.when(F.col("strand") == "+", F.col("q_end")).otherwise(-F.col("q_start"))
     start_q = F.when(F.col("strand") == "+", F.col("q_start")).otherwise(-F.col("q_end"))
@@ -80,10 +81,17 @@ def chain_best(blocks: DataFrame, max_gap: int, gap_cost: float) -> DataFrame:
         best = cut_lineage(best.join(better, "j", "left").select("j", F.coalesce("_new", "best").alias("best")))
     b = best.select(F.col("j").alias("i"), F.col("best").alias("bi"))
     gains = links.join(b, "i").join(best.withColumnRenamed("best", "bj"), "j").withColumn("gain", F.col("bi") - F.col("cost"))
-    back = gains.where("gain > 0").groupBy("j").agg(F.max_by(F.struct("i", "bj"), F.struct("gain", -F.col("i"))).alias("m"))
-    taken = back.select("j", F.col("m.i").alias("i"), F.col("m.bj").alias("bj")).groupBy("i").agg(
-        F.max_by("j", F.struct("bj", -F.col("j"))).alias("j")
+    back = cut_lineage(
+        gains.where("gain > 0").groupBy("j").agg(F.max_by("i", F.struct("gain", -F.col("i"))).alias("i"))
     )
+    # The best score that any path through a block goes on to reach.
+    onward, jump = best.withColumnRenamed("best", "far"), back
+    while not jump.isEmpty():
+        below = jump.join(onward, "j").groupBy("i").agg(F.max("far").alias("_far")).withColumnRenamed("i", "j")
+        onward = cut_lineage(onward.join(below, "j", "left").select("j", F.greatest("far", "_far").alias("far")))
+        further = jump.select(F.col("j").alias("i"), F.col("i").alias("top"))
+        jump = cut_lineage(jump.join(further, "i").select("j", F.col("top").alias("i")))
+    taken = back.join(onward, "j").groupBy("i").agg(F.max_by("j", F.struct("far", -F.col("j"))).alias("j"))
     root = cut_lineage(
         best.select("j").join(taken, "j", "left").select("j", F.coalesce("i", "j").alias("up"))
     )

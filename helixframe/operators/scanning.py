@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.operators.profiles import BASES
 from helixframe.operators.ranges import stab
+from helixframe.session import task_count
 
 UNIT = 1_000_000
 CHUNK = 1 << 17
@@ -82,7 +83,12 @@ def pack_words(words: DataFrame) -> DataFrame:
 
 
 def chunked(sequences: DataFrame, lap: int, size: int = CHUNK) -> DataFrame:
-    """``(seq_id, offset, own, text)``: ``own`` windows start in the chunk, ``lap`` letters follow it."""
+    """``(seq_id, offset, own, text)``: ``own`` windows start in the chunk, ``lap`` letters follow it.
+
+    Chunks are dealt out evenly: what is done per letter costs far more than
+    moving it once, and neither one long sequence nor one large file part should
+    decide how long the stage takes.
+    """
     starts = F.sequence(F.lit(0), F.length("seq") - 1, F.lit(size))
     cut = sequences.where(F.length("seq") > 0).select("seq_id", "seq", F.explode(starts).alias("offset"))
     return cut.select(
@@ -90,7 +96,7 @@ def chunked(sequences: DataFrame, lap: int, size: int = CHUNK) -> DataFrame:
         F.col("offset").cast("bigint").alias("offset"),
         F.least(F.lit(size), F.length("seq") - F.col("offset")).alias("own"),
         F.substring(F.col("seq"), F.col("offset") + 1, F.lit(size + lap)).alias("text"),
-    )
+    ).repartition(task_count(sequences.sparkSession), "seq_id", "offset")
 
 
 def scan(sequences: DataFrame, library: DataFrame, percent: int = 80, both_strands: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.operators.ordered import prefix_scan, rank_rows
-from helixframe.session import cut_lineage
+from helixframe.session import cut_lineage, task_count
 
 
 class Fixtures:
@@ -142,7 +142,7 @@ class Fixtures:
         gap2 = (apos * 5 + aln) % 19 == 0
         own, other = F.substring(F.col("s1"), apos, F.lit(1)), F.substring(F.col("s2"), apos, F.lit(1))
         return (
-            self.alignment_text.repartition("aln_id")
+            self.alignment_text.repartition(task_count(self.spark), "aln_id")
             .select("aln_id", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("apos"), "s1", "s2")
             .select(
                 "aln_id",

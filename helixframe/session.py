@@ -45,6 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for stages whose work is far larger than their input, where merging small
+    shuffle partitions by size would take the parallelism away."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def grid_side(spark: SparkSession) -> int:
     """Side of the task grid used for all-pairs work: side**2 is about one shuffle's width."""
     return max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
