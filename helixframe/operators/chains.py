@@ -188,14 +188,17 @@ def net_pieces(ranked: DataFrame, chained: DataFrame) -> DataFrame:
     asks = pieces.select("t_name", "pos", "rk", F.explode(node_path(F.col("pos"), top)).alias("n")).select(
         "t_name", "n.level", "n.node", "rk", F.lit(0).alias("_chain"), F.lit(None).cast("bigint").alias("_r"), "pos"
     )
+    held = shelves.select("t_name", "level", "node").distinct()
+    asks = asks.join(held, ["t_name", "level", "node"], "left_semi").select(*shelves.columns)
     # Inside a node, the chains ranked before a piece are a running count over the ranks.
     read = prefix_scan(
         shelves.unionByName(asks), ["t_name", "level", "node"], [F.col("rk"), F.col("_chain"), F.col("pos")],
         _n=("sum", "_chain"), _best=("last", "_r"),
     )
     found = read.where("_chain = 0").groupBy("t_name", "pos").agg(F.sum("_n").alias("_better"), F.max("_best").alias("parent"))
-    return pieces.join(found, ["t_name", "pos"]).select(
-        "t_name", F.col("pos").alias("start"), "end", "rk", (F.col("_better") + 1).alias("level"), "parent"
+    level = F.coalesce("_better", F.lit(0)) + 1
+    return pieces.join(found, ["t_name", "pos"], "left").select(
+        "t_name", F.col("pos").alias("start"), "end", "rk", level.alias("level"), "parent"
     )
 
 

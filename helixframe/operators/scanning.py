@@ -177,19 +177,28 @@ def _scan_all(batches: Iterator[pd.DataFrame], profiles, kernel) -> Iterator[pd.
             local = np.arange(len(letters)) - first[place]
             owned = local < rows["own"].to_numpy()[place]
             held = {
-                "letters": letters, "codes": _CODES[letters], "place": place, "local": local, "owned": owned,
+                "letters": letters, "triples": _triples(_CODES[letters]), "place": place, "local": local, "owned": owned,
                 "seq_id": rows["seq_id"].to_numpy(), "offset": rows["offset"].to_numpy(),
             }
             yield from kernel(held, profiles)
 
 
-def _scores(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    n = len(codes) - len(table) + 1
+def _triples(codes: np.ndarray) -> np.ndarray:
+    """Each letter with the two after it as one number below 125."""
+    padded = np.concatenate([codes, [4, 4]]).astype(np.intp)
+    return padded[:-2] * 25 + padded[1:-1] * 5 + padded[2:]
+
+
+def _scores(triples: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Score of every window, three columns per lookup."""
+    n = len(triples) - len(table) + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    total = table[0][codes[:n]]
-    for j in range(1, len(table)):
-        total += table[j][codes[j:j + n]]
+    total = np.zeros(n, np.int64)
+    for j in range(0, len(table), 3):
+        three = np.zeros((3, 5), np.int64)
+        three[:len(table) - j] = table[j:j + 3]
+        total += (three[0][:, None, None] + three[1][None, :, None] + three[2]).ravel().take(triples[j:j + n])
     return total
 
 
@@ -200,7 +209,7 @@ def _strands(given, turned, both):
 def _hits(held, profiles, percent, both):
     for name, low, high, given, turned in profiles:
         for strand, table in _strands(given, turned, both):
-            score = _scores(held["codes"], table)
+            score = _scores(held["triples"], table)
             at = np.nonzero(((score - low) * 100 >= percent * (high - low)) & held["owned"][:len(score)])[0]
             if not len(at):
                 continue
@@ -219,19 +228,22 @@ def _hits(held, profiles, percent, both):
 
 
 def _counts(held, profiles, percents, both):
-    rows = len(held["seq_id"])
+    rows, levels = len(held["seq_id"]), np.sort(np.asarray(percents, np.int64))
     for name, low, high, given, turned in profiles:
+        # Smallest score that reaches each level.
+        cuts = low + -(-levels * (high - low) // 100)
+        reached = np.zeros((rows, len(levels) + 1), np.int64)
         for _, table in _strands(given, turned, both):
-            score = _scores(held["codes"], table)
-            owned = held["owned"][:len(score)]
-            for percent in percents:
-                at = ((score - low) * 100 >= percent * (high - low)) & owned
-                n = np.bincount(held["place"][:len(score)][at], minlength=rows)
-                seen = np.nonzero(n)[0]
-                if len(seen):
-                    yield pd.DataFrame({
-                        "seq_id": held["seq_id"][seen], "matrix_id": name, "level": np.int32(percent), "n": n[seen],
-                    })
+            score = _scores(held["triples"], table)
+            at = np.nonzero((score >= cuts[0]) & held["owned"][:len(score)])[0]
+            slot = held["place"][at] * (len(levels) + 1) + np.searchsorted(cuts, score[at], side="right")
+            reached += np.bincount(slot, minlength=reached.size).reshape(reached.shape)
+        n = reached[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+        row, level = np.nonzero(n)
+        if len(row):
+            yield pd.DataFrame({
+                "seq_id": held["seq_id"][row], "matrix_id": name, "level": levels[level].astype("int32"), "n": n[row, level],
+            })
 
 
 # ---- site sets --------------------------------------------------------------------------

@@ -53,7 +53,9 @@ def pwm(fx):
 
 
 def library(fx):
-    return s.pack_pwm(pwm(fx))
+    if "library" not in fx.kept:
+        fx.kept["library"] = cut_lineage(s.pack_pwm(pwm(fx)))
+    return fx.kept["library"]
 
 
 def hits(fx):
