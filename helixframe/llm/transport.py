@@ -22,7 +22,7 @@ through, new columns replace those of the same name.
 from __future__ import annotations
 
 import struct
-import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,7 @@ def padded(data: bytes, block: int = 64) -> bytes:
     return data.ljust(max(1, -(-len(data) // block)) * block, b"\0")
 
 
+@lru_cache(maxsize=1024)  # tables repeat
 def _section_crc(data: bytes) -> int:
     """The most-significant-bit-first CRC-32 of table sections."""
     register = 0xFFFFFFFF
