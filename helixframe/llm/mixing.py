@@ -56,7 +56,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, budget: int = BUDGET, pass
     run = cut_lineage(run)
     total = run.agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.sum("source_size").alias("size")).first()
     if total["size"]:
-        room = F.lit(total["size"]) * budget / 100 - (F.col("cap_upto") - F.col("cap"))
+        room = F.lit(float(total["size"])) * budget / 100 - (F.col("cap_upto") - F.col("cap"))
         level = room / (F.lit(total["weight"]) - (F.col("weight_upto") - F.col("weight")))
         first = run.select("ratio", "rank", level.alias("level")).where("level <= ratio").orderBy("ratio", "rank").first()
         share = F.col("weight") * F.lit(first["level"] if first else float("inf"))
