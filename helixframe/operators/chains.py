@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.operators.ordered import desc, islands, prefix_scan, rank_rows
-from helixframe.operators.ranges import merge_intervals, node_cover, node_path, stab, top_level
+from helixframe.operators.ranges import merge_intervals, node_cover, node_path, stab, used_levels
 from helixframe.session import cut_lineage
 
 LANE = ["t_name", "q_name", "strand"]
@@ -36,14 +36,16 @@ def chain_runs(blocks: DataFrame, gap: int) -> DataFrame:
 
 
 def chain_table(chained: DataFrame) -> DataFrame:
+    """One row per chain; the score is that of the blocks less the ``link_cost`` of the gaps, where there is one."""
+    paid = F.sum("score") - F.sum("link_cost") if "link_cost" in chained.columns else F.sum("score")
     return chained.groupBy("chain_id", *LANE).agg(
         F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.min("q_start").alias("q_start"),
-        F.max("q_end").alias("q_end"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("blocks"),
+        F.max("q_end").alias("q_end"), paid.alias("score"), F.count(F.lit(1)).alias("blocks"),
     )
 
 
 def chain_best(blocks: DataFrame, max_gap: int, gap_cost: float) -> DataFrame:
-    """Blocks with ``chain_id`` from highest-scoring colinear chains with a linear gap cost.
+    """Blocks with ``chain_id`` and ``link_cost`` from highest-scoring colinear chains with a linear gap cost.
 
     A link leads to a block that starts within ``max_gap`` after another on both
     sequences.  Best scores settle round by round over the link table; then each
@@ -101,7 +103,11 @@ def chain_best(blocks: DataFrame, max_gap: int, gap_cost: float) -> DataFrame:
         root = moved.select("j", "up")
         if moved.where("ch").isEmpty():
             break
-    return blocks.join(root.select(F.col("j").alias("block_id"), F.col("up").alias("chain_id")), "block_id")
+    paid = taken.join(links, ["i", "j"]).select("j", "cost")
+    named = root.join(paid, "j", "left").select(
+        F.col("j").alias("block_id"), F.col("up").alias("chain_id"), F.coalesce("cost", F.lit(0.0)).alias("link_cost")
+    )
+    return blocks.join(named, "block_id")
 
 
 def covered_share(chains: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -181,11 +187,11 @@ def net_pieces(ranked: DataFrame, chained: DataFrame) -> DataFrame:
     owned = stab(points, closed, ["t_name"], "pos", "t_start", "_last", rk=("min", "rk"))
     pieces = cut_lineage(prefix_scan(owned, ["t_name"], [desc("pos")], end=("lag", "pos")).where("rk IS NOT NULL"))
     spans = spans.withColumn("_last", F.col("t_end") - 1)
-    top = top_level(spans, "t_start", "_last")
+    levels = used_levels(spans, "t_start", "_last")
     shelves = spans.select("t_name", F.explode(node_cover(F.col("t_start"), F.col("_last"))).alias("n"), "rk").select(
         "t_name", "n.level", "n.node", "rk", F.lit(1).alias("_chain"), F.col("rk").alias("_r"), F.lit(-1).cast("bigint").alias("pos")
     )
-    asks = pieces.select("t_name", "pos", "rk", F.explode(node_path(F.col("pos"), top)).alias("n")).select(
+    asks = pieces.select("t_name", "pos", "rk", F.explode(node_path(F.col("pos"), levels)).alias("n")).select(
         "t_name", "n.level", "n.node", "rk", F.lit(0).alias("_chain"), F.lit(None).cast("bigint").alias("_r"), "pos"
     )
     held = shelves.select("t_name", "level", "node").distinct()

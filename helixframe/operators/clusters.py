@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helixframe.functions.metrics import pcc
 from helixframe.operators.profiles import BASES, MIN_INFO, information, total
-from helixframe.session import cut_lineage
+from helixframe.session import cut_lineage, task_count
 
 CORE_COLUMNS, EDGE_WINDOW = 6, 4  # fixed values: shortest familial profile, protected window
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
@@ -68,6 +68,11 @@ def upgma(distances: DataFrame) -> DataFrame:
         )
         kept = nodes.join(gone.select("grp", F.col("old").alias("node")), ["grp", "node"], "left_anti")
         nodes = cut_lineage(kept.unionByName(joined.select(*nodes.columns)))
+    if not merged:  # no pairs, no merges
+        return distances.select("grp").limit(0).select(
+            "grp", F.lit(0).alias("step"), *[F.lit("").alias(c) for c in ("node", "left", "right")],
+            F.lit(0.0).alias("height"), F.lit(0).cast("bigint").alias("members"), F.lit("").alias("newick"),
+        )
     everything = reduce(DataFrame.unionByName, merged)
     step = F.row_number().over(W.partitionBy("grp").orderBy("height", "round", "node"))
     return everything.withColumn("step", step).drop("round")
@@ -100,16 +105,22 @@ def leaf_closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return found.select(*keys, F.col("x").alias("node"), "leaf")
 
 
-def cut_tree(merges: DataFrame, closure: DataFrame, cuts: DataFrame) -> DataFrame:
+def cut_tree(merges: DataFrame, closure: DataFrame, cuts: Sequence[tuple[int, Column]]) -> DataFrame:
     """Cluster of every leaf when the tree is cut into ``k`` clusters.
 
     ``merges(node, step)`` counts steps from 1; a cut at ``k`` undoes the last
     ``k - 1`` of them, so the cluster is the last ancestor merged before that.
-    ``cuts(k, last_step)`` lists the wanted cuts.
+    ``cuts`` lists the wanted cuts as ``(k, last step)``.  An ancestor holds its
+    leaf from its own step until the next ancestor's, so every cut picks one row.
     """
     placed = closure.join(merges.select("node", "step"), "node", "left").withColumn("step", F.coalesce("step", F.lit(0)))
-    lasting = placed.join(F.broadcast(cuts), F.col("step") <= F.col("last_step"))
-    return lasting.groupBy("k", "leaf").agg(F.max_by("node", "step").alias("cluster"))
+    spans = placed.withColumn("_next", F.lead("step").over(W.partitionBy("leaf").orderBy("step")))
+    spans = spans.withColumns({f"_c{k}": last for k, last in cuts})
+    picked = F.array(*[
+        F.when((F.col("step") <= F.col(f"_c{k}")) & (F.col("_next").isNull() | (F.col("_next") > F.col(f"_c{k}"))), F.lit(k))
+        for k, _ in cuts
+    ])
+    return spans.select("leaf", F.col("node").alias("cluster"), F.explode(picked).alias("k")).where("k IS NOT NULL").select("k", "leaf", "cluster")
 
 
 def calinski_harabasz(membership: DataFrame, distances: DataFrame) -> DataFrame:
@@ -170,7 +181,11 @@ def leave_one_out(members: DataFrame) -> DataFrame:
     sums = members.groupBy("cluster", "pos").agg(*[F.sum(b).alias(f"s_{b}") for b in BASES], F.count(F.lit(1)).alias("n"))
     sizes = members.select("matrix_id", "cluster").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     tested = members.join(sizes, "cluster").where("size > 1").drop("size")
-    met = tested.join(sums.withColumnRenamed("cluster", "rival"), "pos")
+    # Few positions are there to join on, so the members are dealt into lanes and the profiles repeated in each.
+    lanes = task_count(members.sparkSession)
+    dealt = tested.withColumn("_lane", F.pmod(F.xxhash64("matrix_id"), F.lit(lanes)).cast("int"))
+    rivals = sums.withColumnRenamed("cluster", "rival").withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    met = dealt.join(rivals, ["pos", "_lane"])
     own = F.col("rival") == F.col("cluster")
     left = [F.when(own, F.col(f"s_{b}") - F.col(b)).otherwise(F.col(f"s_{b}")).alias(f"r_{b}") for b in BASES]
     present = F.col("n") - F.when(own, 1).otherwise(0)

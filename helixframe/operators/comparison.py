@@ -14,8 +14,9 @@ from helixframe.functions.metrics import METRICS, pcc
 from helixframe.functions.special import normal_cdf_udf
 from helixframe.operators import kernels
 from helixframe.operators.ordered import desc, prefix_scan
-from helixframe.operators.pairing import grid_pairs
+from helixframe.operators.pairing import grid_pairs, unordered_pairs
 from helixframe.operators.profiles import BASES, PSEUDO, total
+from helixframe.session import task_count
 
 # Length classes of the score statistics and the distance floor.
 MIN_LEN, MAX_LEN = 5, 24
@@ -49,13 +50,15 @@ def pack(counts: DataFrame) -> DataFrame:
 
 def pair_up(left: DataFrame, right: DataFrame | None = None, include_self: bool = True) -> DataFrame:
     """Packed profiles side by side.  Without ``right``, each unordered pair once."""
-    a = left.select(F.col("matrix_id").alias("a"), F.col("n").alias("n1"), F.col("f").alias("f1"))
-    other = left if right is None else right
-    b = other.select(F.col("matrix_id").alias("b"), F.col("n").alias("n2"), F.col("f").alias("f2"))
-    pairs = grid_pairs(a, b, "a", "b")
     if right is None:
-        pairs = pairs.where((F.col("a") <= F.col("b")) if include_self else (F.col("a") < F.col("b")))
-    return pairs
+        pairs = unordered_pairs(left.select("matrix_id", "n", "f"), "matrix_id", include_self)
+        return pairs.select(
+            F.col("lo.matrix_id").alias("a"), F.col("lo.n").alias("n1"), F.col("lo.f").alias("f1"),
+            F.col("hi.matrix_id").alias("b"), F.col("hi.n").alias("n2"), F.col("hi.f").alias("f2"),
+        )
+    a = left.select(F.col("matrix_id").alias("a"), F.col("n").alias("n1"), F.col("f").alias("f1"))
+    b = right.select(F.col("matrix_id").alias("b"), F.col("n").alias("n2"), F.col("f").alias("f2"))
+    return grid_pairs(a, b, "a", "b")
 
 
 def align_pairs(pairs: DataFrame, method: str = "ungapped", metric: str = "pcc", paths: bool = False, **options) -> DataFrame:
@@ -244,9 +247,14 @@ def assign_nearest(profile: DataFrame, clusters: DataFrame) -> DataFrame:
     """Cluster profile with the highest mean column correlation per matrix, on aligned positions.
 
     Columns meet on their position, so only columns that overlap are compared.
+    Few positions are there to join on, so the matrices are dealt into lanes and
+    the cluster profiles repeated in each.
     """
-    mine = profile.select("matrix_id", "pos", *[F.col(b).alias(f"m_{b}") for b in BASES])
-    scored = mine.join(clusters, "pos").select(
+    lanes = task_count(profile.sparkSession)
+    lane = F.pmod(F.xxhash64("matrix_id"), F.lit(lanes)).cast("int")
+    mine = profile.select("matrix_id", "pos", lane.alias("_lane"), *[F.col(b).alias(f"m_{b}") for b in BASES])
+    every = clusters.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    scored = mine.join(every, ["pos", "_lane"]).select(
         "matrix_id", "cluster",
         F.round(pcc([F.col(f"m_{b}") for b in BASES], [F.col(b) for b in BASES]), 9).alias("s"),
     )

@@ -12,6 +12,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from helixframe.operators.ranges import stab
 from helixframe.operators.scanning import revcomp
 
 MIN_VIEW = 500  # fixed value: narrowest default view
@@ -84,12 +85,13 @@ def conserved_regions(profile: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def paired_sites(hits1: DataFrame, hits2: DataFrame, index: DataFrame, profile: DataFrame, cutoffs: DataFrame,
-                 compat: bool = False) -> DataFrame:
+                 compat: bool = False, orfs: DataFrame | None = None) -> DataFrame:
     """Hits of the same matrix and strand order at the same alignment position in both sequences.
 
     Hits of a matrix at one position pair off in order.  The conservation at the
     start in the first sequence must reach the cutoff; ``compat`` reads the
-    conservation of the next base instead.
+    conservation of the next base instead.  With ``orfs(aln_id, f_start, f_end)``
+    pairs that start inside one of them in the first sequence are left out.
     """
     def placed(hits: DataFrame, p: str) -> DataFrame:
         where = index.where(F.col(p).isNotNull()).select("aln_id", "apos", F.col(p).alias("start"))
@@ -101,7 +103,11 @@ def paired_sites(hits1: DataFrame, hits2: DataFrame, index: DataFrame, profile:
     columns = ["start", "end", "strand", "score", "site"]
     one = kept.select("aln_id", "apos", "matrix_id", "_rn", *[F.col(c).alias(f"{c}1") for c in columns])
     two = placed(hits2, "p2").select("aln_id", "apos", "matrix_id", "_rn", *[F.col(c).alias(f"{c}2") for c in columns])
-    return one.join(two, ["aln_id", "apos", "matrix_id", "_rn"]).drop("_rn")
+    pairs = one.join(two, ["aln_id", "apos", "matrix_id", "_rn"]).drop("_rn")
+    if orfs is None:
+        return pairs
+    inside = stab(pairs, orfs.withColumn("_one", F.lit(1)), ["aln_id"], "start1", "f_start", "f_end", _in=("max", "_one"))
+    return inside.where("_in IS NULL").drop("_in")
 
 
 def overlap_span(index: DataFrame, least: int = MIN_VIEW) -> DataFrame:

@@ -27,6 +27,8 @@ PRESETS = [
     ("far", 400, 30, 2200, 6000, 5000, "loose"),
 ]
 SEED = "1110100110010101111"
+# Target places of a word beyond which it starts no seed.
+MASKING = {"near": 254, "medium": 50, "far": 50}
 
 
 def presets(spark: SparkSession) -> DataFrame:
@@ -208,48 +210,59 @@ def seed_words(sequences: DataFrame, piece: int = 512) -> DataFrame:
     return at.select("seq_id", (F.col("offset") + F.col("i")).alias("pos"), word.alias("word"))
 
 
+def both_strands(sequences: DataFrame) -> DataFrame:
+    """``(seq_id, strand, seq)``: every sequence as given (1) and reverse-complemented (-1)."""
+    turned = F.reverse(F.translate("seq", "ACGT", "TGCA"))
+    forms = F.array(F.struct(F.lit(1).alias("strand"), F.col("seq")), F.struct(F.lit(-1).alias("strand"), turned.alias("seq")))
+    return sequences.select("seq_id", F.inline(forms))
+
+
 def seed_matches(targets: DataFrame, queries: DataFrame, masking: int, transition: bool = False) -> DataFrame:
-    """Positions of target and query that share a spaced word.
+    """Positions of target and query, on either strand of the query, that share a spaced word.
 
     Words at more than ``masking`` target positions are left out, as in the
     aligner option of that name.  ``transition`` also accepts one A-G or C-T change.
+    On strand -1 ``q_pos`` counts on the reverse complement.
     """
     t = seed_words(targets)
     rare = t.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= masking).select("word")
     t = t.join(rare, "word").select("word", F.col("seq_id").alias("t_id"), F.col("pos").alias("t_pos"))
-    q = seed_words(queries).select("word", F.col("seq_id").alias("q_id"), F.col("pos").alias("q_pos"))
+    forms = both_strands(queries)
+    words = [seed_words(forms.where(F.col("strand") == s)).withColumn("strand", F.lit(s)) for s in (1, -1)]
+    q = words[0].unionByName(words[1]).select("word", F.col("seq_id").alias("q_id"), "strand", F.col("pos").alias("q_pos"))
     if transition:
         flips = [
             F.concat(F.substring("word", 1, i), F.translate(F.substring("word", i + 1, 1), "AGCT", "GATC"), F.substring("word", i + 2, 12))
             for i in range(SEED.count("1"))
         ]
-        q = q.select(F.explode(F.array("word", *flips)).alias("word"), "q_id", "q_pos")
-    return t.join(q, "word").select("t_id", "t_pos", "q_id", "q_pos")
+        q = q.select(F.explode(F.array("word", *flips)).alias("word"), "q_id", "strand", "q_pos")
+    return t.join(q, "word").select("t_id", "t_pos", "q_id", "strand", "q_pos")
 
 
-HSP = "t_id bigint, q_id bigint, diag bigint, t_start bigint, t_end bigint, score bigint"
+HSP = "t_id bigint, q_id bigint, strand int, diag bigint, t_start bigint, t_end bigint, score bigint"
 
 
 def ungapped_hsps(seeds: DataFrame, targets: DataFrame, queries: DataFrame, flank: int, distance: str, threshold: int) -> DataFrame:
-    """Best ungapped segment around each group of seeds on a diagonal, at or above ``threshold``.
+    """Ungapped segments around the seeds of each diagonal and strand, at or above ``threshold``.
 
     Seeds of a diagonal whose neighbourhoods of ``flank`` letters touch form one
-    region; the segment is the highest-scoring run inside it.
+    region.  Inside it the running score starts anew whenever it falls to zero;
+    each rise from zero to its highest point is a segment, and all of them that
+    reach the threshold are returned.
     """
     span = len(SEED)
-    diagonal = seeds.select("t_id", "q_id", (F.col("t_pos") - F.col("q_pos")).alias("diag"), "t_pos").distinct()
-    regions = islands(
-        diagonal.withColumn("e", F.col("t_pos") + span), ["t_id", "q_id", "diag"], "t_pos", "e", gap=2 * flank
-    ).groupBy("t_id", "q_id", "diag", "island").agg(
+    lane = ["t_id", "q_id", "strand", "diag"]
+    diagonal = seeds.select("t_id", "q_id", "strand", (F.col("t_pos") - F.col("q_pos")).alias("diag"), "t_pos").distinct()
+    regions = islands(diagonal.withColumn("e", F.col("t_pos") + span), lane, "t_pos", "e", gap=2 * flank).groupBy(*lane, "island").agg(
         (F.min("t_pos") - flank).alias("s"), (F.max("e") + flank).alias("e")
     )
     t = targets.select(F.col("seq_id").alias("t_id"), F.col("seq").alias("t_seq"))
-    q = queries.select(F.col("seq_id").alias("q_id"), F.col("seq").alias("q_seq"))
-    met = regions.join(t, "t_id").join(q, "q_id")
+    q = both_strands(queries).select(F.col("seq_id").alias("q_id"), "strand", F.col("seq").alias("q_seq"))
+    met = regions.join(t, "t_id").join(q, ["q_id", "strand"])
     first = F.greatest(F.col("s"), F.lit(1), F.col("diag") + 1)
     stop = F.least(F.col("e"), F.length("t_seq") + 1, F.length("q_seq") + 1 + F.col("diag"))
     cut = met.withColumn("_s", first).withColumn("_n", (stop - first).cast("int")).select(
-        "t_id", "q_id", "diag", "_s",
+        "t_id", "q_id", "strand", "diag", "_s",
         F.substring(F.col("t_seq"), F.col("_s").cast("int"), F.col("_n")).alias("t_text"),
         F.substring(F.col("q_seq"), (F.col("_s") - F.col("diag")).cast("int"), F.col("_n")).alias("q_text"),
     )
@@ -260,14 +273,16 @@ def ungapped_hsps(seeds: DataFrame, targets: DataFrame, queries: DataFrame, flan
         codes[np.frombuffer(b"ACGT", np.uint8)] = range(4)
         for batch in batches:
             rows = []
-            for t_id, q_id, diag, s, tt, qt in batch.itertuples(index=False):
+            for t_id, q_id, strand, diag, s, tt, qt in batch.itertuples(index=False):
                 a = codes[np.frombuffer(tt.encode(), np.uint8)]
                 b = codes[np.frombuffer(qt.encode(), np.uint8)]
                 total = np.concatenate([[0], np.cumsum(grid[a, b])])
                 gain = total - np.minimum.accumulate(total)
-                end = int(gain.argmax())
-                start = int(np.nonzero(gain[:end + 1] == 0)[0][-1])
-                rows.append((t_id, q_id, diag, s + start, s + end - 1, int(gain[end])))
-            yield pd.DataFrame(rows, columns=["t_id", "q_id", "diag", "t_start", "t_end", "score"])
-
-    return cut.mapInPandas(best, HSP).where(F.col("score") >= threshold)
+                zeros = np.flatnonzero(gain == 0)
+                tops = np.maximum.reduceat(gain, zeros)
+                for zero, top, stop in zip(zeros[tops >= threshold], tops[tops >= threshold], np.append(zeros[1:], len(gain))[tops >= threshold]):
+                    end = zero + int(gain[zero:stop].argmax())
+                    rows.append((t_id, q_id, strand, diag, s + int(zero), s + int(end) - 1, int(top)))
+            yield pd.DataFrame(rows, columns=[*lane, "t_start", "t_end", "score"])
+
+    return cut.mapInPandas(best, HSP)

@@ -51,33 +51,59 @@ def responsibilities(columns: DataFrame, components: DataFrame) -> DataFrame:
 
 def fit(counts: DataFrame, start: list[Component], max_rounds: int = 10_000, min_gain: float = 1e-6,
         floor: float = 1e-8) -> tuple[list[Component], list[float]]:
-    """Expectation maximisation until the log-likelihood gains at most ``min_gain``.
+    """Expectation maximisation until a round gains at most ``min_gain`` of log-likelihood.
 
     Equal count columns are folded into one weighted row first.  Each round adds
     up per-partition sums, so only one short row per component and partition
-    leaves a task, and one per component reaches the driver.
+    leaves a task, and one per component reaches the driver.  After two rounds
+    the parameters are carried on along their path, and the jump is kept if it
+    raises the likelihood; that leads to the same place in far fewer rounds.
     """
     folded = cut_lineage(counts.groupBy(*BASES).agg(F.count(F.lit(1)).cast("double").alias("w")))
     rows = folded.agg(F.sum("w")).first()[0]
-    mix, history = list(start), []
-    while len(history) < max_rounds:
+    history: list[float] = []
+
+    def step(mix: list[Component]) -> tuple[float, list[Component]]:
         sums = folded.mapInPandas(partial(_partial_sums, mix), SUMS).groupBy("k").agg(
             *[F.sum(name).alias(name) for name in SUM_NAMES]
         )
         found = sorted(sums.collect(), key=lambda s: s["k"])
-        history.append(found[0]["ll"])
-        mix = [
+        better = [
             Component(
                 s["resp"] / rows,
                 tuple(max(a * s[f"num_{b}"] / s["den"], floor) for a, b in zip(c.alpha, BASES)),
             )
             for c, s in zip(mix, found)
         ]
-        if len(history) > 1 and history[-1] - history[-2] <= min_gain:
+        return found[0]["ll"], better
+
+    mix, done = list(start), 0
+    while done < max_rounds:
+        begin = mix
+        for _ in range(2):
+            ll, mix = step(previous := mix)
+            history.append(ll)
+        done += 3
+        if history[-1] - history[-2] <= min_gain:
             break
+        ll, after = step(_carried_on(begin, previous, mix, floor))
+        if ll >= history[-1]:
+            history.append(ll)
+            mix = after
     return mix, history
 
 
+def _carried_on(a: list[Component], b: list[Component], c: list[Component], floor: float) -> list[Component]:
+    """Extrapolation of three successive estimates, on the logarithms of their parameters."""
+    x, y, z = (np.log(np.maximum([[m.share, *m.alpha] for m in mix], floor)) for mix in (a, b, c))
+    move, bend = y - x, (z - y) - (y - x)
+    turn = np.linalg.norm(bend)
+    reach = max(1.0, np.linalg.norm(move) / turn) if turn > 0 else 1.0
+    far = np.exp(np.clip(x + 2 * reach * move + reach * reach * bend, np.log(floor), 25.0))
+    shares = far[:, 0] / far[:, 0].sum()
+    return [Component(float(s), tuple(map(float, row[1:]))) for s, row in zip(shares, far)]
+
+
 SUM_NAMES = ["resp", *[f"num_{b}" for b in BASES], "den", "ll"]
 SUMS = "k int, " + ", ".join(f"{name} double" for name in SUM_NAMES)
 

@@ -98,7 +98,12 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | tuple
         else:
             final.append(F.coalesce(here, before).getField("v").alias(name))
     kept = [c for c in df.columns if c != "_range"] + (["_range"] if keep_range else [])
-    return scanned.join(carry, [*by, "_range"]).select(*kept, *final)
+    # A key may be null, and its rows stay.
+    carry = carry.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_range"])], *[f"_c_{name}" for name in outs])
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_range"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return scanned.join(carry, same).select(*kept, *final)
 
 
 def rank_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:

@@ -4,8 +4,10 @@ An interval splits into at most two aligned nodes per power of two; a position
 lies in exactly one node per power.  Aggregating intervals per node first and
 then joining positions to their enclosing nodes answers "minimum / maximum /
 count over the intervals covering this position" with equi joins only.  Neither
-long intervals nor crowded places multiply rows: each node keeps one row.
-Intervals are closed on both ends.
+long intervals nor crowded places multiply rows: each node keeps one row.  A
+position asks only at the levels that any interval uses.  Nodes of high levels
+hold many positions; the join on them is followed by a shuffle of its own, so
+the planner may split such keys.  Intervals are closed on both ends.
 """
 
 from __future__ import annotations
@@ -35,20 +37,16 @@ def node_cover(start: Column, end: Column) -> Column:
     return F.when(length >= 1, F.filter(nodes, lambda n: n.isNotNull()))
 
 
-def node_path(pos: Column, top_level: int) -> Column:
-    """Array of the ``(level, node)`` structs that contain a position."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(top_level)),
-        lambda level: F.struct(
-            level.alias("level"), F.floor(pos / F.pow(F.lit(2.0), level)).cast("bigint").alias("node")
-        ),
-    )
+def node_path(pos: Column, levels: Sequence[int]) -> Column:
+    """Array of the ``(level, node)`` structs of the given levels that contain a position."""
+    nodes = [F.struct(F.lit(level).alias("level"), F.floor(pos / F.lit(2.0**level)).cast("bigint").alias("node")) for level in levels]
+    return F.array(*nodes) if nodes else F.array().cast("array<struct<level:int,node:bigint>>")
 
 
-def top_level(intervals: DataFrame, start: str, end: str) -> int:
-    """Largest node level that any interval of the table can use (one scalar aggregate)."""
-    longest = intervals.agg(F.max(F.col(end) - F.col(start) + 1)).first()[0]
-    return max(0, int(longest or 1).bit_length() - 1)
+def used_levels(intervals: DataFrame, start: str, end: str) -> list[int]:
+    """Node levels that the intervals of the table use, at most 63."""
+    nodes = intervals.select(F.explode(node_cover(F.col(start), F.col(end))).alias("_n"))
+    return sorted(r["level"] for r in nodes.select("_n.level").distinct().collect())
 
 
 def stab(
@@ -68,7 +66,7 @@ def stab(
     """
     by = list(by)
     fold = {"min": F.min, "max": F.max, "sum": F.sum}
-    level_limit = top_level(intervals, start, end)
+    levels = used_levels(intervals, start, end)
     nodes = (
         intervals.select(*by, F.explode(node_cover(F.col(start), F.col(end))).alias("_n"), *{c for _, c in aggs.values()})
         .groupBy(*by, "_n.level", "_n.node")
@@ -76,7 +74,7 @@ def stab(
     )
     spots = points.select(*by, pos).distinct()
     found = (
-        spots.select(*by, pos, F.explode(node_path(F.col(pos), level_limit)).alias("_n"))
+        spots.select(*by, pos, F.explode(node_path(F.col(pos), levels)).alias("_n"))
         .select(*by, pos, "_n.level", "_n.node")
         .join(nodes, [*by, "level", "node"])
         .groupBy(*by, pos)

@@ -21,6 +21,8 @@ from helixframe.session import task_count
 
 UNIT = 1_000_000
 CHUNK = 1 << 17
+# Letters within which small chunks are cut.
+BLOCK = 1 << 13
 # Most packed profiles that travel to the tasks with the code; a larger library is
 # joined to the sequences in blocks of this size.
 LIBRARY_LIMIT = 2_000
@@ -87,16 +89,26 @@ def chunked(sequences: DataFrame, lap: int, size: int = CHUNK) -> DataFrame:
 
     Chunks are dealt out evenly: what is done per letter costs far more than
     moving it once, and neither one long sequence nor one large file part should
-    decide how long the stage takes.
+    decide how long the stage takes.  ``substring`` counts letters from the start
+    of its text, so a sequence is cut into blocks in one pass and chunks are taken
+    from the blocks: the work grows with the letters, not with their square.
     """
-    starts = F.sequence(F.lit(0), F.length("seq") - 1, F.lit(size))
-    cut = sequences.where(F.length("seq") > 0).select("seq_id", "seq", F.explode(starts).alias("offset"))
-    return cut.select(
-        F.col("seq_id").cast("bigint").alias("seq_id"),
-        F.col("offset").cast("bigint").alias("offset"),
-        F.least(F.lit(size), F.length("seq") - F.col("offset")).alias("own"),
-        F.substring(F.col("seq"), F.col("offset") + 1, F.lit(size + lap)).alias("text"),
-    ).repartition(task_count(sequences.sparkSession), "seq_id", "offset")
+    block = size * -(-max(BLOCK, lap) // size)
+    blocks = sequences.where(F.length("seq") > 0).select(
+        F.col("seq_id").cast("bigint").alias("seq_id"), F.regexp_extract_all("seq", F.lit(f".{{1,{block}}}"), F.lit(0)).alias("_b")
+    )
+    ahead = lambda i: F.coalesce(F.substring(F.get("_b", i + 1), 1, lap), F.lit(""))
+    dealt = blocks.select(
+        "seq_id",
+        F.inline(F.transform("_b", lambda b, i: F.struct((i.cast("bigint") * block).alias("_at"), F.length(b).alias("_n"), F.concat(b, ahead(i)).alias("_t")))),
+    ).repartition(task_count(sequences.sparkSession), "seq_id", "_at")
+    inside = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(size))).alias("_o"))
+    return inside.select(
+        "seq_id",
+        (F.col("_at") + F.col("_o")).alias("offset"),
+        F.least(F.lit(size), F.col("_n") - F.col("_o")).alias("own"),
+        F.substring(F.col("_t"), F.col("_o") + 1, F.lit(size + lap)).alias("text"),
+    )
 
 
 def scan(sequences: DataFrame, library: DataFrame, percent: int = 80, both_strands: bool = True) -> DataFrame:

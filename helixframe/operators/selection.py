@@ -131,7 +131,16 @@ def project_keys(matrix: DataFrame, tags: DataFrame, keys: Sequence[str], method
 LINKS = {
     "medline": '<a target=_blank href=http://www.ncbi.nlm.nih.gov/entrez/query.fcgi?cmd=search&db=pubmed&term=%s>%s</a>',
     "acc": '<a target=_blank href=http://www.ncbi.nlm.nih.gov/entrez/query.fcgi?cmd=search&db=protein&term=%s.&doptcmdl=Brief>%s</a> ',
+    "pazar_tf_id": "<a target=_blank href=http://www.pazar.info/cgi-bin/tf_search.cgi?geneID=%s&excluded=none>%s</a>",
 }
+SHOWN = {"pazar_tf_id": "Pazar ID"}
+
+
+def shown_key(key: Column) -> Column:
+    """Name under which a tag is shown."""
+    for kind, name in SHOWN.items():
+        key = F.when(key == kind, name).otherwise(key)
+    return key
 
 
 def render_tag(key: Column, val: Column, links: Mapping[str, str] = LINKS) -> Column:
@@ -156,12 +165,14 @@ def species_names(lists: DataFrame, tax: DataFrame) -> DataFrame:
 
 
 def validate(sequences: DataFrame, limit: int = MAX_SCAN) -> DataFrame:
-    """Adds ``reason``: null for a valid sequence."""
+    """Adds ``reason``: null for a valid sequence.  A ``header`` column must not be blank."""
+    headed = F.trim(F.coalesce("header", F.lit(""))) != "" if "header" in sequences.columns else F.lit(True)
     return sequences.withColumn(
         "reason",
-        F.when(F.length("seq") == 0, "empty")
+        F.when(~headed, "no header")
+        .when(F.length("seq") == 0, "empty")
         .when(F.length("seq") > limit, "too long")
-        .when(~F.col("seq").rlike(f"^[{''.join(sorted(set(ALPHABET)))}]+$"), "unknown letter"),
+        .when(~F.col("seq").rlike(f"^[{ALPHABET}]+$"), "unknown letter"),
     )
 
 

@@ -68,8 +68,8 @@ def tree_newick(fx):
 CUTS = tuple(range(2, 9))
 
 
-def _cuts(fx, n):
-    return fx.spark.range(CUTS[0], CUTS[-1] + 1).select(F.col("id").cast("int").alias("k"), (n - F.col("id")).alias("last_step"))
+def _cuts(n):
+    return [(k, n - k) for k in CUTS]
 
 
 @query("cut_tree", """SELECT CAST(k AS INT) AS k, leaf, arg_max(node, step) AS cluster FROM
@@ -78,7 +78,7 @@ def _cuts(fx, n):
 def cut_tree(fx):
     merges = part_tree(fx).select("node", "step").distinct()
     n = fx.table("part").agg(F.count(F.lit(1))).scalar()
-    return k.cut_tree(merges, part_closure(fx), _cuts(fx, n))
+    return k.cut_tree(merges, part_closure(fx), _cuts(n))
 
 
 view("v_leaf", "SELECT matrix_id, CAST(substr(matrix_id,4) AS BIGINT)+(SELECT count(*) FROM v_width) AS leaf FROM v_width")
@@ -101,7 +101,7 @@ def matrix_membership(fx):
     n = leaves.agg(F.count(F.lit(1))).scalar()
     steps = leaves.where("i >= 1").select(F.col("i").alias("node"), (n - F.col("i")).alias("step"))
     edges = steps.select("node", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("child"))
-    cut = k.cut_tree(steps, k.leaf_closure(edges), _cuts(fx, n))
+    cut = k.cut_tree(steps, k.leaf_closure(edges), _cuts(n))
     return cut.join(leaves.select("matrix_id", (F.col("i") + n).alias("leaf")), "leaf").select(
         "k", F.col("matrix_id").alias("leaf"), "cluster"
     )

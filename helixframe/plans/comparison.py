@@ -72,10 +72,10 @@ def _metric_sql(expression):
 
 def _upper_tail(x):
     """P(Z > x) for x >= 0 through the odd-factorial series, as a correlated sum over the term table."""
-    return (f"0.5-exp(-({x})*({x})/2)/sqrt(2*pi())*(SELECT sum(exp((2*k+1)*ln(greatest({x},1e-300))-lf)) FROM v_series)")
+    return (f"0.5-(SELECT sum(exp((2*k+1)*ln(greatest({x},1e-300))-lf-({x})*({x})/2)) FROM v_series)/sqrt(2*pi())")
 
 
-view("v_series", "SELECT k, (k+1)*ln(2.0)+lgamma(k+1.5)-0.5*ln(pi()) AS lf FROM (SELECT unnest(range(0,1500)) AS k)")
+view("v_series", "SELECT k, (k+1)*ln(2.0)+lgamma(k+1.5)-0.5*ln(pi()) AS lf FROM (SELECT unnest(range(0,20000)) AS k)")
 
 query("col_pcc", _metric_sql(_pcc_sql("f1", "f2")))(_metric_plan(lambda: m.pcc(_cells("f1"), _cells("f2"))))
 query("col_allr", _metric_sql(_ALLR))(
@@ -187,12 +187,34 @@ def pair_alignment_path(fx):
     )
 
 
-@query("compare_to_library", f"""SELECT a AS query, b AS target, {r6('score')} AS score,
-    {r6('100*score/(2*least(len1,len2))')} AS pct FROM (SELECT a, b, len1, len2, score FROM v_full
-    UNION ALL SELECT b, a, len2, len1, score FROM v_full WHERE a<>b)""")
+# Oracle of one profile against the library with one gap run: running sums P along the diagonals
+# of every entry and orientation, also at the borders, where P is 0.  From a point (i, j) an
+# alignment gains what P still rises to.  It gets there along its diagonal, out of a gap behind a
+# point of the same row or column, or out of a gap from the border, which only pays extensions.
+_OPEN, _EXTEND = 3_000_000, 10_000
+view("v_lib_cell", f"""SELECT y.matrix_id AS b, y.fwd, x.w AS w1, y.w AS w2, x.pos AS i, y.pos AS j,
+    CAST(round(({_ssd_sql('x.', 'y.')})*1000000) AS BIGINT) AS s
+    FROM v_full_prof x JOIN v_full_turn y ON x.matrix_id=(SELECT min(matrix_id) FROM v_full_prof)""")
+view("v_lib_point", """SELECT *, sum(s) OVER (PARTITION BY b,fwd,i-j ORDER BY i) AS p FROM (SELECT * FROM v_lib_cell
+    UNION ALL SELECT DISTINCT b, fwd, w1, w2, i, 0, 0 FROM v_lib_cell UNION ALL SELECT DISTINCT b, fwd, w1, w2, 0, j, 0 FROM v_lib_cell
+    UNION ALL SELECT DISTINCT b, fwd, w1, w2, 0, 0, 0 FROM v_lib_cell)""")
+view("v_lib_start", f"""SELECT *, max(p) OVER (PARTITION BY b,fwd,i-j ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)-p AS gain,
+    CASE WHEN i>0 AND j>0 THEN greatest(-{_EXTEND}*i, -{_EXTEND}*j,
+      max(p+{_EXTEND}*i) OVER (PARTITION BY b,fwd,j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)-{_OPEN}-{_EXTEND}*(i-1),
+      max(p+{_EXTEND}*j) OVER (PARTITION BY b,fwd,i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)-{_OPEN}-{_EXTEND}*(j-1))
+    END AS after_gap FROM v_lib_point""")
+view("v_lib", """SELECT b, w1, w2, max(greatest(CASE WHEN i>0 AND j>0 THEN p END, after_gap, after_gap+gain))/1000000.0 AS score
+    FROM v_lib_start GROUP BY 1,2,3""")
+
+
+@query("compare_to_library", f"""SELECT (SELECT min(matrix_id) FROM v_full_prof) AS query, b AS target, {r6('score')} AS score,
+    {r6('100*score/(2*least(w1,w2))')} AS pct FROM v_lib""")
 def compare_to_library(fx):
+    """One profile against every entry, gapped, with the library scanner's method."""
     library = c.pack(counts(fx))
-    found = c.mirror(c.align_pairs(c.pair_up(library), "ungapped", "ssd"))
+    first = library.agg(F.min("matrix_id")).scalar()
+    pairs = c.pair_up(library.where(F.col("matrix_id") == first), library)
+    found = c.align_pairs(pairs, "scan", "ssd", gap_open=_OPEN / 1e6, gap_extend=_EXTEND / 1e6)
     percent = F.col("score") * 100 / (F.least("len1", "len2") * 2)
     return found.select(
         F.col("a").alias("query"), F.col("b").alias("target"), F.round("score", 6).alias("score"), F.round(percent, 6).alias("pct")

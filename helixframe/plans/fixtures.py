@@ -15,30 +15,21 @@ from helixframe.session import cut_lineage, task_count
 
 
 class Fixtures:
-    """Derived tables of one scale-factor folder.  Building a table runs no job, except
-    for the sequences and the three tables that number rows over an ordering."""
-
-    _made: dict[tuple[str, str], "Fixtures"] = {}
+    """Derived tables of one scale-factor folder, for one query.  Building a table runs no
+    job, except for the sequences and the three tables that number rows over an ordering."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        # Intermediate results that several plans read, materialised by the first of them.
+        # Intermediate results that a plan reads more than once.
         self.kept: dict[str, DataFrame] = {}
 
-    @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> "Fixtures":
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in cls._made:
-            cls._made[key] = cls(spark, sf_dir)
-        return cls._made[key]
-
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def sequence(self) -> DataFrame:
-        """Letters of every text.  Written once, evenly, because most plans read it
+        """Letters of every text.  Written once, evenly, because a plan may read it
         several times and filtering the text is the dearest part of reading it."""
         letters = self.table("documents").select(
             F.col("doc_id").alias("seq_id"),
@@ -50,9 +41,11 @@ class Fixtures:
 
     @cached_property
     def site(self) -> DataFrame:
+        """Every sequence cut into consecutive words of its set's width; a shorter rest is no word."""
         width = 6 + F.substring("source", 4, 10).cast("int") % 7
-        return self.sequence.where(F.length("seq") >= 12).select(
-            F.col("source").alias("matrix_id"), "seq_id", F.substring(F.col("seq"), F.lit(1), width).alias("site")
+        word = F.regexp_extract_all("seq", F.concat(F.lit("([ACGT]{"), width.cast("string"), F.lit("})")), F.lit(1))
+        return self.sequence.select(
+            F.col("source").alias("matrix_id"), "seq_id", F.posexplode(word).alias("word_no", "site")
         )
 
     @cached_property
@@ -133,8 +126,8 @@ class Fixtures:
         pair = (
             links.join(first, "aln_id")
             .join(second, "next_id")
-            .withColumn("len", F.least(F.length("s1"), F.length("s2"), F.lit(400)))
-            .where(F.col("len") >= 60)
+            .withColumn("len", F.least(F.length("s1"), F.length("s2")))
+            .where(F.col("len") >= 1)
         )
         return pair.select("aln_id", "s1", "s2", "len")
 
@@ -167,7 +160,7 @@ class Fixtures:
             F.col("doc_id").alias("acc"),
             F.col("source").alias("gene_id"),
             F.col("lang").alias("species"),
-            F.substring("text", 1, 200).alias("description"),
+            F.col("text").alias("description"),
         )
 
     @cached_property
@@ -195,19 +188,21 @@ class Fixtures:
 
     @cached_property
     def protein(self) -> DataFrame:
-        residues = F.regexp_replace("text", "[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]+", "")
-        return self.table("documents").where("n_chars >= 200").select(
+        """Consecutive rows of ten residues over every text; a shorter rest is no row."""
+        residues = F.upper(F.regexp_replace("text", "[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]+", ""))
+        return self.table("documents").select(
             F.col("source").alias("member"),
             F.col("doc_id").alias("row_id"),
-            F.substring(F.upper(residues), 1, 10).alias("aligned"),
+            F.posexplode(F.regexp_extract_all(residues, F.lit("(.{10})"), F.lit(1))).alias("part", "aligned"),
         )
 
 
 ORACLE_VIEWS: dict[str, str] = {
     "f1_sequence": """SELECT doc_id AS seq_id, source, lang,
         upper(regexp_replace(text,'[^ACGTacgt]','','g')) AS seq FROM documents""",
-    "f2_site": """SELECT source AS matrix_id, seq_id, substr(seq,1,6+CAST(substr(source,4) AS INT)%7) AS site
-        FROM f1_sequence WHERE length(seq)>=12""",
+    "f2_site": """SELECT matrix_id, seq_id, CAST(word_no AS INT) AS word_no, substr(seq, CAST(word_no*w+1 AS INT), w) AS site FROM
+        (SELECT matrix_id, seq_id, seq, w, unnest(range(0, length(seq)//w)) AS word_no FROM
+          (SELECT source AS matrix_id, seq_id, seq, 6+CAST(substr(source,4) AS INT)%7 AS w FROM f1_sequence))""",
     "f3_cell": """SELECT matrix_id, CAST(pos AS INT) AS pos, substr(site,CAST(pos AS INT),1) AS base,
         CAST(count(*) AS DOUBLE) AS n
         FROM (SELECT matrix_id, site, unnest(range(1,length(site)+1)) AS pos FROM f2_site) GROUP BY 1,2,3""",
@@ -231,11 +226,11 @@ ORACLE_VIEWS: dict[str, str] = {
         CASE WHEN (apos*5+aln_id)%19=0 AND (apos*7+aln_id)%17<>0 THEN '-'
              WHEN (apos*11+aln_id)%3=0 THEN substr(s2,apos,1) ELSE substr(s1,apos,1) END AS c2
         FROM (SELECT aln_id, s1, s2, CAST(unnest(range(1,len+1)) AS INT) AS apos FROM
-          (SELECT aln_id, s1, s2, least(length(s1),length(s2),400) AS len FROM
+          (SELECT aln_id, s1, s2, least(length(s1),length(s2)) AS len FROM
             (SELECT seq_id AS aln_id, seq AS s1, lead(seq) OVER (PARTITION BY source ORDER BY seq_id) AS s2 FROM f1_sequence)
-           WHERE s2 IS NOT NULL) WHERE len>=60)""",
+           WHERE s2 IS NOT NULL))""",
     "f8_log": "SELECT conv_id AS file_id, turn AS line_no, role AS line FROM conversations",
-    "f9_gene": """SELECT doc_id AS acc, source AS gene_id, lang AS species, substr(text,1,200) AS description
+    "f9_gene": """SELECT doc_id AS acc, source AS gene_id, lang AS species, text AS description
         FROM documents""",
     "f10_feature": """SELECT event_id AS feature_id, user_id AS seq_id,
         CASE WHEN event_type IN ('purchase','signup') THEN 'exon' WHEN event_type='error' THEN 'orf' ELSE 'other' END AS kind,
@@ -243,7 +238,8 @@ ORACLE_VIEWS: dict[str, str] = {
         CASE WHEN event_id%2=0 THEN 1 ELSE -1 END AS strand FROM events""",
     "f11_scored": """SELECT d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS score, l.quality AS label
         FROM documents d JOIN labels l USING (doc_id)""",
-    "f12_protein": """SELECT source AS member, doc_id AS row_id,
-        substr(upper(regexp_replace(text,'[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]','','g')),1,10) AS aligned
-        FROM documents WHERE n_chars>=200""",
+    "f12_protein": """SELECT member, row_id, CAST(part AS INT) AS part, substr(residues, CAST(part*10+1 AS INT), 10) AS aligned FROM
+        (SELECT member, row_id, residues, unnest(range(0, length(residues)//10)) AS part FROM
+          (SELECT source AS member, doc_id AS row_id,
+             upper(regexp_replace(text,'[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]','','g')) AS residues FROM documents))""",
 }

@@ -242,7 +242,7 @@ def exon_table(fx):
 
 view("v_exon", """SELECT gene, min(e_start) AS e_start, max(e_end) AS e_end FROM (SELECT *, sum(o) OVER (PARTITION BY gene ORDER BY e_start, e_end, id) AS g FROM
     (SELECT *, CASE WHEN e_start<=max(e_end) OVER (PARTITION BY gene ORDER BY e_start, e_end, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)+1 THEN 0 ELSE 1 END AS o
-     FROM (SELECT seq_id AS gene, f_start AS e_start, f_end AS e_end, feature_id AS id FROM f10_feature WHERE kind='exon' AND feature_id%50<12))) GROUP BY gene, g""")
+     FROM (SELECT seq_id AS gene, f_start AS e_start, f_end AS e_end, feature_id AS id FROM f10_feature WHERE kind='exon'))) GROUP BY gene, g""")
 
 
 @query("orf_on_gene", """SELECT gene, CAST(e_start+greatest(o_start,c0+1)-c0-1 AS BIGINT) AS start, CAST(e_start+least(o_end,c0+n)-c0-1 AS BIGINT) AS "end" FROM
@@ -252,7 +252,7 @@ view("v_exon", """SELECT gene, min(e_start) AS e_start, max(e_end) AS e_end FROM
 def orf_on_gene(fx):
     from helixframe.operators.ranges import merge_intervals
 
-    raw = fx.feature.where("kind = 'exon' AND feature_id % 50 < 12").select(
+    raw = fx.feature.where("kind = 'exon'").select(
         F.col("seq_id").alias("gene"), F.col("f_start").alias("e_start"), (F.col("f_end") + 1).alias("e_end")
     )
     exons = merge_intervals(raw, ["gene"], "e_start", "e_end").withColumn("e_end", F.col("e_end") - 1)

@@ -129,13 +129,15 @@ def alignment_score(fx):
     return g.alignment_scores(fx.alignment, fx.spark)
 
 
-# Target: the German texts, query: the others; words seen at over 20 target places are masked.
-MASKING = 20
-view("v_seed", f"""SELECT seq_id, lang, pos, substr(w,1,3)||substr(w,5,1)||substr(w,8,2)||substr(w,12,1)||substr(w,14,1)||substr(w,16,4) AS word FROM
-    (SELECT seq_id, lang, pos, substr(seq, CAST(pos AS INT), 19) AS w FROM
-      (SELECT seq_id, lang, seq, unnest(range(1, length(seq)-17)) AS pos FROM f1_sequence WHERE length(seq)>=19))""")
-view("v_match", f"""SELECT t.seq_id AS t_id, t.pos AS t_pos, q.seq_id AS q_id, q.pos AS q_pos FROM v_seed t JOIN v_seed q ON q.word=t.word AND q.lang<>'de'
-    WHERE t.lang='de' AND t.word IN (SELECT word FROM v_seed WHERE lang='de' GROUP BY 1 HAVING count(*)<={MASKING})""")
+# Target: the German texts, query: the others, at the settings of far genomes.
+MASKING = g.MASKING["far"]
+view("v_seed", f"""SELECT seq_id, lang, strand, pos, substr(w,1,3)||substr(w,5,1)||substr(w,8,2)||substr(w,12,1)||substr(w,14,1)||substr(w,16,4) AS word FROM
+    (SELECT seq_id, lang, strand, pos, substr(seq, CAST(pos AS INT), 19) AS w FROM
+      (SELECT seq_id, lang, strand, seq, unnest(range(1, length(seq)-17)) AS pos FROM v_form WHERE length(seq)>=19))""")
+view("v_form", """SELECT seq_id, lang, 1 AS strand, seq FROM f1_sequence
+    UNION ALL SELECT seq_id, lang, -1, reverse(translate(seq,'ACGT','TGCA')) FROM f1_sequence""")
+view("v_match", f"""SELECT t.seq_id AS t_id, t.pos AS t_pos, q.seq_id AS q_id, q.strand, q.pos AS q_pos FROM v_seed t JOIN v_seed q ON q.word=t.word AND q.lang<>'de'
+    WHERE t.lang='de' AND t.strand=1 AND t.word IN (SELECT word FROM v_seed WHERE lang='de' AND strand=1 GROUP BY 1 HAVING count(*)<={MASKING})""")
 
 
 def seeds(fx):
@@ -146,7 +148,7 @@ def seeds(fx):
     return fx.kept["seeds"]
 
 
-@query("seed_matches", "SELECT t_id, CAST(t_pos AS BIGINT) AS t_pos, q_id, CAST(q_pos AS BIGINT) AS q_pos FROM v_match")
+@query("seed_matches", "SELECT t_id, CAST(t_pos AS BIGINT) AS t_pos, q_id, CAST(strand AS INT) AS strand, CAST(q_pos AS BIGINT) AS q_pos FROM v_match")
 def seed_matches(fx):
     return g.seed_matches(fx.sequence.where("lang = 'de'"), fx.sequence.where("lang <> 'de'"), MASKING)
 
@@ -154,21 +156,21 @@ def seed_matches(fx):
 FLANK, HSP_SCORE = 30, 2200
 
 
-@query("ungapped_hsp", f"""WITH d AS (SELECT DISTINCT t_id, q_id, t_pos-q_pos AS diag, t_pos FROM v_match),
-    n AS (SELECT *, CASE WHEN t_pos<=lag(t_pos) OVER w+19+{2 * FLANK} THEN 0 ELSE 1 END AS o FROM d WINDOW w AS (PARTITION BY t_id,q_id,diag ORDER BY t_pos)),
-    r AS (SELECT t_id, q_id, diag, island, min(t_pos)-{FLANK} AS s, max(t_pos)+19+{FLANK} AS e FROM
-      (SELECT *, sum(o) OVER (PARTITION BY t_id,q_id,diag ORDER BY t_pos) AS island FROM n) GROUP BY 1,2,3,4),
+@query("ungapped_hsp", f"""WITH d AS (SELECT DISTINCT t_id, q_id, strand, t_pos-q_pos AS diag, t_pos FROM v_match),
+    n AS (SELECT *, CASE WHEN t_pos<=lag(t_pos) OVER w+19+{2 * FLANK} THEN 0 ELSE 1 END AS o FROM d WINDOW w AS (PARTITION BY t_id,q_id,strand,diag ORDER BY t_pos)),
+    r AS (SELECT t_id, q_id, strand, diag, island, min(t_pos)-{FLANK} AS s, max(t_pos)+19+{FLANK} AS e FROM
+      (SELECT *, sum(o) OVER (PARTITION BY t_id,q_id,strand,diag ORDER BY t_pos) AS island FROM n) GROUP BY 1,2,3,4,5),
     c AS (SELECT r.*, greatest(s,1,diag+1) AS f, least(e,length(t.seq)+1,length(q.seq)+1+diag) AS x, t.seq AS ts, q.seq AS qs
-      FROM r JOIN f1_sequence t ON t.seq_id=t_id JOIN f1_sequence q ON q.seq_id=q_id),
-    p AS (SELECT t_id, q_id, diag, island, f, unnest(range(f, x)) AS pos, ts, qs FROM c),
-    v AS (SELECT p.t_id, p.q_id, p.diag, p.island, p.pos, b.s FROM p JOIN v_subst b ON b.distance='far' AND b.b1=substr(ts,CAST(pos AS INT),1)
+      FROM r JOIN f1_sequence t ON t.seq_id=t_id JOIN v_form q ON q.seq_id=q_id AND q.strand=r.strand),
+    p AS (SELECT t_id, q_id, strand, diag, island, f, unnest(range(f, x)) AS pos, ts, qs FROM c),
+    v AS (SELECT p.t_id, p.q_id, p.strand, p.diag, p.island, p.pos, b.s FROM p JOIN v_subst b ON b.distance='far' AND b.b1=substr(ts,CAST(pos AS INT),1)
       AND b.b2=substr(qs,CAST(pos-diag AS INT),1)),
-    a AS (SELECT *, sum(s) OVER w AS ps FROM v WINDOW w AS (PARTITION BY t_id,q_id,diag,island ORDER BY pos)),
-    k AS (SELECT *, ps-least(0,min(ps) OVER (PARTITION BY t_id,q_id,diag,island ORDER BY pos)) AS gain FROM a),
-    z AS (SELECT *, coalesce(max(CASE WHEN gain=0 THEN pos END) OVER (PARTITION BY t_id,q_id,diag,island ORDER BY pos),
-      min(pos) OVER (PARTITION BY t_id,q_id,diag,island)-1) AS zero FROM k)
-    SELECT t_id, q_id, diag, CAST(zero+1 AS BIGINT) AS t_start, CAST(pos AS BIGINT) AS t_end, CAST(gain AS BIGINT) AS score FROM z
-    WHERE true QUALIFY row_number() OVER (PARTITION BY t_id,q_id,diag,island ORDER BY gain DESC, pos)=1 AND gain>={HSP_SCORE}""")
+    a AS (SELECT *, sum(s) OVER w AS ps FROM v WINDOW w AS (PARTITION BY t_id,q_id,strand,diag,island ORDER BY pos)),
+    k AS (SELECT *, ps-least(0,min(ps) OVER (PARTITION BY t_id,q_id,strand,diag,island ORDER BY pos)) AS gain FROM a),
+    z AS (SELECT *, coalesce(max(CASE WHEN gain=0 THEN pos END) OVER (PARTITION BY t_id,q_id,strand,diag,island ORDER BY pos),
+      min(pos) OVER (PARTITION BY t_id,q_id,strand,diag,island)-1) AS zero FROM k)
+    SELECT t_id, q_id, CAST(strand AS INT) AS strand, diag, CAST(zero+1 AS BIGINT) AS t_start, CAST(pos AS BIGINT) AS t_end, CAST(gain AS BIGINT) AS score FROM z
+    WHERE true QUALIFY row_number() OVER (PARTITION BY t_id,q_id,strand,diag,island,zero ORDER BY gain DESC, pos)=1 AND gain>={HSP_SCORE}""")
 def ungapped_hsp(fx):
     return g.ungapped_hsps(seeds(fx), fx.sequence, fx.sequence, FLANK, "far", HSP_SCORE)
 
@@ -205,7 +207,7 @@ def pieces(fx):
 
 @query("chain_blocks")
 def chain_blocks(fx):
-    return ch.chain_table(ch.chain_best(fx.block, 500, 10.0)).where("score >= 3000")
+    return ch.chain_table(ch.chain_best(fx.block, GAP, 10.0)).where("score >= 3000")
 
 
 @query("chain_blocks_simple", "SELECT chain_id, t_name, q_name, strand, t_start, t_end, q_start, q_end, score, blocks FROM v_chain")

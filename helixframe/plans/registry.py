@@ -39,7 +39,8 @@ def r6(expression: str) -> str:
 
 def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(plan):
-        return lambda spark, sf_dir: plan(Fixtures.of(spark, sf_dir))
+        # Every call derives its tables anew, so it sees the data as they are and pays for all it uses.
+        return lambda spark, sf_dir: plan(Fixtures(spark, sf_dir))
 
     return {name: bind(plan) for name, plan in _PLANS.items()}
 

@@ -135,15 +135,16 @@ def dynamic_key_projection(fx):
 
 
 @query("tag_link_render", f"""SELECT id, key, replace(CASE key WHEN 'medline' THEN replace('{s.LINKS["medline"]}', '%s', val)
-    WHEN 'acc' THEN replace('{s.LINKS["acc"]}', '%s', val) ELSE val END, ',', ', ') AS text
-    FROM (SELECT id, CASE id%3 WHEN 0 THEN 'medline' WHEN 1 THEN 'acc' ELSE 'comment' END AS key,
-      CASE id%3 WHEN 2 THEN name || ',' || base_id ELSE CAST(id AS VARCHAR) END AS val FROM f4_matrix)""")
+    WHEN 'acc' THEN replace('{s.LINKS["acc"]}', '%s', val) WHEN 'pazar_tf_id' THEN replace('{s.LINKS["pazar_tf_id"]}', '%s', val)
+    ELSE val END, ',', ', ') AS text, CASE key WHEN 'pazar_tf_id' THEN 'Pazar ID' ELSE key END AS shown
+    FROM (SELECT id, CASE id%4 WHEN 0 THEN 'medline' WHEN 1 THEN 'acc' WHEN 3 THEN 'pazar_tf_id' ELSE 'comment' END AS key,
+      CASE id%4 WHEN 2 THEN name || ',' || base_id ELSE CAST(id AS VARCHAR) END AS val FROM f4_matrix)""")
 def tag_link_render(fx):
-    kind = F.col("id") % 3
-    key = F.when(kind == 0, "medline").when(kind == 1, "acc").otherwise("comment")
+    kind = F.col("id") % 4
+    key = F.when(kind == 0, "medline").when(kind == 1, "acc").when(kind == 3, "pazar_tf_id").otherwise("comment")
     val = F.when(kind == 2, F.concat_ws(",", "name", "base_id")).otherwise(F.col("id").cast("string"))
     tags = fx.matrix.select("id", key.alias("key"), val.alias("val"))
-    return tags.select("id", "key", s.render_tag(F.col("key"), F.col("val")).alias("text"))
+    return tags.select("id", "key", s.render_tag(F.col("key"), F.col("val")).alias("text"), s.shown_key(F.col("key")).alias("shown"))
 
 
 @query("species_to_id", """SELECT c_custkey, species, tax_id FROM
@@ -170,16 +171,18 @@ def species_names(fx):
     return s.species_names(lists, fx.tax)
 
 
-@query("validate_sequence", """SELECT seq_id, CASE WHEN length(seq)=0 THEN 'empty' WHEN length(seq)>2000 THEN 'too long'
+# Headers are the first word of a description line; every seventh sequence has none.
+@query("validate_sequence", """SELECT form, seq_id, CASE WHEN seq_id%7=0 THEN 'no header' WHEN length(seq)=0 THEN 'empty' WHEN length(seq)>2000 THEN 'too long'
     WHEN NOT regexp_matches(seq, '^[ABCDGHKMNPSTUWY]+$') THEN 'unknown letter' END AS reason
-    FROM (SELECT doc_id AS seq_id, upper(regexp_replace(text,'[^A-Za-z]','','g')) AS seq FROM documents WHERE doc_id%2=0
-      UNION ALL SELECT seq_id, seq FROM f1_sequence WHERE seq_id%2=1)""")
+    FROM (SELECT 'text' AS form, doc_id AS seq_id, upper(regexp_replace(text,'[^A-Za-z]','','g')) AS seq FROM documents
+      UNION ALL SELECT 'dna', seq_id, seq FROM f1_sequence)""")
 def validate_sequence(fx):
-    letters = fx.table("documents").where("doc_id % 2 = 0").select(
-        F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")
+    letters = fx.table("documents").select(
+        F.lit("text").alias("form"), F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")
     )
-    mixed = letters.unionByName(fx.sequence.where("seq_id % 2 = 1").select("seq_id", "seq"))
-    return s.validate(mixed, 2000).select("seq_id", "reason")
+    every = letters.unionByName(fx.sequence.select(F.lit("dna").alias("form"), "seq_id", "seq"))
+    headed = every.withColumn("header", F.when(F.col("seq_id") % 7 == 0, " ").otherwise(F.col("seq_id").cast("string")))
+    return s.validate(headed, 2000).select("form", "seq_id", "reason")
 
 
 @query("truncate_sequence", "SELECT seq_id, substr(seq,1,10000) AS seq, length(seq)>10000 AS cut FROM f1_sequence")

@@ -107,8 +107,11 @@ def src_fasta(fx):
 def src_sites(fx):
     path = scratch_path(fx.spark, "sites")
     unknown = F.translate("site", "T", "X")
-    records = fx.site.select("matrix_id", writers.fasta_text(F.col("seq_id").cast("string"), unknown).alias("value"))
-    records.repartition("matrix_id").write.partitionBy("matrix_id").text(path)
+    # Several files per set, so that a large set is written by several tasks.
+    records = fx.site.select(
+        "matrix_id", writers.fasta_text(F.col("seq_id").cast("string"), unknown).alias("value"), (F.col("word_no") % 8).alias("_spread")
+    )
+    records.repartition("matrix_id", "_spread").drop("_spread").write.partitionBy("matrix_id").text(path)
     return readers.read_sites(fx.spark, path, r"/matrix_id=([^/]+)/[^/]*$")
 
 

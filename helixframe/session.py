@@ -27,9 +27,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for one written table."""
-    return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder for one written table.
+
+    Written tables live until ``clear_scratch``, which a job calls when it needs
+    no result of the operators any more.
+    """
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to the shared folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from helixframe.operators.ordered import desc, islands, prefix_scan
-from helixframe.operators.pairing import grid_pairs
+from helixframe.operators.pairing import grid_pairs, unordered_pairs
 from helixframe.operators.ranges import merge_intervals, stab
 
 
@@ -29,6 +29,14 @@ def test_prefix_scan_matches_a_plain_walk(spark):
     assert {r["i"]: (r["rn"], r["s"], r["m"], r["l"], r["g"]) for r in got} == want
 
 
+def test_prefix_scan_keeps_null_keys(spark):
+    rows = [(None, 1, 1), (None, 2, 5), ("a", 1, 2), ("a", 2, None), (None, 3, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(3)
+    got = prefix_scan(df, ["k"], [F.col("i")], rn=("rank", None), s=("sum", "v")).collect()
+    assert sorted(((r["k"], r["i"], r["rn"], r["s"]) for r in got), key=str) == sorted(
+        [(None, 1, 1, 1), (None, 2, 2, 6), (None, 3, 3, 7), ("a", 1, 1, 2), ("a", 2, 2, 2)], key=str)
+
+
 def test_islands_and_union(spark):
     rnd = random.Random(5)
     rows = sorted({("t", s, s + rnd.randint(1, 6)) for s in (rnd.randint(0, 200) for _ in range(80))})
@@ -58,3 +66,59 @@ def test_grid_pairs_meets_every_pair_once(spark):
     right = spark.range(17).toDF("y")
     pairs = grid_pairs(left, right, "x", "y", side=3).collect()
     assert len(pairs) == 23 * 17 and len(set(map(tuple, pairs))) == 23 * 17
+
+
+def test_grid_is_cut_by_both_sizes(spark):
+    one, many = spark.createDataFrame([(7,)], "x long"), spark.range(50).toDF("y")
+    assert sorted(map(tuple, grid_pairs(one, many, "x", "y").collect())) == [(7, i) for i in range(50)]
+    assert grid_pairs(one.limit(0), many, "x", "y").collect() == []
+
+
+def test_unordered_pairs_are_made_once(spark):
+    df = spark.createDataFrame([(f"m{i}", i) for i in range(31)], "k string, v int")
+    names = sorted(f"m{i}" for i in range(31))
+    for own in (True, False):
+        for side in (None, 1, 4):
+            got = [(r["lo"]["k"], r["hi"]["k"]) for r in unordered_pairs(df, "k", own, side).collect()]
+            assert sorted(got) == [(a, b) for a in names for b in names if a < b or own and a == b]
+
+
+def test_chunks_are_cut_like_substrings(spark):
+    from helixframe.operators.scanning import chunked
+
+    rnd = random.Random(9)
+    texts = {i: "".join(rnd.choice("ACGT") for _ in range(n)) for i, n in enumerate([0, 1, 511, 512, 513, 8192, 8193, 40_000])}
+    df = spark.createDataFrame(list(texts.items()), "seq_id long, seq string")
+    for lap, size in ((18, 512), (0, 100), (11, 1 << 17), (600, 500)):
+        got = sorted(tuple(r) for r in chunked(df, lap, size).select("seq_id", "offset", "own", "text").collect())
+        assert got == [(i, at, min(size, len(t) - at), t[at : at + size + lap]) for i, t in texts.items() for at in range(0, len(t), size)]
+
+
+def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    from helixframe import session
+
+    monkeypatch.setattr(session, "_tables", lambda _: str(tmp_path / "tables"))
+    kept = session.cut_lineage(spark.range(5))
+    assert kept.count() == 5 and list((tmp_path / "tables").iterdir())
+    session.clear_scratch(spark)
+    assert not (tmp_path / "tables").exists()
+
+
+def test_fasta_stream(spark, tmp_path):
+    from helixframe.streaming import fasta_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_text(">one first\nACGT\nac gt\n>two\nACXT\n>three\n")
+    stream = fasta_stream(spark, str(tmp_path / "in"))
+    assert stream.isStreaming
+    run = stream.writeStream.format("memory").queryName("fasta").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = {r["header"]: (r["seq"], r["reason"]) for r in spark.table("fasta").collect()}
+    assert rows == {"one": ("ACGTACGT", None), "two": ("ACXT", "unknown letter"), "three": ("", "empty")}
+
+
+def test_no_pairs_make_no_tree(spark):
+    from helixframe.operators import clusters
+
+    none = spark.createDataFrame([], "grp string, a string, b string, d double")
+    assert clusters.upgma(none).collect() == []

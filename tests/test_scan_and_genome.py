@@ -117,6 +117,8 @@ def test_best_chain_score_is_the_optimum(spark):
             total += r[8] - (dt + dq) * cost
         scores.append(total)
     assert max(scores) == max(best.values())
+    table = {r["chain_id"]: r["score"] for r in chains.chain_table(chains.chain_best(blocks_of(spark, rows), gap, cost)).collect()}
+    assert sorted(table.values()) == sorted(scores)
 
 
 def test_net_owners_are_disjoint_and_best(spark):
@@ -134,3 +136,34 @@ def test_net_owners_are_disjoint_and_best(spark):
             assert pos not in got
             got[pos] = r["rk"]
     assert got == owner
+
+
+def test_pairs_can_leave_out_reading_frames(spark):
+    letters = "ACGTTGCAAC" * 6
+    index = footprint.alignment_index(spark.createDataFrame([(1, i + 1, x, x) for i, x in enumerate(letters)], "aln_id bigint, apos int, c1 string, c2 string"))
+    profile = footprint.conservation(index, 10)
+    cutoffs = spark.createDataFrame([(1, 100.0)], "aln_id bigint, cutoff double")
+    hits = spark.createDataFrame([(1, "m", s, s + 3, 1, 1.0, "ACGT") for s in (11, 21, 31, 55)],
+                                 "aln_id bigint, matrix_id string, start int, end int, strand int, score double, site string")
+    starts = lambda **options: sorted(r["start1"] for r in footprint.paired_sites(hits, hits, index, profile, cutoffs, **options).collect())
+    assert starts() == [11, 21, 31, 55]
+    assert starts(orfs=spark.createDataFrame([(1, 20, 25), (2, 1, 60)], "aln_id bigint, f_start int, f_end int")) == [11, 31, 55]
+    ends = {r["pos"]: r["conservation"] for r in profile.collect()}
+    assert ends[55] == 100 and ends[56] < 100
+    assert starts(compat=True) == [11, 21, 31]
+
+
+def test_seeds_and_segments_on_both_strands(spark):
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    one, two = text(60), text(60)
+    targets = spark.createDataFrame([(1, text(40) + one + text(50) + two + text(30))], "seq_id long, seq string")
+    queries = spark.createDataFrame([(7, text(15) + one + text(20)), (8, text(25) + turn(two) + text(9))], "seq_id long, seq string")
+    seeds = genome.seed_matches(targets, queries, 50)
+    found = {(r["q_id"], r["strand"], r["t_pos"] - r["q_pos"]) for r in seeds.collect()}
+    assert {(7, 1, 25), (8, -1, 150 - 9)} <= found
+    segments = {(r["q_id"], r["strand"]): r for r in genome.ungapped_hsps(seeds, targets, queries, 30, "far", 2200).collect()}
+    assert set(segments) == {(7, 1), (8, -1)}
+    assert segments[7, 1]["t_start"] <= 41 and segments[7, 1]["t_end"] >= 100
+    assert segments[8, -1]["t_start"] <= 151 and segments[8, -1]["t_end"] >= 210
