@@ -10,11 +10,13 @@ corrected for chance equality, estimate their similarity.  Candidates whose
 estimate is ``SIGMAS`` standard errors below the wanted similarity are dropped;
 the others are confirmed on the full sets.
 
-Members of a bucket are not paired with each other.  In a few rounds every
-member meets one leader of its bucket, drawn anew each time, and nodes that are
-connected already need no more tests.  Only the members of buckets that still
-hold several components are then compared, in blocks inside a task; what leaves
-the task are pairs of different components that pass the estimate.  So no link
+Members of a bucket are not paired with each other.  First every member meets
+one leader of its bucket.  Buckets that then still hold several components draw
+another leader, for the members outside its component, a few times.  Only the
+members of buckets that remain are compared, in blocks inside a task, by their
+signatures and then by outlines: bit maps of the hashes, in which a bit that only
+one side has proves a shingle that only that side has.  What leaves the task are
+pairs of different components that can reach the similarity by both.  So no link
 that a bucket shows is lost, and a large group of copies costs a few rows for
 each member.
 
@@ -23,7 +25,8 @@ Similarities compare whole numbers (``100 * intersection >= percent * union``).
 Results: words are what is left between the bytes 09-0D and 20 after lower-casing
 A-Z.  With fewer words than a shingle the whole sequence is the only one; without
 words, or without text, the set is empty and linked with nothing.  Rows of one id
-are one document and share its component.  A row with a null id has none (null
+are one document and share its component; if their sets differ, the one with the
+least hash is compared with other documents.  A row with a null id has none (null
 ``component_id``) and is kept.  An empty table gives an empty result.  Other
 columns pass through ``deduplicate``.
 """
@@ -45,8 +48,10 @@ BITS = 2
 MISSED = 1e-6
 MOST_BANDS = 40
 SIGMAS = 4.5
-#: Rounds in which bucket members meet a leader, and members compared at once afterwards.
-LEADER_ROUNDS, BLOCK = 3, 1024
+#: Further leaders that members of open buckets meet, and members compared at once afterwards.
+LEADER_ROUNDS, BLOCK = 2, 1024
+#: Bits of a set's outline, in which members of a bucket are compared.
+OUTLINE = 4096
 #: Distinct words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 #: Ids that may be sent to all executors (some 20 MB); more are joined by shuffle.
@@ -128,6 +133,21 @@ def estimated(left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
+def outline(values: np.ndarray) -> bytes:
+    """Bit map of the hashes of a set."""
+    bits = np.zeros(OUTLINE, np.uint8)
+    bits[(values % np.uint64(OUTLINE)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_reach(size: int, one: np.ndarray, sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set can reach the similarity with others; false only if the outlines rule it out."""
+    only_one = np.bitwise_count(one & ~others).sum(axis=-1, dtype=np.int64)
+    only_other = np.bitwise_count(others & ~one).sum(axis=-1, dtype=np.int64)
+    common = np.minimum(size - only_one, sizes - only_other)
+    return 100 * common >= percent * (size + sizes - common)
+
+
 def least_estimate(percent: int, count: int) -> float:
     """Estimates below this rule a pair out."""
     chance, wanted = 2.0**-BITS, percent / 100
@@ -186,8 +206,19 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return chosen.select("doc_id", "text", "set_hash").mapInArrow(run, schema).dropDuplicates(["node"])
 
 
+def _outlines(sets: DataFrame) -> DataFrame:
+    """``node, outline`` of every set."""
+
+    def run(batches):
+        for batch in batches:
+            made = [outline(np.frombuffer(b, np.uint64)) for b in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "outline"])
+
+    return sets.mapInArrow(run, T.StructType([sets.schema["node"], T.StructField("outline", T.BinaryType())]))
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int, count: int) -> DataFrame:
-    """Pairs (``a, b``) whose sizes allow the similarity and whose estimate reaches it, with ``estimate``."""
+    """Pairs (``a, b``) whose sizes allow the similarity and whose estimate reaches it."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_allow(percent))
     floor = least_estimate(percent, count)
@@ -197,13 +228,10 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int, count: int) -> Data
         for batch in batches:
             if batch.num_rows:
                 left, right = _bytes_of(batch.column("s_a")), _bytes_of(batch.column("s_b"))
-                estimate = estimated(left, right, count)
-                kept = pa.array(estimate >= floor)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").filter(kept), batch.column("b").filter(kept), pa.array(estimate).filter(kept)], ["a", "b", "estimate"]
-                )
+                kept = pa.array(estimated(left, right, count) >= floor)
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("estimate", T.DoubleType())])
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, schema)
 
 
@@ -237,7 +265,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame, percent: int, count: int) -> DataFrame:
-    """Pairs of different components in one bucket that pass sizes and estimate.
+    """Pairs of different components in one bucket that pass sizes, estimate and outlines.
 
     A bucket of up to ``BLOCK`` members is compared in one piece; a larger one in
     pairs of blocks, each in a task of its own.
@@ -247,13 +275,14 @@ def _block_pairs(members: DataFrame, percent: int, count: int) -> DataFrame:
     cut = cut.withColumn("own", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     piece = F.struct("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     ordered = cut.select(F.xxhash64(piece).alias("piece"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("inner"),
-                         "node", "comp", "n_shingles", "signature")
+                         "node", "comp", "n_shingles", "signature", "outline")
     floor = least_estimate(percent, count)
     kind = members.schema["node"].dataType
 
     def compare(rows: pa.Table):
         nodes, comps = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
         size, bits = rows.column("n_shingles").to_numpy(), _bytes_of(rows.column("signature"))
+        outlines = _bytes_of(rows.column("outline"))
         left = rows.column("left").to_numpy(zero_copy_only=False)
         if rows.column("inner")[0].as_py():
             here = there = np.arange(len(nodes))
@@ -265,6 +294,7 @@ def _block_pairs(members: DataFrame, percent: int, count: int) -> DataFrame:
             others = others[(comps[others] != comps[i]) & (low * 100 >= high * percent)]
             if len(others):
                 others = others[estimated(bits[i], bits[others], count) >= floor]
+                others = others[may_reach(size[i], outlines[i], size[others], outlines[others], percent)]
                 for j in others.tolist():
                     yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
 
@@ -299,51 +329,41 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     profile = cut_lineage(profiles(docs, size, percent))
     named = profile.where(F.col("doc_id").isNotNull())
     # Equal sets are one node, named after the smallest id among them.
-    same = named.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
+    ids = named.where("n_shingles > 0").groupBy("doc_id").agg(F.min("set_hash").alias("set_hash"))
+    same = cut_lineage(ids.groupBy("set_hash").agg(F.min("doc_id").alias("node")))
     firsts = named.join(same.select("set_hash", F.col("node").alias("doc_id")), ["set_hash", "doc_id"])
     nodes = firsts.groupBy(F.col("doc_id").alias("node"), "set_hash").agg(
         F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")
     )
     nodes = cut_lineage(nodes)
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    draw = lambda seed: F.min_by("node", F.xxhash64("node", "bucket", F.lit(seed)))
-    leaders = banded.groupBy("bucket").agg(F.count("*").alias("m"), *[draw(r).alias(f"l{r}") for r in range(LEADER_ROUNDS)]).where("m > 1").drop("m")
-    members = cut_lineage(banded.join(leaders, "bucket"))
+    # The first leader is drawn by node alone, so the buckets of a group mostly have the same one.
+    first = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("m > 1")
+    members = cut_lineage(banded.join(first.drop("m"), "bucket"))
     sets = cut_lineage(_sets(docs, members.select("node").distinct().join(nodes, "node").select(F.col("node").alias("doc_id"), "set_hash"), size))
     slim = nodes.select("node", "n_shingles", "signature")
-    labels = cut_lineage(named.select(F.col("doc_id").alias("node")).distinct().withColumn("comp", F.col("node")))
-    # Rows of one id with different sets, and of one set with different ids.
-    labels = join_components(labels, named.join(same, "set_hash").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    for turn in range(LEADER_ROUNDS):
-        met = members.select(F.col(f"l{turn}").alias("a"), F.col("node").alias("b")).where("a <> b")
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if turn:
-            met = _apart(met, labels)
-        alike = cut_lineage(_alike(met, slim, percent, count))
-        if not turn:
-            # First only the likeliest partner of each node: most other pairs are connected then.
-            best = alike.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
-            labels = join_components(labels, _confirmed(best, sets, percent))
-            alike = _apart(alike.select("a", "b"), labels)
+    labels = nodes.select("node", F.col("node").alias("comp"))
+    met = members.where("leader <> node")
+    for turn in range(LEADER_ROUNDS + 1):
+        pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        alike = cut_lineage(_alike(pairs, slim, percent, count))
         labels = join_components(labels, _confirmed(alike, sets, percent))
-    open_members = members.select("bucket", "node").join(labels, "node")
-    several = open_members.groupBy("bucket").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("bucket")
-    rest = cut_lineage(open_members.join(several, "bucket").join(slim, "node"))
-    pairs = cut_lineage(_block_pairs(rest, percent, count))
+        # Only buckets that hold several components go on.
+        placed = members.select("bucket", "node").join(labels, "node")
+        drawn = F.min_by(F.struct(F.col("node").alias("leader"), F.col("comp").alias("leader_comp")), F.xxhash64("node", "bucket", F.lit(turn)))
+        several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), drawn.alias("lead")).where("low < high")
+        members = cut_lineage(placed.join(several.select("bucket", "lead.*"), "bucket"))
+        met = members.where("comp <> leader_comp")
+    known = slim.join(_outlines(sets), "node")
+    pairs = cut_lineage(_block_pairs(members.select("bucket", "node", "comp").join(known, "node"), percent, count))
     labels = join_components(labels, _confirmed(pairs, sets, percent))
-    found = labels.select(F.col("node").alias("doc_id"), F.col("comp").alias("component_id"))
+    found = ids.join(same, "set_hash").join(labels, "node").select("doc_id", "comp")
+    component = F.coalesce("comp", "doc_id")  # an empty set stands alone
     return profile.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    first = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    second = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(first, "a").join(second, "b").where("ca <> cb").select("a", "b")
-
-
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id.
 

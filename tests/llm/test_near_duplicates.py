@@ -79,9 +79,9 @@ def test_components(spark, size, percent, seed, monkeypatch):
 
 
 def test_block_stage_alone_finds_every_link(spark, monkeypatch):
-    """Without leaders all links come from the blocks, also from buckets of many blocks."""
+    """With leaders that link nothing all links come from the blocks, also from buckets of many blocks."""
     monkeypatch.setattr(nd, "BLOCK", 8)
-    monkeypatch.setattr(nd, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(nd, "_alike", lambda pairs, *_: pairs.limit(0))
     rows = corpus(3)
     got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == by_hand(rows, 3, 85)
@@ -118,6 +118,22 @@ def test_estimate_is_near_the_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def test_outlines_rule_out_no_link():
+    draw = np.random.default_rng(8)
+    close = 0
+    for _ in range(400):
+        pool = draw.integers(0, 1 << 63, draw.integers(5, 6000), np.uint64)
+        a, b = np.unique(pool[draw.random(len(pool)) < 0.95]), np.unique(pool[draw.random(len(pool)) < 0.95])
+        common = len(np.intersect1d(a, b))
+        linked = 100 * common >= 85 * (len(a) + len(b) - common)
+        x, y = (np.frombuffer(nd.outline(v), np.uint8) for v in (a, b))
+        assert nd.may_reach(len(a), x, np.array([len(b)]), y[None], 85)[0] or not linked
+        close += linked
+    assert close > 100
+    far = [np.frombuffer(nd.outline(draw.integers(0, 1 << 63, 150, np.uint64)), np.uint8) for _ in range(2)]
+    assert not nd.may_reach(150, far[0], np.array([150]), far[1][None], 85)[0]
+
+
 def test_components_of_links(spark):
     draw = random.Random(1)
     nodes = list(range(300))
