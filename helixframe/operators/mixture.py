@@ -55,19 +55,18 @@ def fit(counts: DataFrame, start: list[Component], max_rounds: int = 10_000, min
 
     Equal count columns are folded into one weighted row first.  Each round adds
     up per-partition sums, so only one short row per component and partition
-    leaves a task, and one per component reaches the driver.  After two rounds
-    the parameters are carried on along their path, and the jump is kept if it
-    raises the likelihood; that leads to the same place in far fewer rounds.
+    leaves a task.  After two rounds the parameters are carried on along their
+    path, and the jump is kept if it raises the likelihood; that leads to the
+    same place in far fewer rounds.
     """
     folded = cut_lineage(counts.groupBy(*BASES).agg(F.count(F.lit(1)).cast("double").alias("w")))
     rows = folded.agg(F.sum("w")).first()[0]
     history: list[float] = []
 
     def step(mix: list[Component]) -> tuple[float, list[Component]]:
-        sums = folded.mapInPandas(partial(_partial_sums, mix), SUMS).groupBy("k").agg(
-            *[F.sum(name).alias(name) for name in SUM_NAMES]
-        )
-        found = sorted(sums.collect(), key=lambda s: s["k"])
+        # A round is one stage: the short rows of the tasks are added up here.
+        parts = folded.mapInPandas(partial(_partial_sums, mix), SUMS).collect()
+        found = [{n: sum(r[n] for r in parts if r["k"] == k) for n in SUM_NAMES} for k in range(len(mix))]
         better = [
             Component(
                 s["resp"] / rows,

@@ -11,8 +11,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.operators.ordered import prefix_scan, rank_rows
+from helixframe.operators.scanning import chunked
 from helixframe.session import cut_lineage, task_count
 
+#: Widest site of a set.
+SITE_WIDTH = 12
+
 
 class Fixtures:
     """Derived tables of one scale-factor folder, for one query.  Building a table runs no
@@ -41,11 +45,19 @@ class Fixtures:
 
     @cached_property
     def site(self) -> DataFrame:
-        """Every sequence cut into consecutive words of its set's width; a shorter rest is no word."""
-        width = 6 + F.substring("source", 4, 10).cast("int") % 7
-        word = F.regexp_extract_all("seq", F.concat(F.lit("([ACGT]{"), width.cast("string"), F.lit("})")), F.lit(1))
-        return self.sequence.select(
-            F.col("source").alias("matrix_id"), "seq_id", F.posexplode(word).alias("word_no", "site")
+        """Binding sites of a set: all places in all its sequences where its seed of three
+        letters stands, with the letters that follow up to the set's width."""
+        number = F.substring("source", 4, 10).cast("int")
+        letter = lambda n: F.substring(F.lit("ACGT"), F.pmod(n, F.lit(4)) + 1, F.lit(1))
+        sets = self.sequence.select(
+            F.col("source").alias("matrix_id"), "seq_id", (6 + number % 7).alias("w"),
+            F.concat(letter(number), letter(F.floor(number / 4)), letter(F.floor(number / 8) + number)).alias("seed"),
+        )
+        places = chunked(self.sequence, SITE_WIDTH - 1, 512).join(sets, "seq_id")
+        at = F.explode(F.sequence(F.lit(1), F.least(F.col("own"), F.length("text") - F.col("w") + 1)))
+        whole = places.where(F.length("text") >= F.col("w")).select("*", at.alias("i"))
+        return whole.where(F.substring(F.col("text"), F.col("i"), F.lit(3)) == F.col("seed")).select(
+            "matrix_id", "seq_id", (F.col("offset") + F.col("i")).alias("site_at"), F.substring(F.col("text"), F.col("i"), F.col("w")).alias("site")
         )
 
     @cached_property
@@ -200,9 +212,11 @@ class Fixtures:
 ORACLE_VIEWS: dict[str, str] = {
     "f1_sequence": """SELECT doc_id AS seq_id, source, lang,
         upper(regexp_replace(text,'[^ACGTacgt]','','g')) AS seq FROM documents""",
-    "f2_site": """SELECT matrix_id, seq_id, CAST(word_no AS INT) AS word_no, substr(seq, CAST(word_no*w+1 AS INT), w) AS site FROM
-        (SELECT matrix_id, seq_id, seq, w, unnest(range(0, length(seq)//w)) AS word_no FROM
-          (SELECT source AS matrix_id, seq_id, seq, 6+CAST(substr(source,4) AS INT)%7 AS w FROM f1_sequence))""",
+    "f2_site": """SELECT matrix_id, seq_id, CAST(site_at AS BIGINT) AS site_at, substr(seq, CAST(site_at AS INT), w) AS site FROM
+        (SELECT matrix_id, seq_id, seq, 6+k%7 AS w, unnest(range(1, length(seq)-(6+k%7)+2)) AS site_at,
+           substr('ACGT',k%4+1,1) || substr('ACGT',(k//4)%4+1,1) || substr('ACGT',(k//8+k)%4+1,1) AS seed FROM
+          (SELECT source AS matrix_id, seq_id, seq, CAST(substr(source,4) AS INT) AS k FROM f1_sequence))
+        WHERE substr(seq, CAST(site_at AS INT), 3)=seed""",
     "f3_cell": """SELECT matrix_id, CAST(pos AS INT) AS pos, substr(site,CAST(pos AS INT),1) AS base,
         CAST(count(*) AS DOUBLE) AS n
         FROM (SELECT matrix_id, site, unnest(range(1,length(site)+1)) AS pos FROM f2_site) GROUP BY 1,2,3""",

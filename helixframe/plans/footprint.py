@@ -29,8 +29,8 @@ def alignment_index(fx):
     return index(fx)
 
 
-@query("strip_gaps", """SELECT aln_id, string_agg(c1,'' ORDER BY apos) FILTER (c1<>'-') AS seq1,
-    string_agg(c2,'' ORDER BY apos) FILTER (c2<>'-') AS seq2 FROM f7_alignment GROUP BY 1""")
+@query("strip_gaps", """SELECT aln_id, coalesce(string_agg(c1,'' ORDER BY apos) FILTER (c1<>'-'),'') AS seq1,
+    coalesce(string_agg(c2,'' ORDER BY apos) FILTER (c2<>'-'),'') AS seq2 FROM f7_alignment GROUP BY 1""")
 def strip_gaps(fx):
     from helixframe.plans.sources import alignment_strings
 

@@ -109,21 +109,21 @@ def matrix_min_max_score(fx):
     return found.select("matrix_id", F.round("min_score", 6).alias("min_score"), F.round("max_score", 6).alias("max_score"))
 
 
-@query("relative_score", """SELECT matrix_id, seq_id, word_no, CAST(floor((score-min_score)/(max_score-min_score)*100+0.5) AS INT) AS rel
-    FROM (SELECT matrix_id, seq_id, word_no, sum(CASE substr(site,pos,1) WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END) AS score
+@query("relative_score", """SELECT matrix_id, seq_id, site_at, CAST(floor((score-min_score)/(max_score-min_score)*100+0.5) AS INT) AS rel
+    FROM (SELECT matrix_id, seq_id, site_at, sum(CASE substr(site,pos,1) WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END) AS score
       FROM f2_site JOIN v_pwm USING (matrix_id) GROUP BY 1,2,3) JOIN v_range USING (matrix_id)""")
 def relative_score(fx):
     pwm = p.log_odds(p.pseudo_frequencies(counts(fx)))
-    letters = fx.site.select("matrix_id", "seq_id", "word_no", F.posexplode(F.split("site", "")).alias("i", "base"))
+    letters = fx.site.select("matrix_id", "seq_id", "site_at", F.posexplode(F.split("site", "")).alias("i", "base"))
     cells = p.long(pwm, "s")
     scored = (
         letters.withColumn("pos", F.col("i") + 1)
         .join(cells, ["matrix_id", "pos", "base"])
-        .groupBy("matrix_id", "seq_id", "word_no")
+        .groupBy("matrix_id", "seq_id", "site_at")
         .agg(F.sum("s").alias("score"))
     )
     rel = p.relative_score(F.col("score"), F.col("min_score"), F.col("max_score"))
-    return scored.join(p.score_range(pwm), "matrix_id").select("matrix_id", "seq_id", "word_no", rel.alias("rel"))
+    return scored.join(p.score_range(pwm), "matrix_id").select("matrix_id", "seq_id", "site_at", rel.alias("rel"))
 
 
 @query("matrix_concat", """SELECT matrix_id, pos, CAST(row_number() OVER (ORDER BY CAST(substr(matrix_id,4) AS INT) DESC, pos)-1 AS INT) AS new_pos

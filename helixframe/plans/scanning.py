@@ -216,10 +216,9 @@ def strand_coordinates(fx):
 
 @query("site_sensitivity", f"""SELECT count(*) AS known, CAST(sum(CASE WHEN found THEN 1 ELSE 0 END) AS BIGINT) AS found,
     {r6('avg(CASE WHEN found THEN 1.0 ELSE 0.0 END)')} AS share FROM (SELECT EXISTS (SELECT 1 FROM v_hit h WHERE h.seq_id=k.seq_id
-      AND h.matrix_id=k.matrix_id AND h.start<=(k.word_no+1)*length(k.site) AND h."end">k.word_no*length(k.site)) AS found FROM f2_site k)""")
+      AND h.matrix_id=k.matrix_id AND h.start<k.site_at+length(k.site) AND h."end">=k.site_at) AS found FROM f2_site k)""")
 def site_sensitivity(fx):
-    width = F.length("site")
     known = fx.site.select(
-        "seq_id", "matrix_id", (F.col("word_no") * width + 1).alias("k_start"), ((F.col("word_no") + 1) * width).alias("k_end")
+        "seq_id", "matrix_id", F.col("site_at").alias("k_start"), (F.col("site_at") + F.length("site") - 1).alias("k_end")
     )
     return s.sensitivity(known, hits(fx)).withColumn("share", F.round("share", 6))

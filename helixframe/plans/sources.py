@@ -109,7 +109,7 @@ def src_sites(fx):
     unknown = F.translate("site", "T", "X")
     # Several files per set, so that a large set is written by several tasks.
     records = fx.site.select(
-        "matrix_id", writers.fasta_text(F.col("seq_id").cast("string"), unknown).alias("value"), (F.col("word_no") % 8).alias("_spread")
+        "matrix_id", writers.fasta_text(F.col("seq_id").cast("string"), unknown).alias("value"), (F.col("site_at") % 8).alias("_spread")
     )
     records.repartition("matrix_id", "_spread").drop("_spread").write.partitionBy("matrix_id").text(path)
     return readers.read_sites(fx.spark, path, r"/matrix_id=([^/]+)/[^/]*$")
@@ -161,7 +161,7 @@ def src_blocks(fx):
     return readers.read_blocks(fx.spark, path)
 
 
-@query("score_dist_io", f"""SELECT CAST(len1 AS INT) AS len1, CAST(len2 AS INT) AS len2, {r6('avg(score)')} AS mean, {r6('stddev_pop(score)')} AS sd, count(*) AS n,
+@query("score_dist_io", f"""SELECT CAST(len1 AS INT) AS len1, CAST(len2 AS INT) AS len2, {r6('avg(score)+1e-9')} AS mean, {r6('stddev_pop(score)')} AS sd, count(*) AS n,
     {r6('min(score)')} AS min, {r6('max(score)')} AS max FROM pair_scores_both GROUP BY 1,2""")
 def score_dist_io(fx):
     path = scratch_path(fx.spark, "scores")
