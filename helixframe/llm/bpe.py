@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from helixframe.llm.common import query, slices, table, texts_of
 
 BATCH_BYTES = 64
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -121,8 +121,8 @@ def merge_one(data: bytes, vocabulary: Vocabulary) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
-def merge_many(data: list[bytes], width: int, vocabulary: Vocabulary) -> list[tuple[int, ...]]:
-    """Ids of matches of at most ``width`` bytes (a power of two), all trees side by side."""
+def merge_many(data: list[bytes], width: int, vocabulary: Vocabulary) -> list[bytes]:
+    """Ids (32 bits each) of matches of at most ``width`` bytes (a power of two), all trees side by side."""
     rows = len(data)
     sizes = np.array([len(d) for d in data], np.int64)
     raw = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8).reshape(rows, width)
@@ -172,10 +172,10 @@ def merge_many(data: list[bytes], width: int, vocabulary: Vocabulary) -> list[tu
         if some.any():
             put(row[some], left[some], pair_at(row[some], left[some]))
         row = row[tree[row, 1] != _NONE]
-    counts = alive.sum(axis=1)
-    flat = ids[:, :width][alive].tolist()
-    ends = np.cumsum(counts).tolist()
-    return [tuple(flat[end - count : end]) for end, count in zip(ends, counts.tolist())]
+    sizes = 4 * alive.sum(axis=1)
+    flat = ids[:, :width][alive].astype("<i4").tobytes()
+    ends = np.cumsum(sizes).tolist()
+    return [flat[end - size : end] for end, size in zip(ends, sizes.tolist())]
 
 
 class Encoder:
@@ -184,7 +184,7 @@ class Encoder:
     def __init__(self, ranks: bytes, pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids of 32 bits each
 
     def learn(self, matches: list[str]) -> None:
         if len(self.known) + len(matches) > CACHE_ENTRIES:
@@ -194,9 +194,9 @@ class Encoder:
             data = match.encode("utf-8", "replace")
             whole = self.vocabulary.rank.get(data)
             if whole is not None:
-                self.known[match] = (whole,)
+                self.known[match] = whole.to_bytes(4, "little")
             elif len(data) > BATCH_BYTES:
-                self.known[match] = tuple(merge_one(data, self.vocabulary))
+                self.known[match] = np.array(merge_one(data, self.vocabulary), "<i4").tobytes()
             else:
                 classes.setdefault(1 << (len(data) - 1).bit_length(), []).append((match, data))
         for width, members in classes.items():
@@ -215,8 +215,8 @@ class Encoder:
                 fresh = list(distinct)
             self.learn(fresh)
         found = [self.known[m] for m in matches]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<i4")
         upto = np.concatenate([[0], np.cumsum(lengths)])
         ends = np.cumsum([len(s) for s in split])
         return ids, np.diff(np.concatenate([[0], upto[ends]]))

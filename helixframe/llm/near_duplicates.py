@@ -53,7 +53,7 @@ LEADER_ROUNDS, BLOCK = 2, 1024
 #: Bits of a set's outline, in which members of a bucket are compared.
 OUTLINE = 4096
 #: Distinct words whose hashes a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Ids that may be sent to all executors (some 20 MB); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 

@@ -38,7 +38,7 @@ EPOCHS = 12
 #: A term is kept if its share among toxic rows is above that among the others by so many standard errors.
 LEAST_Z = 4.0
 #: Distinct words whose terms a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 THRESHOLD = 0.5
 
 _letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
