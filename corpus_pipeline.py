@@ -12,19 +12,28 @@ from helixframe.session import cut_lineage, scratch_path
 ORACLE_SQL = None
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """The documents under names that no operator uses."""
+    return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+
+
+def _plain_name(docs: DataFrame, column: str) -> str:
+    return f"_{docs.columns.index(column)}"
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels of these documents."""
     stats = cut_lineage(quality.with_statistics(docs.select("doc_id", "text")))
     model = quality.fit(stats, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.select("text", F.struct(*docs.columns).alias("row")), model, "text")
-    return scored.where(F.col("score") >= quality.THRESHOLD).select("row.*")
+    scored = quality.score(_plain(docs), model, _plain_name(docs, "text"))
+    return scored.where(F.col("score") >= quality.THRESHOLD).drop("score").toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; it learns from the labels of these documents."""
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("text", F.struct(*docs.columns).alias("row")), machine)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
+    scored = toxicity.score(_plain(docs), machine, _plain_name(docs, "text"))
+    return scored.where(F.col("score") < toxicity.THRESHOLD).drop("score").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
