@@ -140,13 +140,13 @@ def test_mixture_reaches_the_plain_fit(spark):
     start = [mixture.Component(0.4, (2.0, 1.0, 1.9, 1.0)), mixture.Component(0.6, (1.0, 2.0, 1.1, 2.0))]
     batch = pd.DataFrame([[*map(float, r), 1.0] for r in rows], columns=[*p.BASES, "w"])
     mix, lls = start, []
-    while len(lls) < 2 or lls[-1] - lls[-2] > 1e-6:
+    while len(lls) < 2 or lls[-1] - lls[-2] > 1e-3:
         sums = next(mixture._partial_sums(mix, iter([batch])))
         lls.append(sums["ll"][0])
         mix = [mixture.Component(s["resp"] / 300, tuple(a * s[f"num_{b}"] / s["den"] for a, b in zip(c.alpha, p.BASES))) for c, (_, s) in zip(mix, sums.iterrows())]
-    found, history = mixture.fit(matrix(spark, {"m": rows}), start)
-    assert len(history) < len(lls) and history[-1] >= lls[-1] - 1e-3
-    assert [c.share for c in found] == pytest.approx([c.share for c in mix], abs=0.01)
+    found, history = mixture.fit(matrix(spark, {"m": rows}), start, min_gain=1e-3)
+    assert len(history) < len(lls) and history[-1] >= lls[-1] - 0.01
+    assert [c.share for c in found] == pytest.approx([c.share for c in mix], abs=0.02)
 
 
 def plain_upgma(names, d):
