@@ -70,17 +70,19 @@ def chain_best(blocks: DataFrame, max_gap: int, gap_cost: float) -> DataFrame:
         .where((F.col("i") != F.col("j")) & (t_gap >= 0) & (t_gap <= max_gap) & (q_gap >= 0) & (q_gap <= max_gap))
         .select("i", "j", ((t_gap + q_gap) * gap_cost).alias("cost"))
     )
-    own = cut_lineage(blocks.select(F.col("block_id").alias("j"), F.col("score").cast("double").alias("own")))
-    best = cut_lineage(own.select("j", F.col("own").alias("best")))
-    fresh = best
-    while not fresh.isEmpty():
-        reach = links.join(fresh.select(F.col("j").alias("i"), F.col("best").alias("b")), "i").groupBy("j").agg(
-            F.max(F.col("b") - F.col("cost")).alias("via")
+    own = F.col("score").cast("double")
+    state = cut_lineage(blocks.select(F.col("block_id").alias("j"), own.alias("own"), own.alias("best"), F.lit(True).alias("fresh")))
+    while not state.where("fresh").isEmpty():
+        moved = state.where("fresh").select(F.col("j").alias("i"), F.col("best").alias("b"))
+        # A link that costs more than the score before it helps nobody.
+        reach = links.join(moved, "i").where("b > cost").groupBy("j").agg(F.max(F.col("b") - F.col("cost")).alias("via"))
+        new = F.col("own") + F.col("via")
+        state = cut_lineage(
+            state.join(reach, "j", "left").select(
+                "j", "own", F.greatest("best", new).alias("best"), F.coalesce(new > F.col("best"), F.lit(False)).alias("fresh")
+            )
         )
-        tried = reach.join(own, "j").join(best, "j").select("j", (F.col("own") + F.col("via")).alias("new"), "best")
-        fresh = cut_lineage(tried.where("new > best").select("j", F.col("new").alias("best")))
-        better = fresh.select("j", F.col("best").alias("_new"))
-        best = cut_lineage(best.join(better, "j", "left").select("j", F.coalesce("_new", "best").alias("best")))
+    best = state.select("j", "best")
     b = best.select(F.col("j").alias("i"), F.col("best").alias("bi"))
     gains = links.join(b, "i").join(best.withColumnRenamed("best", "bj"), "j").withColumn("gain", F.col("bi") - F.col("cost"))
     back = cut_lineage(
