@@ -7,13 +7,17 @@ the same way.  A gap without anchors is aligned by its longest common
 subsequence.  Coverage is the share of the template's words that found a
 partner.
 
-A template of m words is looked for in windows of 2 m words that begin every m
-words, so any passage of up to m words lies whole in one of them, and the work
-for a text grows with its length.  Windows that lack too many of the template's
-words are passed over; that rules out no hit.
+A template of m words is looked for in every passage of up to 2 m words, wherever
+it begins: one pass over the places of the template's words keeps, for each
+number of matched words, the latest beginning from which so many can be matched.
+Where a beginning moves on, a passage that cannot be shortened ends.  Stretches
+that lack too many of the template's words are passed over; that rules out no
+hit.  If the anchors of a passage lead to fewer pairs than it has, its longest
+common subsequence counts.
 
 Results: one row for each hit of at least ``percent`` hundredths coverage; of
 overlapping hits of one template the best covered counts, then the earlier one.
+A notice with more inserted words than the template has words is not a hit.
 Several templates may hit one place.  Null and empty texts have no hits; empty
 templates and empty tables give none.  Repeated rows are scanned one by one.  Of
 the other columns only ``doc_id`` passes through.
@@ -132,6 +136,7 @@ class Template:
         self.name = name
         self.words, _ = words_of(text)
         self.counts = Counter(self.words)
+        self.rows = {w: self.words.index(w) for w in self.counts}
         self.need = max(1, math.ceil(percent * len(self.words) / 100))
         # A text without any of these lacks too many words: together they occur more often than may be missing.
         self.telling, missing = [], len(self.words) - self.need
@@ -148,23 +153,67 @@ class Template:
         counts = Counter(w for w in words if w in self.counts)
         return sum(min(n, counts[w]) for w, n in self.counts.items())
 
+    def stretches(self, words: list[str]) -> list[list[int]]:
+        """Places of the template's words, in stretches that hold every passage with enough of them."""
+        places = [j for j, w in enumerate(words) if w in self.counts]
+        reach, held, shared, left = 2 * len(self.words), Counter(), 0, 0
+        out, taken = [], 0
+        for right, j in enumerate(places):
+            word = words[j]
+            held[word] += 1
+            shared += held[word] <= self.counts[word]
+            while places[left] <= j - reach:
+                gone = words[places[left]]
+                shared -= held[gone] <= self.counts[gone]
+                held[gone] -= 1
+                left += 1
+            if shared >= self.need:
+                if out and left < taken:
+                    out[-1] += places[taken : right + 1]
+                else:
+                    out.append(places[left : right + 1])
+                taken = right + 1
+        return out
+
+    def passages(self, words: list[str], places: list[int]) -> list[tuple[int, int, int]]:
+        """``(matched, first word, last word)`` of the passages of a stretch that cannot be shortened."""
+        size, found = len(self.words), []
+        # begins[i], sorted downwards, are the latest beginnings with 1, 2, ... matched words up to the current place.
+        begins = [-1 - i for i in range(size)]
+        before = list(begins)
+        for j in places:
+            word, begin = words[j], j
+            for i in range(self.rows[word], size):
+                if self.words[i] == word or begin < begins[i]:
+                    begin, begins[i] = begins[i], begin
+            latest = sorted(begins, reverse=True)
+            oldest = max(j - 2 * size, -1)
+            for matched in range(self.need, size + 1):
+                first = latest[matched - 1]
+                if first <= oldest:
+                    break
+                if first > before[matched - 1]:
+                    found.append((matched, first, j))
+            before = latest
+        return found
+
+    def aligned(self, words: list[str], matched: int) -> list[tuple[int, int]]:
+        """Alignment of a passage in which ``matched`` words can be matched."""
+        pairs = align(self.words, words)
+        return pairs if len(pairs) >= matched else _common(self.words, words, 0, len(self.words), 0, len(words))
+
     def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
         """``(matched, first word, last word)`` of every hit."""
-        size = len(self.words)
-        if not size or self.shared(words) < self.need:
+        if not self.words or self.shared(words) < self.need:
             return []
-        found = []
-        for begin in range(0, max(1, len(words) - size + 1), size):
-            window = words[begin : begin + 2 * size]
-            if self.shared(window) >= self.need:
-                pairs = align(self.words, window)
-                if len(pairs) >= self.need:
-                    found.append((len(pairs), begin + pairs[0][1], begin + pairs[-1][1]))
+        found = [p for places in self.stretches(words) for p in self.passages(words, places)]
         kept: list[tuple[int, int, int]] = []
-        for hit in sorted(set(found), key=lambda h: (-h[0], h[1], h[2])):
-            if all(hit[2] < k[1] or hit[1] > k[2] for k in kept):
-                kept.append(hit)
-        return sorted(kept, key=lambda h: h[1])
+        for matched, first, last in sorted(found, key=lambda h: (-h[0], h[1], h[2])):
+            at = bisect_left(kept, first, key=lambda k: k[1])
+            if (at == len(kept) or last < kept[at][1]) and (not at or kept[at - 1][2] < first):
+                pairs = self.aligned(words[first : last + 1], matched)
+                kept.insert(at, (len(pairs), first + pairs[0][1], first + pairs[-1][1]))
+        return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT, text: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from helixframe.llm import licenses
 
@@ -51,6 +52,42 @@ def test_hits(spark):
             assert words == licenses.words_of(licenses.TEMPLATES[r["license"]])[0]
 
 
+def test_inserted_words_at_every_offset():
+    """Up to as many inserted words as the template has; what is found must not depend on the place."""
+    draw = random.Random(5)
+    for name, text in licenses.TEMPLATES.items():
+        template = licenses.Template(name, text, 80)
+        size = len(template.words)
+        for added in (size // 2, size):
+            holes = Counter(draw.randint(1, size - 1) for _ in range(added))
+            notice = [w for i, own in enumerate(template.words) for w in ["inserted"] * holes[i] + [own]]
+            for offset in range(size):
+                got = template.hits(["before"] * offset + notice + ["after"] * size)
+                assert got == [(size, offset, offset + len(notice) - 1)], (name, added, offset)
+
+
+def test_passages_are_best_of_all():
+    """Against the longest common subsequence with every passage."""
+    draw = random.Random(6)
+    for _ in range(150):
+        template = licenses.Template("t", " ".join(draw.choice("abcde") for _ in range(draw.randint(1, 7))), 60)
+        words = [draw.choice("abcdexyz") for _ in range(draw.randint(0, 40))]
+        size = len(template.words)
+        best = {}
+        for i in range(len(words)):
+            for j in range(i, min(len(words), i + 2 * size)):
+                best[i, j] = len(licenses._common(template.words, words, 0, size, i, j + 1))
+        want = sorted(
+            (n, i, j) for (i, j), n in best.items()
+            if n >= template.need and best.get((i + 1, j), 0) < n and best.get((i, j - 1), 0) < n
+        )
+        got = [p for places in template.stretches(words) for p in template.passages(words, places)]
+        assert sorted(got) == want
+        hits = template.hits(words)
+        assert bool(hits) == bool(want) and all(best[i, j] == n for n, i, j in hits)
+        assert max((n for n, _, _ in hits), default=0) == max((n for n, _, _ in want), default=0)
+
+
 def test_prefilter_loses_nothing():
     draw = random.Random(4)
     for name, text in licenses.TEMPLATES.items():
