@@ -6,9 +6,13 @@ factorization machine adds to the linear weights an inner product of factors
 for every pair of terms, so that two harmless terms can be toxic together.
 
 The fit uses at most ``TRAINING_ROWS`` labelled rows, drawn by a hash of the
-id; over those it counts every term, keeps up to ``TERMS`` buckets that are
-clearly commoner in toxic rows and trains on them.  The machine is as large as
-``TERMS``, whatever the number of documents.  Scoring reads every whole text.
+id.  All their terms in at least ``LEAST_ROWS`` rows take part, toxic, neutral or
+commoner in clean rows, and rarer ones if they are clearly associated with the
+label.  Association, overall or among the rows with a clearly toxic term,
+whichever is stronger and in either direction, sets the pace at which a term
+learns, so the many terms without any do not drown the others.  The machine is
+bounded by ``BUCKETS``, whatever the number of documents.  Scoring reads every
+whole text.
 
 Results: null and empty texts have no terms and get the score of the bias.
 Of several labels of one id the mean counts; rows of one id all take part.
@@ -28,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from helixframe.llm.common import held_out, query, slices, table, texts_of, training_labels
-from helixframe.session import cut_lineage
 
 BUCKETS = 1 << 20
 TRAINING_ROWS = 30_000
-TERMS = 4096
+#: A term in so many training rows takes part.
+LEAST_ROWS = 10
 FACTORS = 8
 EPOCHS = 12
-#: A term is kept if its share among toxic rows is above that among the others by so many standard errors.
-LEAST_Z = 4.0
+#: So many standard errors between its shares among toxic and other rows make a term clearly associated.
+CLEAR_Z = 4.0
+#: Pace of a term without association.
+LEAST_PACE = 0.01
 #: Distinct words whose terms a worker keeps.
 CACHE_WORDS = 200_000
 THRESHOLD = 0.5
@@ -114,13 +120,36 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(flat, counts), -30, 30)))
 
 
-def train(rows: list[np.ndarray], targets: np.ndarray, terms: int, places: dict[int, int]) -> Machine:
-    """Logistic loss by adaptive gradient steps over shuffled small batches."""
+def association(flat: np.ndarray, counts: np.ndarray, targets: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of every term, and standard errors between its shares among toxic and other rows."""
+    n = np.bincount(flat, minlength=terms)
+    one = np.bincount(flat, np.repeat(targets, counts), terms)
+    ones, zeros = targets.sum(), (1 - targets).sum()
+    if not ones or not zeros:
+        return n, np.zeros(terms)
+    p = n / (ones + zeros)
+    return n, (one / ones - (n - one) / zeros) / np.sqrt((p * (1 - p) + 1e-12) * (1 / ones + 1 / zeros))
+
+
+def paces(flat: np.ndarray, counts: np.ndarray, targets: np.ndarray, terms: int) -> np.ndarray:
+    """Pace of every term; 0 for those that take no part."""
+    n, z = association(flat, counts, targets, terms)
+    # A term can be neutral by itself and tell much beside a toxic one.
+    owner = np.repeat(np.arange(len(counts)), counts)
+    toxic = np.bincount(owner, z[flat] >= CLEAR_Z, len(counts)) > 0
+    _, beside = association(flat[toxic[owner]], counts[toxic], targets[toxic], terms)
+    clear = np.maximum(np.abs(z), np.abs(beside)) / CLEAR_Z
+    return np.where((n >= LEAST_ROWS) | (n > 0) & (clear >= 1), np.clip(clear**4, LEAST_PACE, 1), 0)
+
+
+def train(rows: list[np.ndarray], targets: np.ndarray, pace: np.ndarray, places: dict[int, int]) -> Machine:
+    """Logistic loss by adaptive gradient steps over shuffled small batches, each term at its pace."""
+    terms = len(pace)
     draw = np.random.default_rng(11)
     share = float(np.clip(targets.mean(), 1e-3, 1 - 1e-3))
-    machine = Machine(places, math.log(share / (1 - share)), np.zeros(terms), draw.normal(0, 0.01, (terms, FACTORS)))
+    machine = Machine(places, math.log(share / (1 - share)), np.zeros(terms), draw.normal(0, 0.01, (terms, FACTORS)) * pace[:, None])
     seen = [np.full(terms, 1e-6), np.full((terms, FACTORS), 1e-6)]
-    seen_bias, rate, decay = 1e-6, 0.3, 1e-4
+    seen_bias, rate, decay = 1e-6, 0.3, 1e-4 / pace**2
     counts = np.array([len(r) for r in rows])
     for _ in range(EPOCHS):
         order = draw.permutation(len(rows))
@@ -130,16 +159,16 @@ def train(rows: list[np.ndarray], targets: np.ndarray, terms: int, places: dict[
             slope = machine.score(flat, sizes) - targets[some]
             row = np.repeat(np.arange(len(some)), sizes)
             used, back = np.unique(flat, return_inverse=True)
-            g = np.bincount(back, slope[row], len(used)) / len(some) + decay * machine.linear[used]
+            g = np.bincount(back, slope[row], len(used)) / len(some) + decay[used] * machine.linear[used]
             seen[0][used] += g * g
-            machine.linear[used] -= rate * g / np.sqrt(seen[0][used])
+            machine.linear[used] -= pace[used] * rate * g / np.sqrt(seen[0][used])
             v = machine.factors[flat]
             totals = np.stack([np.bincount(row, v[:, k], len(some)) for k in range(FACTORS)], axis=1)
             pull = slope[row][:, None] * (totals[row] - v)
             gv = np.stack([np.bincount(back, pull[:, k], len(used)) for k in range(FACTORS)], axis=1) / len(some)
-            gv += decay * machine.factors[used]
+            gv += decay[used, None] * machine.factors[used]
             seen[1][used] += gv * gv
-            machine.factors[used] -= 0.1 * rate * gv / np.sqrt(seen[1][used])
+            machine.factors[used] -= 0.1 * rate * pace[used, None] * gv / np.sqrt(seen[1][used])
             gb = float(slope.mean())
             seen_bias += gb * gb
             machine.bias -= rate * gb / math.sqrt(seen_bias)
@@ -151,27 +180,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     drawn = training_labels(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most ``rows`` short rows, so the documents need no shuffle to meet them.
     chosen = docs.select("doc_id", text).join(F.broadcast(drawn), "doc_id")
-    sample = cut_lineage(with_terms(chosen, text=text))
-    ones, zeros = (float(x or 0) for x in sample.agg(F.sum("target"), F.sum(1 - F.col("target"))).first())
-    if not ones or not zeros:
-        return Machine({}, 30.0 if ones else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    per_term = sample.select("target", F.explode("terms").alias("bucket")).groupBy("bucket").agg(
-        F.sum("target").alias("one"), F.sum(1 - F.col("target")).alias("zero")
-    )
-    p, p1, p0 = (F.col("one") + F.col("zero")) / (ones + zeros), F.col("one") / ones, F.col("zero") / zeros
-    z = (p1 - p0) / F.sqrt((p * (1 - p) + 1e-12) * (1 / ones + 1 / zeros))
-    best = per_term.select("bucket", z.alias("z")).where(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "bucket").limit(TERMS).collect()
-    places = {r["bucket"]: i for i, r in enumerate(best)}
-
-    def chosen_terms(batches):
-        for batch in batches:
-            kept = [[places[b] for b in r if b in places] for r in batch.column("terms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "target", "terms"])
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    found = sample.mapInArrow(chosen_terms, f"doc_id {kind}, target double, terms array<int>").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["target"], r["terms"]))
-    return train([np.array(r["terms"], np.int64) for r in found], np.array([r["target"] for r in found]), len(places), places)
+    sample = with_terms(chosen, text=text).withColumn("order", F.xxhash64("terms")).toArrow()
+    sample = sample.sort_by([(name, "ascending") for name in ("doc_id", "target", "order")])
+    targets = sample["target"].to_numpy()
+    if not targets.sum() or not (1 - targets).sum():
+        return Machine({}, 30.0 if targets.sum() else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
+    lists = sample["terms"].combine_chunks()
+    flat, counts = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    pace = paces(flat, counts, targets, BUCKETS)
+    kept = np.flatnonzero(pace)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    flat = place[flat]
+    counts = np.bincount(np.repeat(np.arange(len(counts)), counts), flat >= 0, len(counts)).astype(np.int64)
+    rows = np.split(flat[flat >= 0], np.cumsum(counts)[:-1])
+    return train(rows, targets, pace[kept], dict(zip(kept.tolist(), range(len(kept)))))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep_text: bool = True) -> DataFrame:

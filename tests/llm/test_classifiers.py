@@ -84,6 +84,37 @@ def test_pairs_of_harmless_terms(spark):
     assert sum(right) / len(right) > 0.99
 
 
+@pytest.mark.parametrize("case", ["neutral", "clean"])
+def test_pairs_with_a_term_that_is_not_toxic_alone(spark, case):
+    """An insult is toxic only beside a group that is as common in clean rows, or only if it is not quoted."""
+    draw = random.Random(4)
+    filler = [f"word{chr(97 + i)}" for i in range(26)]
+    rows, labels, others = [], [], []
+    for i in range(2000):
+        insult, threat = draw.random() < 0.3, case == "neutral" and draw.random() < 0.15
+        other = draw.random() < (0.5 if case == "clean" or insult or threat else 0.9)
+        words = draw.sample(filler, 5) + ["insult"] * insult + ["threat"] * threat + ["other"] * other
+        draw.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(threat or insult and other == (case == "neutral"))))
+        others.append(other)
+    shares = [np.mean([o for o, (_, y) in zip(others, labels) if y == want]) for want in (0, 1)]
+    assert abs(shares[0] - shares[1]) < 0.06 if case == "neutral" else shares[0] > shares[1] + 0.2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, machine).collect()}
+    right = [(scores[i] >= 0.5) == bool(y) for i, y in labels]
+    assert sum(right) / len(right) > 0.98
+
+
+def test_toxicity_fit_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs, marks = docs.unionByName(docs.limit(50).withColumn("text", docs["text"].substr(1, 300))), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    one, two = (toxicity.fit(docs.repartition(n), marks) for n in (1, 7))
+    assert one.places == two.places and one.bias == two.bias
+    assert (one.linear == two.linear).all() and (one.factors == two.factors).all()
+
+
 def test_margin_is_linear_plus_all_pairs():
     draw = np.random.default_rng(1)
     machine = toxicity.Machine({}, 0.3, draw.normal(size=9), draw.normal(size=(9, 3)))
