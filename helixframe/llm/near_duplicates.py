@@ -4,11 +4,12 @@ A document's set are the distinct hashes of its word shingles.  Documents of
 equal set are one node from the start.  Each node has ``rows * bands`` minima;
 equal minima in all rows of a band put nodes into one bucket.  The shape of the
 bands follows from the similarity: a pair right at it is missed by all bands
-with a chance below ``MISSED``.  Of each minimum the low ``BITS`` bits are kept,
-packed into a signature; equal positions of two signatures, counted as bits and
-corrected for chance equality, estimate their similarity.  Candidates whose
-estimate is ``SIGMAS`` standard errors below the wanted similarity are dropped;
-the others are confirmed on the full sets.
+with a chance below ``MISSED``.  Of each minimum, mixed with its position, the
+low ``BITS`` bits are kept, packed into a signature; equal positions of two
+signatures, counted as bits and corrected for chance equality, estimate their
+similarity.  Candidates whose estimate is ``SIGMAS`` standard errors below the
+wanted similarity are dropped, unless one of the sets has fewer than ``SMALL``
+shingles; the others are confirmed on the full sets.
 
 Members of a bucket are not paired with each other.  First every member meets
 one leader of its bucket.  Buckets that then still hold several components draw
@@ -48,6 +49,8 @@ BITS = 2
 MISSED = 1e-6
 MOST_BANDS = 40
 SIGMAS = 4.5
+#: Pairs with a set of fewer shingles are confirmed whatever their estimate.
+SMALL = 32
 #: Further leaders that members of open buckets meet, and members compared at once afterwards.
 LEADER_ROUNDS, BLOCK = 2, 1024
 #: Bits of a set's outline, in which members of a bucket are compared.
@@ -116,8 +119,10 @@ def minima(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 
 def signature(least: np.ndarray) -> bytes:
-    """Low bits of the minima: plane after plane, each packed and filled up to whole bytes."""
-    return b"".join(np.packbits((least >> np.uint64(bit) & np.uint64(1)).astype(np.uint8)).tobytes() for bit in range(BITS))
+    """Low bits of the mixed minima: plane after plane, each packed and filled up to whole bytes."""
+    # The low bits of a product are those of its factors, the same at every position.
+    mixed = _mix(least ^ _mix(np.arange(1, len(least) + 1, dtype=np.uint64)))
+    return b"".join(np.packbits((mixed >> np.uint64(bit) & np.uint64(1)).astype(np.uint8)).tobytes() for bit in range(BITS))
 
 
 def estimated(left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:
@@ -218,7 +223,7 @@ def _outlines(sets: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int, count: int) -> DataFrame:
-    """Pairs (``a, b``) whose sizes allow the similarity and whose estimate reaches it."""
+    """Pairs (``a, b``) whose sizes allow the similarity and whose estimate reaches it or does not count."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_allow(percent))
     floor = least_estimate(percent, count)
@@ -228,11 +233,12 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int, count: int) -> Data
         for batch in batches:
             if batch.num_rows:
                 left, right = _bytes_of(batch.column("s_a")), _bytes_of(batch.column("s_b"))
-                kept = pa.array(estimated(left, right, count) >= floor)
+                small = batch.column("n").to_numpy() < SMALL
+                kept = pa.array(small | (estimated(left, right, count) >= floor))
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, schema)
+    return sized.select("a", "b", F.least("n_a", "n_b").alias("n"), "s_a", "s_b").mapInArrow(run, schema)
 
 
 def _sizes_allow(percent: int):
@@ -293,7 +299,8 @@ def _block_pairs(members: DataFrame, percent: int, count: int) -> DataFrame:
             low, high = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
             others = others[(comps[others] != comps[i]) & (low * 100 >= high * percent)]
             if len(others):
-                others = others[estimated(bits[i], bits[others], count) >= floor]
+                small = np.minimum(size[i], size[others]) < SMALL
+                others = others[small | (estimated(bits[i], bits[others], count) >= floor)]
                 others = others[may_reach(size[i], outlines[i], size[others], outlines[others], percent)]
                 for j in others.tolist():
                     yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])

@@ -146,3 +146,25 @@ def test_components_of_links(spark):
             if a in comp and b in comp:
                 comp[a] = comp[b] = min(comp[a], comp[b])
     assert got == comp
+
+
+def test_estimate_of_sets_that_differ_in_low_bits():
+    """The differing shingles share no residue modulo 4 with the others; chance equality must not depend on that."""
+    draw = np.random.default_rng(8)
+    rows, bands = nd.band_shape(85)
+    multipliers, errors = nd._multipliers(rows * bands), []
+    for _ in range(100):
+        values = draw.integers(0, 1 << 62, 20, np.uint64) * np.uint64(4)
+        values[17:] += np.array([1, 2, 2], np.uint64)
+        one, two = values[:18], np.concatenate([values[:17], values[18:]])
+        bits = [np.frombuffer(nd.signature(nd.minima(np.sort(x), multipliers)), np.uint8) for x in (one, two)]
+        errors.append(nd.estimated(bits[0], bits[1], rows * bands) - 17 / 20)
+    assert abs(np.mean(errors)) < 0.01
+
+
+def test_small_sets_are_confirmed_without_estimate(spark, monkeypatch):
+    monkeypatch.setattr(nd, "least_estimate", lambda percent, count: 2.0)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "some other text of its own")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in nd.classes(docs).collect()}
+    assert found[1] == found[2] != found[3]
