@@ -29,7 +29,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
+import json
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -162,15 +163,30 @@ def containments(ones: DataFrame, collections: DataFrame, one: str, collection:
     return met.join(total, one).select(one, collection, (F.col("_c") / F.col("_n")).alias("containment"))
 
 
-def _range_ends(docs: DataFrame) -> list[tuple]:
-    """Last row (``doc_id``, ``h``) of consecutive ranges of the order; one pair per task."""
-    keys = docs.select("doc_id", "h").repartitionByRange(task_count(docs.sparkSession), "doc_id", "h")
-    last = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("doc_id", "h")).alias("end")).select("end.*").collect()
-    return sorted((_key(r["doc_id"], r["h"]) for r in last))
+def _sort_key():
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h").alias("h"))
 
 
-def _key(doc_id, h) -> tuple:
-    return (doc_id is not None, doc_id or 0, h)
+def _range_ends(docs: DataFrame) -> list:
+    """Sort keys of the last rows of consecutive ranges of the order; one for each task."""
+    keys = docs.select(_sort_key().alias("key")).repartitionByRange(task_count(docs.sparkSession), "key")
+    return sorted(r["end"] for r in keys.groupBy(F.spark_partition_id().alias("p")).agg(F.max("key").alias("end")).collect())
+
+
+def _range_of(ends: list):
+    """Number of the range that ``key`` lies in, and whether it ends it: first among blocks of ends, then inside the block."""
+    if not ends:
+        return F.struct(F.lit(0).alias("at"), F.lit(False).alias("ends"))
+    size = math.isqrt(len(ends) - 1) + 1
+    blocks = [ends[i : i + size] for i in range(0, len(ends), size)]
+    kind = "struct<known: boolean, id: bigint, h: bigint>"
+    fixed = lambda value, shape: F.from_json(F.lit(json.dumps(value)), shape)
+    listed = lambda rows: [r.asDict() for r in rows]
+    before = lambda column: F.size(F.filter(column, lambda end: end < F.col("key")))
+    block = before(fixed(listed([b[-1] for b in blocks]), f"array<{kind}>"))
+    inside = F.get(fixed([listed(b) for b in blocks], f"array<array<{kind}>>"), block)
+    at = block * size + before(inside)
+    return F.struct(at.alias("at"), F.exists(inside, lambda end: end == F.col("key")).alias("ends"))
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
@@ -183,22 +199,13 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("h", F.xxhash64("text"))
     ends = _range_ends(keyed)
     count = len(ends)
-
-    @F.pandas_udf("array<int>")
-    def ranges(ids, hashes):
-        """The range of a row, and the next one (as -1 - range) if it ends its range."""
-        import pandas as pd
-
-        out = []
-        for i, null, h in zip(ids.fillna(0).astype("int64"), ids.isna(), hashes):
-            key = (not null, i, h)
-            at = bisect_left(ends, key)
-            out.append([at, -1 - (at + 1) % count] if ends[at] == key else [at])
-        return pd.Series(out)
-
-    placed = keyed.withColumn("at", F.explode(ranges(F.col("doc_id"), F.col("h")))).withColumn("part", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
-    edge = F.col("at") < 0
-    dealt = placed.select("doc_id", "text", "h", "part", edge.alias("edge"))
+    placed = keyed.withColumn("key", _sort_key()).withColumn("own", _range_of(ends))
+    # The row that ends its range also comes before the next one, the last of all before the first.
+    places = F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("edge")))
+    follower = F.array(F.struct(F.pmod(F.col("own") + 1, F.lit(max(1, count))).alias("part"), F.lit(True).alias("edge")))
+    spread = F.when(F.col("ends_range"), F.concat(places, follower)).otherwise(places)
+    dealt = placed.select("doc_id", "text", "h", F.col("own.at").alias("own"), F.col("own.ends").alias("ends_range"))
+    dealt = dealt.select("doc_id", "text", "h", F.inline(spread))
     ordered = dealt.repartitionById(max(1, count), F.col("part")).sortWithinPartitions("part", F.desc("edge"), "doc_id", "h")
 
     def run(batches):
