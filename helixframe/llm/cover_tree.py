@@ -39,12 +39,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from helixframe.llm.common import query, table
 from helixframe.llm.exact_search import scaled
+from helixframe.operators.ordered import prefix_scan
 from helixframe.session import cut_lineage, task_count
 
 #: Ratio of the radii of two levels; points that are not split any further; points of a leaf.
 BASE, SMALL, LEAF = 1.3, 64, 256
 #: Rows of a block, anchors of a block, anchors that descend together, nodes that each opens at once.
-BLOCK, LEAST_BLOCK, ANCHORS, TOGETHER, OPENED = 65_536, 2048, 16_384, 256, 4
+BLOCK, LEAST_BLOCK, ANCHORS, TOGETHER, OPENED = 65_536, 512, 16_384, 256, 4
 _SLACK = 1e-7
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -248,11 +249,11 @@ class Index:
         counts = cut_lineage(rows.groupBy("size", "label").agg(F.count("*").alias("n")))
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         block = min(BLOCK, max(LEAST_BLOCK, -(-total // task_count(spark))))
-        # Frequent labels have blocks of their own, the others share some.
+        # Frequent labels have blocks of their own; the others fill blocks one after another, none above twice the size.
         parts = F.ceil(F.col("n") / block).cast("long")
-        rare = counts.where(F.col("n") <= block).groupBy("size").agg(F.ceil(F.sum("n") / block).cast("long").alias("shared"))
-        home = counts.join(rare, "size", "left").withColumn("parts", parts)
-        home = home.withColumn("base", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label"), F.col("shared"))))
+        few = F.when(F.col("n") <= block, F.col("n")).otherwise(0)
+        home = prefix_scan(counts.withColumn("few", few), ["size"], [F.col("label")], filled=("sum", "few")).withColumn("parts", parts)
+        home = home.withColumn("base", F.when(F.col("parts") == 1, F.floor((F.col("filled") - F.col("n")) / block)))
         self.home = cut_lineage(home.select("size", "label", "parts", "base"))
         bucket = lambda part: F.xxhash64("size", F.coalesce("base", F.lit(-1)), F.when(F.col("base").isNull(), F.col("label")), part)
         shared = F.when(F.col("base").isNull(), F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(F.lit(0))

@@ -44,7 +44,7 @@ def run(spark, folder, rows):
 @pytest.mark.parametrize("block", [65_536, 40])
 def test_against_all_scores(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(cover_tree, "BLOCK", block)
-    monkeypatch.setattr(cover_tree, "LEAST_BLOCK", min(block, 2048))
+    monkeypatch.setattr(cover_tree, "LEAST_BLOCK", min(block, 512))
     monkeypatch.setattr(cover_tree, "ANCHORS", 6)
     its, vectors = clusters(1, 900, 12, 0.6)
     rows = [(i, int(its[i]) % 4 if i % 3 else 0, v.tolist()) for i, v in enumerate(vectors)]  # label 0 is frequent
