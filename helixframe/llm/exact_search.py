@@ -2,21 +2,24 @@
 
 Candidates and queries are dealt into blocks; every pair of a query block and a
 candidate block meets in one task.  There the candidates stand dimension by
-dimension.  Scores are summed over blocks of dimensions, the ones with most
-mass first; after each block a candidate's score can still grow by at most the
-product of the two vectors' remaining lengths, and candidates that cannot reach
-the k-th score known so far are dropped from the columns.  The k best of every
-block pair are merged per query.
+dimension, the longest first.  A query sums its scores over blocks of dimensions,
+those with most of its own mass first; after each block a candidate's score can
+still grow by at most the product of the two vectors' remaining lengths, and
+candidates that cannot reach the k-th score known so far are dropped from the
+columns.  Candidates come in chunks, so that the k best of earlier chunks set the
+bound for later ones, and chunks too short for it are not looked at.  The k best
+of every block pair are merged per query.
 
-Components are integers, sums are exact, so the result does not depend on the
-order of anything.
+Components are integers, and the scores of the candidates that are left are exact
+whole numbers of any size, so the result does not depend on the order of anything.
 
 Results: vectors that are null or hold null, NaN or infinite components take no
-part, nor do rows with a null id.  Rows with the same id count as one vector, the
-least one.  A query meets the vectors of its own length only, never its own id.
-Ties go to the smaller id.  Fewer than k candidates give as many rows as there
-are; empty vectors score 0; empty tables give an empty result.  A score beyond
-64 bits is held at the end of that range.
+part, nor do rows with a null id.  Rows, not ids, are candidates: a query meets
+every row but its own, also others with its id, and of its own number of
+components only.  A repeated query has its rows once for each time.  Ties go to
+the smaller id.  Fewer than k candidates give as many rows as there are; empty
+vectors score 0; empty tables give an empty result.  A score beyond 64 bits is
+held at the end of that range.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,99 +31,111 @@ from pyspark.sql import DataFrame, Window, functions as F
 from helixframe.llm.common import query, table
 from helixframe.session import cut_lineage
 
-#: Vectors of one block.
+#: Vectors of one block; dimensions summed at once; candidates looked at in turn.
 CANDIDATES, QUERIES = 65_536, 16_384
-DIMENSIONS = 16
-_OUT = "query_id long, vec_id long, score long"
+DIMENSIONS, CHUNK = 8, 8192
+_OUT = "query_row long, query_id long, vec_id long, score long"
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def _matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = group.column("vec_id").to_numpy()
+def _matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return ids, flat.reshape(len(ids), -1)
-
-
-def best_of_block(query_ids, queries, ids, vectors, k: int):
-    """Top k of one candidate block for each query: query ids, candidate ids, scores."""
-    if not len(ids) or not len(query_ids):
-        return []
-    size = vectors.shape[1]
-    largest = float(np.abs(vectors).max(initial=0)), float(np.abs(queries).max(initial=0))
-    if largest[0] * largest[1] * max(1, size) >= 2.0**53:
-        return _plain(query_ids, queries, ids, vectors, k)
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order].astype(np.float64)
-    heavy = np.argsort(-(vectors * vectors).sum(axis=0), kind="stable")
-    columns = np.ascontiguousarray(vectors[:, heavy].T)  # dimension by dimension
-    asked = queries[:, heavy].astype(np.float64)
-    cuts = [*range(0, size, DIMENSIONS), size]
-
-    def rest(squares):  # length of what is left after each block, a little rounded up
-        return [np.sqrt(squares[cut:].sum(axis=0)) * (1 + 1e-9) for cut in cuts[1:]]
-
-    left, asked_left = rest(columns * columns), rest((asked * asked).T)
-    # A first threshold from the longest candidates; the k-th of any k is a valid bound.
-    longest = np.argsort(-np.sqrt((columns * columns).sum(axis=0)), kind="stable")[: 16 * k]
-    seeds = columns[:, longest]
-    out = []
-    for begin in range(0, len(query_ids), 64):
-        some = asked[begin : begin + 64]
-        first = some[:, : cuts[1]] @ columns[: cuts[1]] if size else np.zeros((len(some), len(ids)))
-        known = some @ seeds if size else np.zeros((len(some), len(longest)))
-        for i, q in enumerate(some):
-            own = query_ids[begin + i]
-            at_seeds = known[i][ids[longest] != own]
-            least = -np.inf if len(at_seeds) < k else np.partition(at_seeds, len(at_seeds) - k)[len(at_seeds) - k]
-            alive = np.flatnonzero((first[i] + left[0] * asked_left[0][begin + i] >= least) & (ids != own)) if size else np.flatnonzero(ids != own)
-            score = first[i][alive]
-            for block in range(1, len(cuts) - 1):
-                score = score + q[cuts[block] : cuts[block + 1]] @ columns[cuts[block] : cuts[block + 1], alive]
-                reach = left[block][alive] * asked_left[block][begin + i]
+    return group.column("row").to_numpy(), group.column("vec_id").to_numpy(), flat.reshape(group.num_rows, -1)
+
+
+class Block:
+    """Candidates by falling length, dimension by dimension."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.largest = float(np.abs(vectors).max(initial=0)) or 1.0
+        small = vectors / self.largest
+        lengths = np.sqrt((small * small).sum(axis=1))
+        order = np.lexsort((ids, -lengths))
+        self.rows, self.ids, self.vectors, self.lengths = rows[order], ids[order], vectors[order], lengths[order]
+        self.columns = np.ascontiguousarray(small[order].T)
+        self.squares = self.columns * self.columns
+        self.mass = self.squares.sum(axis=1)
+        #: Candidates whose columns were read, by number of the dimension block.
+        self.alive = np.zeros(-(-vectors.shape[1] // DIMENSIONS), np.int64)
+
+    def exact(self, places: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Scores of candidates, held in 64 bits."""
+        some = self.vectors[places]
+        if self.largest * float(np.abs(asked).max(initial=0)) * max(1, len(asked)) < 2.0**53:
+            return (some @ asked).astype(np.int64)
+        whole = [int(x) for x in asked.tolist()]
+        sums = (sum(int(x) * y for x, y in zip(v, whole)) for v in some.tolist())
+        return np.array([min(max(s, _LOW), _HIGH) for s in sums], np.int64)
+
+    def best(self, row: int, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best candidates for one query."""
+        size = len(asked)
+        order = np.argsort(-(asked * asked) * self.mass, kind="stable")
+        blocks = [order[i : i + DIMENSIONS] for i in range(0, size, DIMENSIONS)]
+        top = float(np.abs(asked).max(initial=0)) or 1.0
+        q = asked / top
+        length = float(np.sqrt((q * q).sum()))
+        left = [float(np.sqrt((q[np.concatenate(blocks[i + 1 :])] ** 2).sum())) if i + 1 < len(blocks) else 0.0 for i in range(len(blocks))]
+        unit = top * self.largest
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for begin in range(0, len(self.ids), CHUNK):
+            # Sums of rounded numbers; the margin is far wider than their error.
+            margin = 1e-9 * length * float(self.lengths[begin])
+            least = scores[-1] / unit - margin if len(scores) == k else -np.inf
+            reach = self.lengths[begin : begin + CHUNK] * length
+            stop = begin + int(np.searchsorted(-reach, -least, side="right"))
+            alive = np.arange(begin, stop)
+            alive = alive[self.rows[alive] != row]
+            score, rest = np.zeros(len(alive)), self.lengths[alive] ** 2
+            for number, dims in enumerate(blocks):
+                if not len(alive):
+                    break
+                self.alive[number] += len(alive)
+                at = np.ix_(dims, alive)
+                score = score + q[dims] @ self.columns[at]
+                rest = np.maximum(rest - self.squares[at].sum(axis=0), 0)
+                grow = np.sqrt(rest) * left[number] + margin
                 if len(score) > k:  # what candidates have for sure may raise the bound
-                    least = max(least, np.partition(score - reach, len(score) - k)[len(score) - k])
-                stays = score + reach >= least
-                alive, score = alive[stays], score[stays]
-            top = np.lexsort((ids[alive], -score))[:k]
-            out.append((np.full(len(top), own), ids[alive][top], score[top].astype(np.int64)))
-    return out
-
-
-def _plain(query_ids, queries, ids, vectors, k):
-    """The same for components too large for exact sums of doubles: whole numbers of any size."""
-    wide = [[int(x) for x in v] for v in vectors.tolist()]
-    out = []
-    for own, q in zip(query_ids.tolist(), queries.tolist()):
-        q = [int(x) for x in q]
-        scored = sorted((-sum(x * y for x, y in zip(q, v)), i) for i, v in zip(ids.tolist(), wide) if i != own)[:k]
-        low, high = -(1 << 63), (1 << 63) - 1
-        out.append((np.full(len(scored), own), np.array([i for _, i in scored], np.int64), np.array([min(max(-s, low), high) for s, _ in scored], np.int64)))
-    return out
+                    least = max(least, np.partition(score - grow, len(score) - k)[len(score) - k])
+                stays = score + grow >= least
+                alive, score, rest = alive[stays], score[stays], rest[stays]
+            ids, scores = np.concatenate([ids, self.ids[alive]]), np.concatenate([scores, self.exact(alive, asked)])
+            first = np.lexsort((ids, ~scores))[:k]
+            ids, scores = ids[first], scores[first]
+            if stop < min(begin + CHUNK, len(self.ids)):
+                break  # all later ones are shorter still
+        return ids, scores
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``; ``vectors`` has ``vec_id, v`` (arrays of whole doubles),
     ``is_query`` is a condition on its rows."""
     spark = vectors.sparkSession
-    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "v")
-    rows = cut_lineage(usable.groupBy("vec_id").agg(F.min("v").alias("v")))
-    n, asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    # The row numbers are drawn once, when the table is written.
+    rows = cut_lineage(usable.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("asked")))
+    n, asked = rows.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).first()
     tasks = spark.sparkContext.defaultParallelism
     blocks = max(-(-n // CANDIDATES), min(tasks, -(-n // 2048)), 1)
     query_blocks = max(-(-asked // QUERIES), 1)
     size = F.size("v").alias("size")
-    block, query_block = F.pmod(F.hash("vec_id"), F.lit(blocks)), F.pmod(F.hash("vec_id"), F.lit(query_blocks))
+    block, query_block = F.pmod(F.hash("row"), F.lit(blocks)), F.pmod(F.hash("row"), F.lit(query_blocks))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.where(is_query).select("vec_id", "v", size, query_block.alias("qb"), every(blocks).alias("cb"))
-    right = rows.select("vec_id", "v", size, every(query_blocks).alias("qb"), block.alias("cb"))
+    left = rows.where("asked").select("row", "vec_id", "v", size, query_block.alias("qb"), every(blocks).alias("cb"))
+    right = rows.select("row", "vec_id", "v", size, every(query_blocks).alias("qb"), block.alias("cb"))
 
     def meet(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found = best_of_block(*_matrix(queries), *_matrix(candidates), k) if queries.num_rows and candidates.num_rows else []
-        joined = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), joined)})
+        found = [[np.zeros(0, np.int64)] * 4]
+        if queries.num_rows and candidates.num_rows:
+            known = Block(*_matrix(candidates))
+            for row, query_id, v in zip(*_matrix(queries)):
+                ids, scores = known.best(row, v, k)
+                found.append([np.full(len(ids), row), np.full(len(ids), query_id), ids, scores])
+        return pa.table({n: pa.array(np.concatenate(c), pa.int64()) for n, c in zip(("query_row", "query_id", "vec_id", "score"), zip(*found))})
 
     cells = left.groupBy("size", "qb", "cb").cogroup(right.groupBy("size", "qb", "cb")).applyInArrow(meet, _OUT)
     # One query has at most k rows of each candidate block.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -133,11 +148,11 @@ def scaled(embedding, factor: int = 64):
 @query(
     "op9_exact_topk",
     """
-    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-          FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+    WITH e AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+          FROM e q JOIN e c ON q.k <> c.k AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
 )
