@@ -26,10 +26,12 @@ Similarities compare whole numbers (``100 * intersection >= percent * union``).
 Results: words are what is left between the bytes 09-0D and 20 after lower-casing
 A-Z.  With fewer words than a shingle the whole sequence is the only one; without
 words, or without text, the set is empty and linked with nothing.  Rows of one id
-are one document and share its component; if their sets differ, the one with the
-least hash is compared with other documents.  A row with a null id has none (null
-``component_id``) and is kept.  An empty table gives an empty result.  Other
-columns pass through ``deduplicate``.
+are one document for ``classes``: all their sets are compared, and share one
+component.  ``deduplicate`` looks at texts alone: of each group of alike texts the
+row with the least id, then the least text hash, then the least other columns
+stays, so a text that is like no other stays whatever its id.  A row with a null id
+has no component (null ``component_id``) and is kept.  An empty table gives an
+empty result.  Other columns pass through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -39,10 +41,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from helixframe.llm.common import query, slices, table
 from helixframe.llm.components import join_components
+from helixframe.operators.ordered import rank_rows
 from helixframe.session import cut_lineage
 
 BITS = 2
@@ -191,24 +194,18 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``node, shingles`` of the documents named by ``ids`` (``doc_id, set_hash``)."""
-    few = ids.count() <= BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids
-    chosen = docs.join(wanted, "doc_id")
-    kind = docs.schema["doc_id"].dataType
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``node, shingles`` of the texts named by ``wanted`` (``doc_id, text_hash, node``)."""
+    few = wanted.count() <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"])
 
     def run(batches):
         for part in slices(batches, "text"):
-            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
-            # Another text under the same id is not the one that stands for the node.
-            keep = [xxhash.xxh3_128_digest(s.tobytes()) == h for s, h in zip(sets, part.column("set_hash").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep) if k], pa.binary())], ["node", "shingles"]
-            )
+            sets = [shingle_set(t, size).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    schema = T.StructType([T.StructField("node", kind), T.StructField("shingles", T.BinaryType())])
-    return chosen.select("doc_id", "text", "set_hash").mapInArrow(run, schema).dropDuplicates(["node"])
+    schema = T.StructType([wanted.schema["node"], T.StructField("shingles", T.BinaryType())])
+    return chosen.select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"])
 
 
 def _outlines(sets: DataFrame) -> DataFrame:
@@ -320,7 +317,7 @@ def _block_pairs(members: DataFrame, percent: int, count: int) -> DataFrame:
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartition(tasks, "piece").sortWithinPartitions("piece").mapInArrow(run, schema).distinct()
+    return ordered.repartitionByRange(tasks, "piece").sortWithinPartitions("piece").mapInArrow(run, schema).distinct()
 
 
 def _pairs(found) -> pa.RecordBatch:
@@ -328,18 +325,23 @@ def _pairs(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (integer ``doc_id``, ``text``)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
+
+def _groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles of all rows; ``doc_id, node`` of the sets of each id; ``node, comp, doc_id, text_hash``:
+    the groups of alike sets, with the first text of each set."""
     rows, bands = band_shape(percent)
     count = rows * bands
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _keyed(docs)
     profile = cut_lineage(profiles(docs, size, percent))
-    named = profile.where(F.col("doc_id").isNotNull())
-    # Equal sets are one node, named after the smallest id among them.
-    ids = named.where("n_shingles > 0").groupBy("doc_id").agg(F.min("set_hash").alias("set_hash"))
-    same = cut_lineage(ids.groupBy("set_hash").agg(F.min("doc_id").alias("node")))
-    firsts = named.join(same.select("set_hash", F.col("node").alias("doc_id")), ["set_hash", "doc_id"])
-    nodes = firsts.groupBy(F.col("doc_id").alias("node"), "set_hash").agg(
+    # Equal sets are one node, numbered by their hashes.
+    ids = profile.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "set_hash").agg(F.min("text_hash").alias("text_hash"))
+    same = ids.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("set_hash", "first.*")
+    same = cut_lineage(rank_rows(same, [], [F.col("set_hash")], "node"))
+    firsts = profile.join(same, ["set_hash", "doc_id", "text_hash"])
+    nodes = firsts.groupBy("node", "doc_id", "text_hash").agg(
         F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")
     )
     nodes = cut_lineage(nodes)
@@ -347,7 +349,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # The first leader is drawn by node alone, so the buckets of a group mostly have the same one.
     first = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("m > 1")
     members = cut_lineage(banded.join(first.drop("m"), "bucket"))
-    sets = cut_lineage(_sets(docs, members.select("node").distinct().join(nodes, "node").select(F.col("node").alias("doc_id"), "set_hash"), size))
+    sets = cut_lineage(_sets(docs, members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node"), size))
     slim = nodes.select("node", "n_shingles", "signature")
     labels = nodes.select("node", F.col("node").alias("comp"))
     met = members.where("leader <> node")
@@ -364,21 +366,40 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     known = slim.join(_outlines(sets), "node")
     pairs = cut_lineage(_block_pairs(members.select("bucket", "node", "comp").join(known, "node"), percent, count))
     labels = join_components(labels, _confirmed(pairs, sets, percent))
-    found = ids.join(same, "set_hash").join(labels, "node").select("doc_id", "comp")
-    component = F.coalesce("comp", "doc_id")  # an empty set stands alone
+    return profile, ids.join(same.select("set_hash", "node"), "set_hash").select("doc_id", "node"), labels.join(nodes.select("node", "doc_id", "text_hash"), "node")
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (integer ``doc_id``, ``text``)."""
+    profile, sets_of_id, groups = _groups(docs, size, percent)
+    # The sets of one id belong together.
+    several = sets_of_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    links = sets_of_id.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b")
+    labels = join_components(groups.select("node", "comp"), links)
+    least = groups.select("node", "doc_id").join(labels, "node").groupBy("comp").agg(F.min("doc_id").alias("component"))
+    found = sets_of_id.groupBy("doc_id").agg(F.min("node").alias("node")).join(labels, "node").join(least, "comp").select("doc_id", "component")
+    component = F.coalesce("component", "doc_id")  # an empty set stands alone
     return profile.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id.
-
-    Repeated rows of a kept id all stay out but one; rows with a null id stay.
-    """
-    kept = classes(docs, size, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` without those whose text is like one of a row before them; rows with a null id stay."""
+    profile, _, groups = _groups(docs, size, percent)
+    first = groups.groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    empty = profile.where("doc_id IS NOT NULL AND n_shingles = 0").select("doc_id", "text_hash").distinct()
+    kept = first.unionByName(empty).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    names = [f"column_{i}" for i in range(len(docs.columns))]  # none of the names used here
+    plain = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    hashed = plain.withColumn("hash", F.xxhash64(text))
+    known = hashed.join(kept, (doc_id.cast("long") == F.col("_kept_id")) & (F.col("hash") == F.col("_kept_hash")), "left_semi")
+    unordered = (T.MapType, T.VariantType)
+    rest = [F.col(n) for n, f in zip(names, docs.schema.fields) if f.name not in ("doc_id", "text") and not isinstance(f.dataType, unordered)]
+    order = Window.partitionBy(doc_id, "hash").orderBy(*rest, F.lit(0))
+    single = known.withColumn("place", F.row_number().over(order)).where("place = 1").select(*names)
+    return single.unionByName(plain.where(doc_id.isNull())).toDF(*docs.columns)
 
 
 _SQL = r"""

@@ -91,13 +91,36 @@ def test_deduplicate_keeps_columns(spark):
     rows = corpus(4, 10)
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, kept int")
     out = nd.deduplicate(docs, 3, 85)
-    want = {c for d, _, c in by_hand(rows, 3, 85) if d is not None}
+    # Texts are groups of their own, also under one id: number the rows.
+    known = [(d, t) for d, t in rows if d is not None]
+    numbered = by_hand(list(enumerate(t for _, t in known)), 3, 85)
+    members = {}
+    for i, _, c in numbered:
+        members.setdefault(c, []).append(known[i][0])
+    want = [min(m) for c, m in members.items()]
     got = out.collect()
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(want)
     assert sum(r["doc_id"] is None for r in got) == 2
 
 
+def test_every_text_of_an_id_counts(spark):
+    a, b, c = "one two three four five six seven", "other words that are like nothing here", "a third text of the same id"
+    rows = [(7, a), (7, b), (8, a), (9, b), (7, c), (10, ""), (7, "")]
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(7, 7)] * 4 + [(8, 7), (9, 7), (10, 10)]
+    out = nd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in out) == sorted([(7, a), (7, b), (7, c), (7, ""), (10, "")])
+
+
+def test_the_row_that_stays_is_the_least(spark):
+    a = "one two three four five six seven"
+    rows = [(7, a, "z", 1), (7, a, "b", 2), (8, a, "a", 0), (7, a, "b", 3), (9, "something else that stays in any case", None, 1)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, _place int").repartition(3)
+        assert sorted(tuple(r) for r in nd.deduplicate(docs).collect()) == [rows[1], rows[4]]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, ""), (2, "")], [(None, "a b c d")] * 3])
 def test_little(spark, rows):
     got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
