@@ -3,24 +3,23 @@
 Text and template are compared as words.  Words that occur once on both sides
 are anchors; the longest increasing subsequence of their places, found by
 patience sorting, is kept; the gaps between neighbouring anchors are aligned in
-the same way.  A gap without anchors is aligned by its longest common
-subsequence.  Coverage is the share of the template's words that found a
-partner.
-
-A template of m words is looked for in every passage of up to 2 m words, wherever
-it begins: one pass over the places of the template's words keeps, for each
-number of matched words, the latest beginning from which so many can be matched.
-Where a beginning moves on, a passage that cannot be shortened ends.  Stretches
-that lack too many of the template's words are passed over; that rules out no
-hit.  If the anchors of a passage lead to fewer pairs than it has, its longest
-common subsequence counts.
+the same way.  Only a gap without anchors is aligned by its longest common
+subsequence, at the edges of the template the one nearest to the anchors.
+Coverage is the share of the template's words that found a partner, and the
+partners are the passage.
+
+Where to align: every hit holds one of the template's telling words, without which
+too many words are missing.  From each place of such a word a region around the
+template's extent is aligned; it grows on the side where the template's words are
+still missing, as long as that finds more of them.  Matched neighbours more than a
+template's length apart end a passage.  So the inserted words of a notice have no
+common limit, and what is found does not depend on its place in the text.
 
 Results: one row for each hit of at least ``percent`` hundredths coverage; of
-overlapping hits of one template the best covered counts, then the earlier one.
-A notice with more inserted words than the template has words is not a hit.
-Several templates may hit one place.  Null and empty texts have no hits; empty
-templates and empty tables give none.  Repeated rows are scanned one by one.  Of
-the other columns only ``doc_id`` passes through.
+overlapping hits of one template the best covered counts, then the shorter, then
+the earlier one.  Several templates may hit one place.  Null and empty texts have
+no hits; empty templates and empty tables give none.  Repeated rows are scanned
+one by one.  Of the other columns only ``doc_id`` passes through.
 """
 
 from __future__ import annotations
@@ -92,8 +91,11 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _common(a: list[str], b: list[str], i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int]]:
-    """Longest common subsequence of two short pieces."""
+def _common(a: list[str], b: list[str], i0: int, i1: int, j0: int, j1: int, late: bool = False) -> list[tuple[int, int]]:
+    """Longest common subsequence of two short pieces, the earliest one or the latest one in ``b``."""
+    if late:
+        turned = _common(a[i0:i1][::-1], b[j0:j1][::-1], 0, i1 - i0, 0, j1 - j0)
+        return [(i1 - 1 - i, j1 - 1 - j) for i, j in reversed(turned)]
     n, m = i1 - i0, j1 - j0
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -104,7 +106,7 @@ def _common(a: list[str], b: list[str], i0: int, i1: int, j0: int, j1: int) -> l
         if a[i0 + i] == b[j0 + j]:
             out.append((i0 + i, j0 + j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif best[i][j] == best[i + 1][j]:
             i += 1
         else:
             j += 1
@@ -122,7 +124,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         place = {w: j for j, w in enumerate(b[j0:j1], j0) if right[w] == 1}
         anchors = [(i, place[w]) for i, w in enumerate(a[i0:i1], i0) if left[w] == 1 and w in place]
         if not anchors:
-            out += _common(a, b, i0, i1, j0, j1)
+            out += _common(a, b, i0, i1, j0, j1, late=not i0)
             continue
         kept = [anchors[k] for k in increasing([j for _, j in anchors])]
         out += kept
@@ -136,7 +138,6 @@ class Template:
         self.name = name
         self.words, _ = words_of(text)
         self.counts = Counter(self.words)
-        self.rows = {w: self.words.index(w) for w in self.counts}
         self.need = max(1, math.ceil(percent * len(self.words) / 100))
         # A text without any of these lacks too many words: together they occur more often than may be missing.
         self.telling, missing = [], len(self.words) - self.need
@@ -145,6 +146,7 @@ class Template:
                 break
             self.telling.append(word)
             missing -= self.counts[word]
+        self.seeds = {w: [i for i, own in enumerate(self.words) if own == w] for w in self.telling}
 
     def may_hit(self, lower: str) -> bool:
         return any(w in lower for w in self.telling)
@@ -153,66 +155,50 @@ class Template:
         counts = Counter(w for w in words if w in self.counts)
         return sum(min(n, counts[w]) for w, n in self.counts.items())
 
-    def stretches(self, words: list[str]) -> list[list[int]]:
-        """Places of the template's words, in stretches that hold every passage with enough of them."""
-        places = [j for j, w in enumerate(words) if w in self.counts]
-        reach, held, shared, left = 2 * len(self.words), Counter(), 0, 0
-        out, taken = [], 0
-        for right, j in enumerate(places):
-            word = words[j]
-            held[word] += 1
-            shared += held[word] <= self.counts[word]
-            while places[left] <= j - reach:
-                gone = words[places[left]]
-                shared -= held[gone] <= self.counts[gone]
-                held[gone] -= 1
-                left += 1
-            if shared >= self.need:
-                if out and left < taken:
-                    out[-1] += places[taken : right + 1]
-                else:
-                    out.append(places[left : right + 1])
-                taken = right + 1
-        return out
-
-    def passages(self, words: list[str], places: list[int]) -> list[tuple[int, int, int]]:
-        """``(matched, first word, last word)`` of the passages of a stretch that cannot be shortened."""
-        size, found = len(self.words), []
-        # begins[i], sorted downwards, are the latest beginnings with 1, 2, ... matched words up to the current place.
-        begins = [-1 - i for i in range(size)]
-        before = list(begins)
-        for j in places:
-            word, begin = words[j], j
-            for i in range(self.rows[word], size):
-                if self.words[i] == word or begin < begins[i]:
-                    begin, begins[i] = begins[i], begin
-            latest = sorted(begins, reverse=True)
-            oldest = max(j - 2 * size, -1)
-            for matched in range(self.need, size + 1):
-                first = latest[matched - 1]
-                if first <= oldest:
-                    break
-                if first > before[matched - 1]:
-                    found.append((matched, first, j))
-            before = latest
-        return found
-
-    def aligned(self, words: list[str], matched: int) -> list[tuple[int, int]]:
-        """Alignment of a passage in which ``matched`` words can be matched."""
-        pairs = align(self.words, words)
-        return pairs if len(pairs) >= matched else _common(self.words, words, 0, len(self.words), 0, len(words))
+    def passage(self, words: list[str], at: int, row: int) -> list[tuple[int, int]]:
+        """Aligned places of template and text around the word ``at``, taken for the template's word ``row``."""
+        size = len(self.words)
+        begin, end = at - row - size // 4 - 1, at - row + size + size // 4 + 1
+        best = self.part(words, max(0, begin), min(len(words), end))
+        while len(best) < size:
+            # Where words of the template are missing at an end, the region goes on there.
+            sides = [(begin - size, end)] if not best or best[0][0] > 0 else []
+            sides += [(begin, end + size)] if not best or best[-1][0] < size - 1 else []
+            tried = [(self.part(words, max(0, b), min(len(words), e)), b, e) for b, e in sides]
+            grown = max(tried, key=lambda t: len(t[0]), default=([], 0, 0))
+            if len(grown[0]) <= len(best):
+                break
+            best, begin, end = grown
+        return best
+
+    def part(self, words: list[str], begin: int, end: int) -> list[tuple[int, int]]:
+        """The alignment with ``words[begin:end]``; of pieces too far apart the one with most words."""
+        pairs = [(i, begin + j) for i, j in align(self.words, words[begin:end])]
+        pieces, size = [[]], len(self.words)
+        for pair in pairs:
+            if pieces[-1] and pair[1] - pieces[-1][-1][1] > size + 1:
+                pieces.append([])
+            pieces[-1].append(pair)
+        return max(pieces, key=len)
 
     def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
         """``(matched, first word, last word)`` of every hit."""
         if not self.words or self.shared(words) < self.need:
             return []
-        found = [p for places in self.stretches(words) for p in self.passages(words, places)]
+        found: set[tuple[int, int, int]] = set()
+        done: set[tuple[int, int]] = set()
+        for at, word in enumerate(words):
+            for row in self.seeds.get(word, ()):
+                if (row, at) not in done:
+                    pairs = self.passage(words, at, row)
+                    if len(pairs) >= self.need:
+                        done.update(pairs)  # its other words lead to the same passage
+                        found.add((len(pairs), pairs[0][1], pairs[-1][1]))
         kept: list[tuple[int, int, int]] = []
-        for matched, first, last in sorted(found, key=lambda h: (-h[0], h[1], h[2])):
-            at = bisect_left(kept, first, key=lambda k: k[1])
-            if (at == len(kept) or last < kept[at][1]) and (not at or kept[at - 1][2] < first):
-                pairs = self.aligned(words[first : last + 1], matched)
-                kept.insert(at, (len(pairs), first + pairs[0][1], first + pairs[-1][1]))
+        for matched, first, last in sorted(found, key=lambda h: (-h[0], h[2] - h[1], h[1])):
+            place = bisect_left(kept, first, key=lambda k: k[1])
+            if (place == len(kept) or last < kept[place][1]) and (not place or kept[place - 1][2] < first):
+                kept.insert(place, (matched, first, last))
         return kept
 
 
