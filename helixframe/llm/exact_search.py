@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from helixframe.llm.common import query, table
 from helixframe.session import cut_lineage
 
-#: Vectors of one block; dimensions summed at once; candidates looked at in turn.
+#: Vectors of one block; dimensions summed at once; candidates looked at in turn; candidates that give a first bound.
 CANDIDATES, QUERIES = 65_536, 16_384
-DIMENSIONS, CHUNK = 8, 8192
+DIMENSIONS, CHUNK, SEEDS = 8, 8192, 512
+#: Share of a query's squared length that its first block of dimensions holds.
+FIRST_MASS = 0.85
 _OUT = "query_row long, query_id long, vec_id long, score long"
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -51,12 +53,13 @@ class Block:
         small = vectors / self.largest
         lengths = np.sqrt((small * small).sum(axis=1))
         order = np.lexsort((ids, -lengths))
-        self.rows, self.ids, self.vectors, self.lengths = rows[order], ids[order], vectors[order], lengths[order]
-        self.columns = np.ascontiguousarray(small[order].T)
-        self.squares = self.columns * self.columns
-        self.mass = self.squares.sum(axis=1)
-        #: Candidates whose columns were read, by number of the dimension block.
-        self.alive = np.zeros(-(-vectors.shape[1] // DIMENSIONS), np.int64)
+        self.rows, self.ids, self.vectors, self.lengths = rows[order], ids[order], vectors[order], lengths[order].astype(np.float32)
+        self.place = {row: i for i, row in enumerate(self.rows.tolist())}
+        # Sums of rounded numbers decide what is dropped; their margin is far wider than their error.
+        self.columns = np.ascontiguousarray(small[order].T.astype(np.float32))
+        self.mass = (self.columns * self.columns).sum(axis=1)
+        #: Candidates that a block of dimensions was summed for, by the number of the first dimension.
+        self.summed: dict[int, int] = {}
 
     def exact(self, places: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """Scores of candidates, held in 64 bits."""
@@ -69,41 +72,52 @@ class Block:
 
     def best(self, row: int, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best candidates for one query."""
-        size = len(asked)
-        order = np.argsort(-(asked * asked) * self.mass, kind="stable")
-        blocks = [order[i : i + DIMENSIONS] for i in range(0, size, DIMENSIONS)]
+        size, own = len(asked), self.place.get(row, -1)
         top = float(np.abs(asked).max(initial=0)) or 1.0
-        q = asked / top
-        length = float(np.sqrt((q * q).sum()))
-        left = [float(np.sqrt((q[np.concatenate(blocks[i + 1 :])] ** 2).sum())) if i + 1 < len(blocks) else 0.0 for i in range(len(blocks))]
+        order = np.argsort(-np.abs(asked) * np.sqrt(self.mass), kind="stable")
+        q = (asked[order] / top).astype(np.float32)
+        squares = np.concatenate([[0], np.cumsum(q.astype(np.float64) ** 2)])
+        length = float(np.sqrt(squares[-1]))
+        first = int(np.searchsorted(squares, FIRST_MASS * squares[-1])) if length else size
+        cuts = [0, *range(min(max(first, 1), size), size, DIMENSIONS), size] if size else [0, 0]
+        left = np.sqrt(np.maximum(squares[-1] - squares, 0)) * (1 + 1e-6)
         unit = top * self.largest
+        # The first bound: scores of some of the longest.
+        seeds = np.arange(min(SEEDS, len(self.ids)))
+        seeds = seeds[seeds != own]
+        known = self.exact(seeds, asked)
+        bound = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else None
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for begin in range(0, len(self.ids), CHUNK):
-            # Sums of rounded numbers; the margin is far wider than their error.
-            margin = 1e-9 * length * float(self.lengths[begin])
-            least = scores[-1] / unit - margin if len(scores) == k else -np.inf
-            reach = self.lengths[begin : begin + CHUNK] * length
-            stop = begin + int(np.searchsorted(-reach, -least, side="right"))
-            alive = np.arange(begin, stop)
-            alive = alive[self.rows[alive] != row]
-            score, rest = np.zeros(len(alive)), self.lengths[alive] ** 2
-            for number, dims in enumerate(blocks):
+            longest = float(self.lengths[begin]) * length
+            margin = 1e-5 * longest
+            least = -np.inf if bound is None else float(bound) / unit - margin
+            if longest < least:
+                break  # all later ones are shorter still
+            stop = min(begin + CHUNK, len(self.ids))
+            some = self.columns[:, begin:stop][order[: cuts[1]]]
+            self.summed[0] = self.summed.get(0, 0) + stop - begin
+            score = q[: cuts[1]] @ some
+            rest = np.maximum(self.lengths[begin:stop] ** 2 - np.einsum("ij,ij->j", some, some), 0)
+            alive = score + np.sqrt(rest) * left[cuts[1]] + margin >= least
+            if begin <= own < stop:
+                alive[own - begin] = False
+            alive = np.flatnonzero(alive)
+            score, rest, alive = score[alive], rest[alive], alive + begin
+            for at, end in zip(cuts[1:], cuts[2:]):
                 if not len(alive):
                     break
-                self.alive[number] += len(alive)
-                at = np.ix_(dims, alive)
-                score = score + q[dims] @ self.columns[at]
-                rest = np.maximum(rest - self.squares[at].sum(axis=0), 0)
-                grow = np.sqrt(rest) * left[number] + margin
-                if len(score) > k:  # what candidates have for sure may raise the bound
-                    least = max(least, np.partition(score - grow, len(score) - k)[len(score) - k])
-                stays = score + grow >= least
+                self.summed[at] = self.summed.get(at, 0) + len(alive)
+                some = self.columns[np.ix_(order[at:end], alive)]
+                score = score + q[at:end] @ some
+                rest = np.maximum(rest - np.einsum("ij,ij->j", some, some), 0)
+                stays = score + np.sqrt(rest) * left[end] + margin >= least
                 alive, score, rest = alive[stays], score[stays], rest[stays]
             ids, scores = np.concatenate([ids, self.ids[alive]]), np.concatenate([scores, self.exact(alive, asked)])
-            first = np.lexsort((ids, ~scores))[:k]
-            ids, scores = ids[first], scores[first]
-            if stop < min(begin + CHUNK, len(self.ids)):
-                break  # all later ones are shorter still
+            best = np.lexsort((ids, ~scores))[:k]
+            ids, scores = ids[best], scores[best]
+            if len(scores) == k:
+                bound = scores[-1] if bound is None else max(bound, scores[-1])
         return ids, scores
 
 

@@ -61,9 +61,18 @@ def test_most_columns_are_never_read():
         every[row] = -np.inf
         assert ids.tolist() == np.lexsort((np.arange(20_000), -every))[:20].tolist()
     # Random directions are the hardest case; the share of column entries read:
-    share = block.alive.sum() / (20 * 20_000 * len(block.alive))
-    print("share of columns read", share, block.alive / (20 * 20_000))
-    assert share < 0.55
+    starts = sorted(block.summed)
+    read = sum(n * (end - at) for (at, n), end in zip(sorted(block.summed.items()), [*starts[1:], 64]))
+    print("share of column entries read", read / (20 * 20_000 * 64), {at: n / (20 * 20_000) for at, n in sorted(block.summed.items())})
+    assert read < 0.55 * 20 * 20_000 * 64
+
+
+def test_short_candidates_are_not_looked_at():
+    draw = np.random.default_rng(10)
+    vectors = np.floor(64 * draw.normal(0, 1, (30_000, 16)) * np.exp(-np.arange(30_000) / 3000)[:, None])
+    block = exact_search.Block(np.arange(30_000), np.arange(30_000), vectors)
+    block.best(5, vectors[5], 20)
+    assert block.summed[0] <= 2 * exact_search.CHUNK
 
 
 @pytest.mark.parametrize("sizes", [(65_536, 16_384), (50, 7)])
