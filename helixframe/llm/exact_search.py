@@ -91,7 +91,8 @@ class Block:
         for begin in range(0, len(self.ids), CHUNK):
             longest = float(self.lengths[begin]) * length
             margin = 1e-5 * longest
-            least = -np.inf if bound is None else float(bound) / unit - margin
+            # Scores held at the low end are no bound for those beyond it.
+            least = -np.inf if bound is None or bound == _LOW else float(bound) / unit - margin
             if longest < least:
                 break  # all later ones are shorter still
             stop = min(begin + CHUNK, len(self.ids))
