@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from helixframe.operators.ordered import desc, islands, prefix_scan
+from helixframe.operators import extension, pieces
+from helixframe.operators.ordered import desc, prefix_scan
 from helixframe.operators.pairing import grid_pairs
+from helixframe.operators.pieces import PIECE, tiles
 from helixframe.operators.ranges import merge_intervals
-from helixframe.operators.scanning import chunked
 from helixframe.session import cut_lineage
 
 # Substitution scores (rows and columns A C G T) and run parameters per distance.
@@ -127,23 +129,22 @@ def lift_up(results: DataFrame, lift: DataFrame, unknown: str = "error") -> Data
     )
 
 
-def soft_mask(sequences: DataFrame, intervals: DataFrame, size: int = 4096) -> DataFrame:
-    """Lower-cases the letters inside closed 1-based intervals ``(seq_id, start, end)``.
+def soft_mask(sequences: DataFrame, intervals: DataFrame, size: int = 1024) -> DataFrame:
+    """``seq_id, offset, text``: tiles of ``size`` letters, those inside closed 1-based intervals
+    ``(seq_id, start, end)`` in lower case.
 
-    Sequences are cut into pieces first; a piece meets only the merged intervals
-    that touch it, whose number is bounded by its length.
+    A tile meets only the merged intervals that touch it, whose number is bounded by its length.
     """
     half_open = intervals.select("seq_id", "start", (F.col("end") + 1).alias("stop"))
     merged = merge_intervals(half_open, ["seq_id"], "start", "stop")
     first, last = F.floor((F.col("start") - 1) / size), F.floor((F.col("stop") - 2) / size)
-    clipped = merged.select("seq_id", "start", "stop", F.explode(F.sequence(first, last)).alias("piece")).select(
-        "seq_id", "piece",
+    clipped = merged.select("seq_id", "start", "stop", F.explode(F.sequence(first, last)).alias("tile")).select(
+        "seq_id", (F.col("tile") * size).alias("offset"),
         F.struct(
-            F.greatest(F.col("start") - F.col("piece") * size, F.lit(1)).cast("int").alias("s"),
-            F.least(F.col("stop") - F.col("piece") * size, F.lit(size + 1)).cast("int").alias("e"),
+            F.greatest(F.col("start") - F.col("tile") * size, F.lit(1)).cast("int").alias("s"),
+            F.least(F.col("stop") - F.col("tile") * size, F.lit(size + 1)).cast("int").alias("e"),
         ).alias("iv"),
-    ).groupBy("seq_id", "piece").agg(F.collect_list("iv").alias("ivs"))
-    pieces = chunked(sequences, 0, size).select("seq_id", F.floor(F.col("offset") / size).alias("piece"), "text")
+    ).groupBy("seq_id", "offset").agg(F.collect_list("iv").alias("ivs"))
     masked = F.aggregate(
         F.coalesce("ivs", F.array().cast("array<struct<s:int,e:int>>")),
         F.col("text"),
@@ -152,9 +153,7 @@ def soft_mask(sequences: DataFrame, intervals: DataFrame, size: int = 4096) -> D
             F.substring(t, iv["e"], F.lit(size)),
         ),
     )
-    done = pieces.join(clipped, ["seq_id", "piece"], "left").select("seq_id", F.struct("piece", masked.alias("t")).alias("p"))
-    joined = done.groupBy("seq_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return joined.select("seq_id", F.array_join(F.transform("ps", lambda p: p["t"]), "").alias("seq"))
+    return tiles(pieces.of(sequences), 0, size).join(clipped, ["seq_id", "offset"], "left").select("seq_id", "offset", masked.alias("text"))
 
 
 def sequence_pairs(targets: DataFrame, queries: DataFrame) -> DataFrame:
@@ -192,29 +191,46 @@ def alignment_scores(alignment: DataFrame, spark: SparkSession) -> DataFrame:
     )
 
 
-def seed_words(sequences: DataFrame, piece: int = 512) -> DataFrame:
-    """``(seq_id, pos, word)``: the letters at the twelve care positions of every 19-letter window."""
-    span = len(SEED)
-    pieces = chunked(sequences, span - 1, piece)
-    at = pieces.where(F.length("text") >= span).select(
-        "seq_id", "offset", "text", F.explode(F.sequence(F.lit(1), F.least(F.col("own"), F.length("text") - span + 1))).alias("i")
-    )
-    runs, start = [], 0
-    for bit, nxt in zip(SEED, SEED[1:] + "0"):
-        start += 1
-        if bit == "1" and (start == 1 or SEED[start - 2] == "0"):
-            opened = start
-        if bit == "1" and nxt == "0":
-            runs.append((opened, start - opened + 1))
-    word = F.concat(*[F.substring(F.col("text"), F.col("i") + (s - 1), F.lit(n)) for s, n in runs])
-    return at.select("seq_id", (F.col("offset") + F.col("i")).alias("pos"), word.alias("word"))
+def seed_words(sequences: DataFrame, both_strands: bool = False) -> DataFrame:
+    """``(seq_id, strand, pos, word)``: the letters at the twelve care positions of every 19-letter window, as a number.
 
+    ``pos`` is where the window begins on the strand the sequence is given in; with ``both_strands`` each window also has
+    the word that is read on the other strand (-1).  Windows with other letters than ACGT have none.
+    """
+    span = len(SEED)
+    care = [i for i, bit in enumerate(SEED) if bit == "1"]
+    codes = np.full(256, 4, np.uint8)
+    codes[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
-def both_strands(sequences: DataFrame) -> DataFrame:
-    """``(seq_id, strand, seq)``: every sequence as given (1) and reverse-complemented (-1)."""
-    turned = F.reverse(F.translate("seq", "ACGT", "TGCA"))
-    forms = F.array(F.struct(F.lit(1).alias("strand"), F.col("seq")), F.struct(F.lit(-1).alias("strand"), turned.alias("seq")))
-    return sequences.select("seq_id", F.inline(forms))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+            letters = codes[np.frombuffer("".join(batch.column("text").to_pylist()).encode(), np.uint8)]
+            if len(letters) < span:
+                continue
+            # Every window of the joined letters; those over the end of their text, or begun in its lap, fall out.
+            bad = np.concatenate([[0], np.cumsum(letters > 3)])
+            count = len(letters) - span + 1
+            begin = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(sizes)), sizes)[:count]
+            place = np.arange(count) - begin[row]
+            own = np.minimum(batch.column("own").to_numpy()[row], sizes[row] - span + 1)
+            kept = np.flatnonzero((place < own) & (bad[span : span + count] == bad[:count]))
+            seq, pos = batch.column("seq_id").to_numpy()[row[kept]], batch.column("offset").to_numpy()[row[kept]] + place[kept] + 1
+            wide = letters.astype(np.int64)
+            for strand in (1, -1) if both_strands else (1,):
+                word = np.zeros(len(kept), np.int64)
+                for i, at in enumerate(care):
+                    letter = wide[kept + at] if strand > 0 else 3 - wide[kept + (span - 1 - at)]
+                    word |= letter << (2 * i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seq), pa.array(np.full(len(kept), strand, np.int32)), pa.array(pos), pa.array(word)], ["seq_id", "strand", "pos", "word"]
+                )
+
+    windows = tiles(pieces.of(sequences), span - 1, PIECE).where(F.length("text") >= span)
+    return windows.select("seq_id", "offset", F.col("own").cast("bigint").alias("own"), "text").mapInArrow(run, "seq_id bigint, strand int, pos bigint, word bigint")
 
 
 def seed_matches(targets: DataFrame, queries: DataFrame, masking: int, transition: bool = False) -> DataFrame:
@@ -222,67 +238,34 @@ def seed_matches(targets: DataFrame, queries: DataFrame, masking: int, transitio
 
     Words at more than ``masking`` target positions are left out, as in the
     aligner option of that name.  ``transition`` also accepts one A-G or C-T change.
-    On strand -1 ``q_pos`` counts on the reverse complement.
+    On strand -1 ``q_pos`` counts on the reverse complement.  Sequences come as pieces
+    or as rows with ``seq``.
     """
     t = seed_words(targets)
+    # Counted first, so that a word that is frequent in the target meets nothing.
     rare = t.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= masking).select("word")
     t = t.join(rare, "word").select("word", F.col("seq_id").alias("t_id"), F.col("pos").alias("t_pos"))
-    forms = both_strands(queries)
-    words = [seed_words(forms.where(F.col("strand") == s)).withColumn("strand", F.lit(s)) for s in (1, -1)]
-    q = words[0].unionByName(words[1]).select("word", F.col("seq_id").alias("q_id"), "strand", F.col("pos").alias("q_pos"))
+    q = seed_words(queries, both_strands=True).select("word", F.col("seq_id").alias("q_id"), "strand", "pos")
     if transition:
-        flips = [
-            F.concat(F.substring("word", 1, i), F.translate(F.substring("word", i + 1, 1), "AGCT", "GATC"), F.substring("word", i + 2, 12))
-            for i in range(SEED.count("1"))
-        ]
-        q = q.select(F.explode(F.array("word", *flips)).alias("word"), "q_id", "strand", "q_pos")
-    return t.join(q, "word").select("t_id", "t_pos", "q_id", "strand", "q_pos")
+        # Letters are two bits, and the second one tells A from G and C from T.
+        flips = [F.col("word").bitwiseXOR(F.lit(2 << (2 * i)).cast("bigint")) for i in range(SEED.count("1"))]
+        q = q.select(F.explode(F.array("word", *flips)).alias("word"), "q_id", "strand", "pos")
+    n = pieces.lengths(pieces.of(queries)).toDF("q_id", "_n")
+    turned = F.col("_n") - F.col("pos") - (len(SEED) - 2)
+    found = t.join(q, "word").join(n, "q_id")
+    return found.select("t_id", "t_pos", "q_id", "strand", F.when(F.col("strand") > 0, F.col("pos")).otherwise(turned).alias("q_pos"))
 
 
-HSP = "t_id bigint, q_id bigint, strand int, diag bigint, t_start bigint, t_end bigint, score bigint"
+def drop_off(distance: str) -> int:
+    """Fall of the score that ends an ungapped extension: ten times the score of A against A."""
+    return 10 * SUBSTITUTION[distance][0][0]
 
 
-def ungapped_hsps(seeds: DataFrame, targets: DataFrame, queries: DataFrame, flank: int, distance: str, threshold: int) -> DataFrame:
-    """Ungapped segments around the seeds of each diagonal and strand, at or above ``threshold``.
+def ungapped_hsps(seeds: DataFrame, targets: DataFrame, queries: DataFrame, distance: str, threshold: int) -> DataFrame:
+    """``t_id, q_id, strand, diag, t_start, t_end, score``: ungapped segments around seeds, at or above ``threshold``.
 
-    Seeds of a diagonal whose neighbourhoods of ``flank`` letters touch form one
-    region.  Inside it the running score starts anew whenever it falls to zero;
-    each rise from zero to its highest point is a segment, and all of them that
-    reach the threshold are returned.
+    See ``extension``: overlapping seeds of a diagonal are extended to both sides until the score has dropped.
     """
-    span = len(SEED)
-    lane = ["t_id", "q_id", "strand", "diag"]
-    diagonal = seeds.select("t_id", "q_id", "strand", (F.col("t_pos") - F.col("q_pos")).alias("diag"), "t_pos").distinct()
-    regions = islands(diagonal.withColumn("e", F.col("t_pos") + span), lane, "t_pos", "e", gap=2 * flank).groupBy(*lane, "island").agg(
-        (F.min("t_pos") - flank).alias("s"), (F.max("e") + flank).alias("e")
-    )
-    t = targets.select(F.col("seq_id").alias("t_id"), F.col("seq").alias("t_seq"))
-    q = both_strands(queries).select(F.col("seq_id").alias("q_id"), "strand", F.col("seq").alias("q_seq"))
-    met = regions.join(t, "t_id").join(q, ["q_id", "strand"])
-    first = F.greatest(F.col("s"), F.lit(1), F.col("diag") + 1)
-    stop = F.least(F.col("e"), F.length("t_seq") + 1, F.length("q_seq") + 1 + F.col("diag"))
-    cut = met.withColumn("_s", first).withColumn("_n", (stop - first).cast("int")).select(
-        "t_id", "q_id", "strand", "diag", "_s",
-        F.substring(F.col("t_seq"), F.col("_s").cast("int"), F.col("_n")).alias("t_text"),
-        F.substring(F.col("q_seq"), (F.col("_s") - F.col("diag")).cast("int"), F.col("_n")).alias("q_text"),
+    return extension.segments(
+        seeds, pieces.of(targets), pieces.of(queries), len(SEED), SUBSTITUTION[distance], drop_off(distance), threshold
     )
-    grid = np.array(SUBSTITUTION[distance], dtype=np.int64)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = np.zeros(256, np.uint8)
-        codes[np.frombuffer(b"ACGT", np.uint8)] = range(4)
-        for batch in batches:
-            rows = []
-            for t_id, q_id, strand, diag, s, tt, qt in batch.itertuples(index=False):
-                a = codes[np.frombuffer(tt.encode(), np.uint8)]
-                b = codes[np.frombuffer(qt.encode(), np.uint8)]
-                total = np.concatenate([[0], np.cumsum(grid[a, b])])
-                gain = total - np.minimum.accumulate(total)
-                zeros = np.flatnonzero(gain == 0)
-                tops = np.maximum.reduceat(gain, zeros)
-                for zero, top, stop in zip(zeros[tops >= threshold], tops[tops >= threshold], np.append(zeros[1:], len(gain))[tops >= threshold]):
-                    end = zero + int(gain[zero:stop].argmax())
-                    rows.append((t_id, q_id, strand, diag, s + int(zero), s + int(end) - 1, int(top)))
-            yield pd.DataFrame(rows, columns=[*lane, "t_start", "t_end", "score"])
-
-    return cut.mapInPandas(best, HSP)

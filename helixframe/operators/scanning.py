@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from helixframe.operators.pieces import PIECE, tiles
 from helixframe.operators.profiles import BASES
 from helixframe.operators.ranges import stab
 from helixframe.session import task_count
@@ -45,9 +46,10 @@ def revcomp(seq: Column) -> Column:
 
 def composition(sequences: DataFrame) -> tuple[float, ...]:
     """Share of each base over all sequences: four numbers from one aggregate."""
+    letters = "seq" if "seq" in sequences.columns else "text"
     row = sequences.agg(
-        *[F.sum(F.length("seq") - F.length(F.translate("seq", b.upper(), ""))).alias(b) for b in BASES],
-        F.sum(F.length("seq")).alias("whole"),
+        *[F.sum(F.length(letters) - F.length(F.translate(letters, b.upper(), ""))).alias(b) for b in BASES],
+        F.sum(F.length(letters)).alias("whole"),
     ).first()
     return tuple(row[b] / row["whole"] for b in BASES)
 
@@ -92,7 +94,11 @@ def chunked(sequences: DataFrame, lap: int, size: int = CHUNK) -> DataFrame:
     decide how long the stage takes.  ``substring`` counts letters from the start
     of its text, so a sequence is cut into blocks in one pass and chunks are taken
     from the blocks: the work grows with the letters, not with their square.
+    Sequences that come as pieces are never put together; their chunks are no longer
+    than a piece.
     """
+    if "seq" not in sequences.columns:
+        return tiles(sequences, lap, min(size, PIECE))
     block = size * -(-max(BLOCK, lap) // size)
     blocks = sequences.where(F.length("seq") > 0).select(
         F.col("seq_id").cast("bigint").alias("seq_id"), F.regexp_extract_all("seq", F.lit(f".{{1,{block}}}"), F.lit(0)).alias("_b")
@@ -263,8 +269,9 @@ def _counts(held, profiles, percents, both):
 
 def hits_per_kb(counts: DataFrame, sequences: DataFrame, group: str) -> DataFrame:
     """Hits per 1,000 letters, both strands, per sequence set, matrix and threshold; one decimal."""
-    sizes = sequences.groupBy(group).agg(F.sum(F.length("seq")).alias("letters"))
-    summed = counts.join(sequences.select("seq_id", group), "seq_id").groupBy(group, "matrix_id", "level").agg(F.sum("n").alias("n"))
+    letters = "seq" if "seq" in sequences.columns else "text"
+    sizes = sequences.groupBy(group).agg(F.sum(F.length(letters)).alias("letters"))
+    summed = counts.join(sequences.select("seq_id", group).distinct(), "seq_id").groupBy(group, "matrix_id", "level").agg(F.sum("n").alias("n"))
     return summed.join(sizes, group).select(
         group, "matrix_id", "level", F.round(F.col("n") * 1000 / F.col("letters"), 1).alias("per_kb")
     )

@@ -8,16 +8,25 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from helixframe.operators import pieces
 from helixframe.operators.ordered import prefix_scan, rank_rows
-from helixframe.operators.scanning import chunked
 from helixframe.session import cut_lineage, task_count
 
 #: Widest site of a set.
 SITE_WIDTH = 12
 
 
+def _part_begins(parts: Column) -> Column:
+    """Where each part of a cut text begins, from 1."""
+    return F.aggregate(
+        parts, F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("next")),
+        lambda seen, part: F.struct(F.concat(seen["at"], F.array(seen["next"])).alias("at"), (seen["next"] + F.length(part)).alias("next")),
+        lambda seen: seen["at"],
+    )
+
+
 class Fixtures:
     """Derived tables of one scale-factor folder, for one query.  Building a table runs no
     job, except for the sequences and the three tables that number rows over an ordering."""
@@ -43,6 +52,14 @@ class Fixtures:
         )
         return cut_lineage(letters.repartition(task_count(self.spark), "seq_id"))
 
+    @cached_property
+    def pieces(self) -> DataFrame:
+        """The same letters in pieces, with source and language."""
+        letters = self.table("documents").select(
+            F.col("doc_id").alias("seq_id"), "source", "lang", F.upper(F.regexp_replace("text", "[^ACGTacgt]+", "")).alias("seq")
+        )
+        return cut_lineage(pieces.cut(letters).repartition(task_count(self.spark), "seq_id", "offset"))
+
     @cached_property
     def site(self) -> DataFrame:
         """Binding sites of a set: all places in all its sequences where its seed of three
@@ -53,10 +70,13 @@ class Fixtures:
             F.col("source").alias("matrix_id"), "seq_id", (6 + number % 7).alias("w"),
             F.concat(letter(number), letter(F.floor(number / 4)), letter(F.floor(number / 8) + number)).alias("seed"),
         )
-        places = chunked(self.sequence, SITE_WIDTH - 1, 512).join(sets, "seq_id")
-        at = F.explode(F.sequence(F.lit(1), F.least(F.col("own"), F.length("text") - F.col("w") + 1)))
-        whole = places.where(F.length("text") >= F.col("w")).select("*", at.alias("i"))
-        return whole.where(F.substring(F.col("text"), F.col("i"), F.lit(3)) == F.col("seed")).select(
+        places = pieces.tiles(self.pieces, SITE_WIDTH - 1, 512).join(sets, "seq_id").where(F.length("text") >= F.col("w"))
+        # Cut before every place of the seed; what lies before a part is how far the place is in.
+        parts = F.split(F.col("text"), F.concat(F.lit("(?="), F.col("seed"), F.lit(")")))
+        found = places.select("*", F.explode(_part_begins(parts)).alias("i")).where(F.col("text").substr(F.col("i"), F.lit(3)) == F.col("seed")).where(
+            (F.col("i") <= F.col("own")) & (F.col("i") + F.col("w") - 1 <= F.length("text"))
+        )
+        return found.select(
             "matrix_id", "seq_id", (F.col("offset") + F.col("i")).alias("site_at"), F.substring(F.col("text"), F.col("i"), F.col("w")).alias("site")
         )
 
@@ -125,7 +145,7 @@ class Fixtures:
 
     @cached_property
     def alignment_text(self) -> DataFrame:
-        """One row per alignment with both gapped strings, positions 1..len."""
+        """Pieces of the two texts of every alignment, a document and the next one of its source."""
         before = prefix_scan(
             self.table("documents").select(F.col("doc_id").alias("next_id"), "source"),
             ["source"],
@@ -133,31 +153,27 @@ class Fixtures:
             aln_id=("lag", "next_id"),
         )
         links = cut_lineage(before.where(F.col("aln_id").isNotNull()).select("aln_id", "next_id"))
-        first = self.sequence.select(F.col("seq_id").alias("aln_id"), F.col("seq").alias("s1"))
-        second = self.sequence.select(F.col("seq_id").alias("next_id"), F.col("seq").alias("s2"))
-        pair = (
-            links.join(first, "aln_id")
-            .join(second, "next_id")
-            .withColumn("len", F.least(F.length("s1"), F.length("s2")))
-            .where(F.col("len") >= 1)
+        own, other = (
+            self.pieces.select(F.col("seq_id").alias(name), "offset", F.col("text").alias(text)) for name, text in (("aln_id", "s1"), ("next_id", "s2"))
         )
-        return pair.select("aln_id", "s1", "s2", "len")
+        return links.join(own, "aln_id").join(other, ["next_id", "offset"]).select("aln_id", "offset", "s1", "s2")
 
     @cached_property
     def alignment(self) -> DataFrame:
+        """Both texts letter by letter as far as both go, from pieces at the same offset."""
+        letters = F.arrays_zip(F.split("s1", "").alias("own"), F.split("s2", "").alias("other"))
+        pairs = self.alignment_text.repartition(task_count(self.spark), "aln_id", "offset").select(
+            "aln_id", "offset", F.posexplode(F.slice(letters, F.lit(1), F.least(F.length("s1"), F.length("s2")))).alias("_i", "x")
+        )
+        placed = pairs.select("aln_id", (F.col("offset") + F.col("_i") + 1).cast("int").alias("apos"), "x.own", "x.other")
         apos, aln = F.col("apos"), F.col("aln_id")
         gap1 = (apos * 7 + aln) % 17 == 0
         gap2 = (apos * 5 + aln) % 19 == 0
-        own, other = F.substring(F.col("s1"), apos, F.lit(1)), F.substring(F.col("s2"), apos, F.lit(1))
-        return (
-            self.alignment_text.repartition(task_count(self.spark), "aln_id")
-            .select("aln_id", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("apos"), "s1", "s2")
-            .select(
-                "aln_id",
-                "apos",
-                F.when(gap1, "-").otherwise(own).alias("c1"),
-                F.when(gap2 & ~gap1, "-").when((apos * 11 + aln) % 3 == 0, other).otherwise(own).alias("c2"),
-            )
+        return placed.select(
+            "aln_id",
+            "apos",
+            F.when(gap1, "-").otherwise(F.col("own")).alias("c1"),
+            F.when(gap2 & ~gap1, "-").when((apos * 11 + aln) % 3 == 0, F.col("other")).otherwise(F.col("own")).alias("c2"),
         )
 
     @cached_property

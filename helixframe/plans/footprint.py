@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import footprint as f, scanning as s
+from helixframe.operators import footprint as f, pieces, scanning as s
 from helixframe.operators.profiles import BASES
 from helixframe.plans.registry import query, r6, view
 from helixframe.plans.scanning import PERCENT, library, words
@@ -297,11 +297,8 @@ def transcript_mapping(fx):
      FROM f10_feature JOIN f1_sequence USING (seq_id)) WHERE f_start<=n""")
 def fetch_genome_seq(fx):
     size = 128
-    starts = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size))
-    chunks = fx.sequence.where(F.length("seq") > 0).select("seq_id", "seq", F.explode(starts).alias("chunk_no")).select(
-        "seq_id", "chunk_no", F.substring(F.col("seq"), (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("text")
-    )
-    lengths = fx.sequence.select("seq_id", F.length("seq").alias("n"))
+    chunks = pieces.tiles(fx.pieces, 0, size).select("seq_id", F.floor(F.col("offset") / size).alias("chunk_no"), "text")
+    lengths = pieces.lengths(fx.pieces)
     ranges = fx.feature.join(lengths, "seq_id").where("f_start <= n").select(
         F.col("feature_id").alias("range_id"), "seq_id", F.col("f_start").alias("start"), F.col("f_end").alias("end"), "strand"
     )

@@ -78,11 +78,12 @@ def merge_part_results(fx):
 
 @query("soft_mask", """WITH cover AS (SELECT DISTINCT seq_id, unnest(range(f_start, f_end+1)) AS pos FROM f10_feature WHERE kind='other'),
     l AS (SELECT seq_id, unnest(range(1,length(seq)+1)) AS pos, seq FROM f1_sequence)
-    SELECT l.seq_id, string_agg(CASE WHEN c.pos IS NULL THEN substr(seq,CAST(l.pos AS INT),1) ELSE lower(substr(seq,CAST(l.pos AS INT),1)) END, '' ORDER BY l.pos) AS seq
-    FROM l LEFT JOIN cover c ON c.seq_id=l.seq_id AND c.pos=l.pos GROUP BY 1""")
+    SELECT l.seq_id, CAST((l.pos-1)//1024*1024 AS BIGINT) AS "offset",
+      string_agg(CASE WHEN c.pos IS NULL THEN substr(seq,CAST(l.pos AS INT),1) ELSE lower(substr(seq,CAST(l.pos AS INT),1)) END, '' ORDER BY l.pos) AS text
+    FROM l LEFT JOIN cover c ON c.seq_id=l.seq_id AND c.pos=l.pos GROUP BY 1,2""")
 def soft_mask(fx):
     repeats = fx.feature.where("kind = 'other'").select("seq_id", F.col("f_start").alias("start"), F.col("f_end").alias("end"))
-    return g.soft_mask(fx.sequence, repeats)
+    return g.soft_mask(fx.pieces, repeats)
 
 
 @query("sequence_pairs", "SELECT t_name, q_name FROM (SELECT DISTINCT t_name FROM f5_block) CROSS JOIN (SELECT DISTINCT q_name FROM f5_block)")
@@ -143,36 +144,55 @@ view("v_match", f"""SELECT t.seq_id AS t_id, t.pos AS t_pos, q.seq_id AS q_id, q
 def seeds(fx):
     if "seeds" not in fx.kept:
         fx.kept["seeds"] = cut_lineage(
-            g.seed_matches(fx.sequence.where("lang = 'de'"), fx.sequence.where("lang <> 'de'"), MASKING)
+            g.seed_matches(fx.pieces.where("lang = 'de'"), fx.pieces.where("lang <> 'de'"), MASKING)
         )
     return fx.kept["seeds"]
 
 
 @query("seed_matches", "SELECT t_id, CAST(t_pos AS BIGINT) AS t_pos, q_id, CAST(strand AS INT) AS strand, CAST(q_pos AS BIGINT) AS q_pos FROM v_match")
 def seed_matches(fx):
-    return g.seed_matches(fx.sequence.where("lang = 'de'"), fx.sequence.where("lang <> 'de'"), MASKING)
-
-
-FLANK, HSP_SCORE = 30, 2200
-
-
-@query("ungapped_hsp", f"""WITH d AS (SELECT DISTINCT t_id, q_id, strand, t_pos-q_pos AS diag, t_pos FROM v_match),
-    n AS (SELECT *, CASE WHEN t_pos<=lag(t_pos) OVER w+19+{2 * FLANK} THEN 0 ELSE 1 END AS o FROM d WINDOW w AS (PARTITION BY t_id,q_id,strand,diag ORDER BY t_pos)),
-    r AS (SELECT t_id, q_id, strand, diag, island, min(t_pos)-{FLANK} AS s, max(t_pos)+19+{FLANK} AS e FROM
-      (SELECT *, sum(o) OVER (PARTITION BY t_id,q_id,strand,diag ORDER BY t_pos) AS island FROM n) GROUP BY 1,2,3,4,5),
-    c AS (SELECT r.*, greatest(s,1,diag+1) AS f, least(e,length(t.seq)+1,length(q.seq)+1+diag) AS x, t.seq AS ts, q.seq AS qs
-      FROM r JOIN f1_sequence t ON t.seq_id=t_id JOIN v_form q ON q.seq_id=q_id AND q.strand=r.strand),
-    p AS (SELECT t_id, q_id, strand, diag, island, f, unnest(range(f, x)) AS pos, ts, qs FROM c),
-    v AS (SELECT p.t_id, p.q_id, p.strand, p.diag, p.island, p.pos, b.s FROM p JOIN v_subst b ON b.distance='far' AND b.b1=substr(ts,CAST(pos AS INT),1)
-      AND b.b2=substr(qs,CAST(pos-diag AS INT),1)),
-    a AS (SELECT *, sum(s) OVER w AS ps FROM v WINDOW w AS (PARTITION BY t_id,q_id,strand,diag,island ORDER BY pos)),
-    k AS (SELECT *, ps-least(0,min(ps) OVER (PARTITION BY t_id,q_id,strand,diag,island ORDER BY pos)) AS gain FROM a),
-    z AS (SELECT *, coalesce(max(CASE WHEN gain=0 THEN pos END) OVER (PARTITION BY t_id,q_id,strand,diag,island ORDER BY pos),
-      min(pos) OVER (PARTITION BY t_id,q_id,strand,diag,island)-1) AS zero FROM k)
-    SELECT t_id, q_id, CAST(strand AS INT) AS strand, diag, CAST(zero+1 AS BIGINT) AS t_start, CAST(pos AS BIGINT) AS t_end, CAST(gain AS BIGINT) AS score FROM z
-    WHERE true QUALIFY row_number() OVER (PARTITION BY t_id,q_id,strand,diag,island,zero ORDER BY gain DESC, pos)=1 AND gain>={HSP_SCORE}""")
+    return g.seed_matches(fx.pieces.where("lang = 'de'"), fx.pieces.where("lang <> 'de'"), MASKING)
+
+
+HSP_SCORE = 2200
+DROP = g.drop_off("far")
+_LANE = "t_id, q_id, strand, diag"
+view("v_anchor", f"""SELECT *, row_number() OVER (ORDER BY {_LANE}, a) AS k, lag(e) OVER (PARTITION BY {_LANE} ORDER BY a) AS pe FROM
+    (SELECT {_LANE}, min(t_pos) AS a, max(t_pos)+19 AS e FROM
+      (SELECT *, sum(o) OVER (PARTITION BY {_LANE} ORDER BY t_pos) AS island FROM
+        (SELECT *, CASE WHEN t_pos<=lag(t_pos) OVER (PARTITION BY {_LANE} ORDER BY t_pos)+19 THEN 0 ELSE 1 END AS o FROM
+          (SELECT DISTINCT t_id, q_id, strand, t_pos-q_pos AS diag, t_pos FROM v_match))) GROUP BY {_LANE}, island)""")
+
+
+def _walk_views(name, table, positions, step):
+    """Letters of a walk with their running score, and its best place before the drop."""
+    view(f"{name}_step", f"""SELECT w.k, {step} AS n, sum(b.s) OVER (PARTITION BY w.k ORDER BY {step}) AS g FROM
+        (SELECT x.*, unnest({positions}) AS pos, t.seq AS ts, q.seq AS qs FROM {table} x JOIN f1_sequence t ON t.seq_id=t_id
+         JOIN v_form q ON q.seq_id=q_id AND q.strand=x.strand) w
+        JOIN v_subst b ON b.distance='far' AND b.b1=substr(ts,CAST(pos AS INT),1) AND b.b2=substr(qs,CAST(pos-diag AS INT),1)""")
+    view(f"{name}_top", f"SELECT *, greatest(0, max(g) OVER (PARTITION BY k ORDER BY n)) AS top FROM {name}_step")
+    view(f"{name}_fall", f"SELECT k, min(n) AS fall FROM {name}_top WHERE g<top-{DROP} GROUP BY 1")
+    view(f"{name}_best", f"""SELECT k, g AS best, n AS best_len FROM {name}_step LEFT JOIN {name}_fall USING (k) WHERE g>0 AND (fall IS NULL OR n<fall)
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY g DESC, n)=1""")
+
+
+_walk_views("v_left", "v_anchor", "range(greatest(1, diag+1, coalesce(pe,1)), a)", "a-pos")
+view("v_core", """SELECT k, sum(b.s) AS core FROM (SELECT x.*, unnest(range(a, e)) AS pos, t.seq AS ts, q.seq AS qs FROM v_anchor x
+    JOIN f1_sequence t ON t.seq_id=t_id JOIN v_form q ON q.seq_id=q_id AND q.strand=x.strand) JOIN v_subst b ON b.distance='far'
+    AND b.b1=substr(ts,CAST(pos AS INT),1) AND b.b2=substr(qs,CAST(pos-diag AS INT),1) GROUP BY 1""")
+view("v_run", f"""SELECT {_LANE}, min(k) AS k, min(a) AS a, max(e) AS e, arg_min(best, a) AS lbest, arg_min(best_len, a) AS llen,
+    sum(core)+sum(CASE WHEN joins THEN gap ELSE 0 END) AS score FROM
+    (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY {_LANE} ORDER BY a) AS run FROM
+      (SELECT x.*, c.core, coalesce(b.best,0) AS best, coalesce(b.best_len,0) AS best_len, pe IS NOT NULL AND fall IS NULL AS joins, z.g AS gap FROM v_anchor x
+       JOIN v_core c USING (k) LEFT JOIN v_left_best b USING (k) LEFT JOIN v_left_fall f USING (k)
+       LEFT JOIN (SELECT k, arg_max(g, n) AS g FROM v_left_step GROUP BY 1) z USING (k))) GROUP BY {_LANE}, run""")
+_walk_views("v_right", "v_run", "range(e, least(length(t.seq), length(q.seq)+diag)+1)", "pos-e+1")
+
+
+@query("ungapped_hsp", f"""SELECT t_id, q_id, CAST(strand AS INT) AS strand, diag, CAST(a-llen AS BIGINT) AS t_start, CAST(e-1+coalesce(best_len,0) AS BIGINT) AS t_end,
+    CAST(score+lbest+coalesce(best,0) AS BIGINT) AS score FROM v_run LEFT JOIN v_right_best USING (k) WHERE score+lbest+coalesce(best,0)>={HSP_SCORE}""")
 def ungapped_hsp(fx):
-    return g.ungapped_hsps(seeds(fx), fx.sequence, fx.sequence, FLANK, "far", HSP_SCORE)
+    return g.ungapped_hsps(seeds(fx), fx.pieces.where("lang = 'de'"), fx.pieces.where("lang <> 'de'"), "far", HSP_SCORE)
 
 
 # ---- chains and nets --------------------------------------------------------------------

@@ -48,7 +48,7 @@ view("v_hit", f"""SELECT h.seq_id, matrix_id, pos AS start, pos+w-1 AS "end", st
 
 
 def pwm(fx):
-    return p.scan_pwm(counts(fx), s.composition(fx.sequence))
+    return p.scan_pwm(counts(fx), s.composition(fx.pieces))
 
 
 def library(fx):
@@ -60,7 +60,7 @@ def library(fx):
 def hits(fx):
     """Scan of all sequences, written once and read by the site plans."""
     if "hits" not in fx.kept:
-        fx.kept["hits"] = cut_lineage(s.scan(fx.sequence, library(fx), PERCENT))
+        fx.kept["hits"] = cut_lineage(s.scan(fx.pieces, library(fx), PERCENT))
     return fx.kept["hits"]
 
 
@@ -79,7 +79,7 @@ def _rounded_hits(df):
 
 @query("scan_sequences", _HIT_SQL)
 def scan_sequences(fx):
-    found = s.scan(fx.sequence, library(fx), PERCENT)
+    found = s.scan(fx.pieces, library(fx), PERCENT)
     return _rounded_hits(found).orderBy("seq_id", "start", "matrix_id", "strand")
 
 
@@ -100,7 +100,7 @@ def scan_user_matrix(fx):
     )
     writers.write_matrix_text(pasted, path)
     cells, _ = readers.read_matrix_text(fx.spark, path)
-    found = s.scan(fx.sequence, s.pack_pwm(p.wide(cells)), PERCENT)
+    found = s.scan(fx.pieces, s.pack_pwm(p.wide(cells)), PERCENT)
     return found.select("seq_id", "start", "strand", F.round("score", 6).alias("score"))
 
 
@@ -109,7 +109,7 @@ def scan_user_matrix(fx):
      JOIN (SELECT unnest([{",".join(map(str, LEVELS))}]) AS level) ON (s-lo)*100>=level*(hi-lo) GROUP BY ALL)
     JOIN (SELECT source, CAST(sum(length(seq)) AS DOUBLE) AS letters FROM f1_sequence GROUP BY 1) USING (source)""")
 def hits_per_kb(fx):
-    return s.hits_per_kb(s.count_hits(fx.sequence, library(fx), LEVELS), fx.sequence, "source")
+    return s.hits_per_kb(s.count_hits(fx.pieces, library(fx), LEVELS), fx.pieces, "source")
 
 
 view("v_word", "SELECT matrix_id, string_agg(letter, '' ORDER BY pos) AS word FROM v_letter GROUP BY 1")
@@ -126,7 +126,7 @@ def words(fx):
 
 @query("consensus_scan", "SELECT seq_id, matrix_id, count(*) AS n FROM v_wscan_score WHERE strand=1 AND s=w GROUP BY ALL")
 def consensus_scan(fx):
-    found = s.count_hits(fx.sequence, s.pack_words(words(fx)), (100,), both_strands=False)
+    found = s.count_hits(fx.pieces, s.pack_words(words(fx)), (100,), both_strands=False)
     return found.select("seq_id", "matrix_id", "n")
 
 

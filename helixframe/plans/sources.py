@@ -94,13 +94,17 @@ def sink_matrix_dir(fx):
     return fx.spark.read.text(path).select("matrix_id", F.col("value").alias("line"))
 
 
-@query("src_fasta", "SELECT CAST(seq_id AS VARCHAR) AS header, seq FROM f1_sequence")
+FASTA_PIECE = 1000
+
+
+@query("src_fasta", f"""SELECT CAST(seq_id AS VARCHAR) AS header, CAST(o AS BIGINT) AS "offset", substr(seq, CAST(o+1 AS INT), {FASTA_PIECE}) AS text
+    FROM (SELECT seq_id, seq, unnest(range(0, length(seq), {FASTA_PIECE})) AS o FROM f1_sequence)""")
 def src_fasta(fx):
     path = scratch_path(fx.spark, "fasta")
     header = F.concat(F.col("seq_id").cast("string"), F.lit(" "), F.col("lang"))
-    noisy = F.regexp_replace(F.lower("seq"), "(.{10})(?=.)", "$1 7")
-    fx.sequence.select(writers.fasta_text(header, noisy).alias("value")).write.text(path)
-    return readers.read_fasta(fx.spark, path).select("header", "seq")
+    noisy = fx.pieces.withColumn("text", F.regexp_replace(F.lower("text"), "(.{10})(?=.)", "$1 7"))
+    writers.write_fasta(noisy, header, path)
+    return readers.read_fasta_pieces(fx.spark, path, FASTA_PIECE).select("header", "offset", "text")
 
 
 @query("src_sites", "SELECT matrix_id, CAST(seq_id AS VARCHAR) AS header, translate(site, 'T', 'N') AS site FROM f2_site")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixframe.operators.ordered import prefix_scan
+from helixframe.operators.pieces import PIECE
 
 STORE_SCHEMAS = {
     "matrix": "id bigint, base_id string, version int, collection string, name string, class_no int",
@@ -133,15 +134,44 @@ def parse_fasta(records: DataFrame) -> DataFrame:
     )
 
 
-def first_fasta_record(text: Column) -> Column:
-    """Only the first record of a pasted FASTA text, without its leading ``>``."""
-    return F.split(F.regexp_replace(text, r"^\s*>", ""), ">").getItem(0)
-
-
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parse_fasta(read_records(spark, path, ">"))
 
 
+def read_fasta_pieces(spark: SparkSession, path: str, size: int = PIECE) -> DataFrame:
+    """``path, record, header, offset, text``: FASTA sequences in pieces of ``size`` letters.
+
+    Files are read line by line and no record is ever held: header marks and letters
+    before a line are running values over the lines of a file, and the parts of lines
+    that fall into one piece are put together.  ``record`` counts the headers of a file
+    from 1; lines before the first one are left out, and so are records without letters.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    head = F.col("value").startswith(">")
+    told = lines.select(
+        "path", "_block", "_at", head.cast("int").alias("_head"),
+        F.when(head, F.substring_index(F.trim(F.substring(F.col("value"), F.lit(2), F.length("value"))), " ", 1)).alias("_name"),
+        F.when(head, "").otherwise(F.upper(F.regexp_replace("value", r"[\s\d]", ""))).alias("_text"),
+    ).withColumn("_n", F.length("_text").cast("bigint"))
+    order = [F.col("_block"), F.col("_at")]
+    counted = prefix_scan(told, ["path"], order, keep_range=True, record=("sum", "_head"), _upto=("sum", "_n"))
+    marked = counted.withColumn("_mark", F.when(F.col("_head") == 1, F.col("_upto")))
+    placed = prefix_scan(marked, ["path"], order, header=("last", "_name"), _base=("last", "_mark")).where("_n > 0 AND record > 0")
+    begin = F.col("_upto") - F.col("_n") - F.col("_base")
+    parts = placed.withColumn("_begin", begin).withColumn(
+        "_piece", F.explode(F.sequence(F.floor(begin / size), F.floor((begin + F.col("_n") - 1) / size)))
+    )
+    skipped = F.greatest(F.col("_piece") * size - F.col("_begin"), F.lit(0))
+    length = F.least((F.col("_piece") + 1) * size, F.col("_begin") + F.col("_n")) - F.greatest(F.col("_piece") * size, F.col("_begin"))
+    cut = parts.withColumn("_part", F.substring(F.col("_text"), (skipped + 1).cast("int"), length.cast("int")))
+    joined = cut.groupBy("path", "record", "header", "_piece").agg(F.array_sort(F.collect_list(F.struct("_begin", "_part"))).alias("_p"))
+    return joined.select(
+        "path", "record", "header", (F.col("_piece") * size).alias("offset"), F.array_join(F.transform("_p", lambda x: x["_part"]), "").alias("text")
+    )
+
+
 def read_sites(spark: SparkSession, path: str, id_pattern: str = r"/([^/]+)\.sites(?:/[^/]*)?$") -> DataFrame:
     """Site files; the id is the file name without suffix and unknown letters become N."""
     records = read_records(spark, path, ">")

@@ -59,6 +59,14 @@ def fasta_text(header: Column, seq: Column, width: int = 60) -> Column:
     return F.concat(F.lit(">"), header, F.lit("\n"), F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n"))
 
 
+def write_fasta(pieces: DataFrame, header: Column, path: str, width: int = 60) -> None:
+    """FASTA text of sequences in pieces; a record is written piece by piece by one task, in order."""
+    lines = F.regexp_replace("text", f"(.{{{width}}})(?=.)", "$1\n")
+    head = F.when(F.col("offset") == 0, F.concat(F.lit(">"), header, F.lit("\n"))).otherwise("")
+    ordered = pieces.select("seq_id", "offset", F.concat(head, lines).alias("value")).repartitionByRange("seq_id")
+    ordered.sortWithinPartitions("seq_id", "offset").select("value").write.text(path)
+
+
 def alignment_rows(alignments: DataFrame, width: int = 60) -> DataFrame:
     """Blocks of ``width`` columns of two gapped strings ``seq1`` and ``seq2``."""
     count = F.ceil(F.length("seq1") / width).cast("int")

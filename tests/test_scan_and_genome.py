@@ -163,7 +163,7 @@ def test_seeds_and_segments_on_both_strands(spark):
     seeds = genome.seed_matches(targets, queries, 50)
     found = {(r["q_id"], r["strand"], r["t_pos"] - r["q_pos"]) for r in seeds.collect()}
     assert {(7, 1, 25), (8, -1, 150 - 9)} <= found
-    segments = {(r["q_id"], r["strand"]): r for r in genome.ungapped_hsps(seeds, targets, queries, 30, "far", 2200).collect()}
+    segments = {(r["q_id"], r["strand"]): r for r in genome.ungapped_hsps(seeds, targets, queries, "far", 2200).collect()}
     assert set(segments) == {(7, 1), (8, -1)}
     assert segments[7, 1]["t_start"] <= 41 and segments[7, 1]["t_end"] >= 100
     assert segments[8, -1]["t_start"] <= 151 and segments[8, -1]["t_end"] >= 210
