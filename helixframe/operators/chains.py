@@ -2,7 +2,7 @@
 
 Blocks are half open: ``(block_id, t_name, t_start, t_end, q_name, q_start,
 q_end, strand, score)``.  A few chromosome pairs hold all blocks, so ordered work
-goes through ``prefix_scan`` and coverage through aligned interval nodes; nothing
+goes through ``prefix_scan`` and coverage through sweeps over ranges; nothing
 gathers a chromosome in one task.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.operators.ordered import desc, islands, prefix_scan, rank_rows
-from helixframe.operators.ranges import merge_intervals, node_cover, node_path, stab, used_levels
+from helixframe.operators.ranges import merge_intervals, ranks_below, stab
 from helixframe.session import cut_lineage
 
 LANE = ["t_name", "q_name", "strand"]
@@ -189,25 +189,8 @@ def net_pieces(ranked: DataFrame, chained: DataFrame) -> DataFrame:
     owned = stab(points, closed, ["t_name"], "pos", "t_start", "_last", rk=("min", "rk"))
     pieces = cut_lineage(prefix_scan(owned, ["t_name"], [desc("pos")], end=("lag", "pos")).where("rk IS NOT NULL"))
     spans = spans.withColumn("_last", F.col("t_end") - 1)
-    levels = used_levels(spans, "t_start", "_last")
-    shelves = spans.select("t_name", F.explode(node_cover(F.col("t_start"), F.col("_last"))).alias("n"), "rk").select(
-        "t_name", "n.level", "n.node", "rk", F.lit(1).alias("_chain"), F.col("rk").alias("_r"), F.lit(-1).cast("bigint").alias("pos")
-    )
-    asks = pieces.select("t_name", "pos", "rk", F.explode(node_path(F.col("pos"), levels)).alias("n")).select(
-        "t_name", "n.level", "n.node", "rk", F.lit(0).alias("_chain"), F.lit(None).cast("bigint").alias("_r"), "pos"
-    )
-    held = shelves.select("t_name", "level", "node").distinct()
-    asks = asks.join(held, ["t_name", "level", "node"], "left_semi").select(*shelves.columns)
-    # Inside a node, the chains ranked before a piece are a running count over the ranks.
-    read = prefix_scan(
-        shelves.unionByName(asks), ["t_name", "level", "node"], [F.col("rk"), F.col("_chain"), F.col("pos")],
-        _n=("sum", "_chain"), _best=("last", "_r"),
-    )
-    found = read.where("_chain = 0").groupBy("t_name", "pos").agg(F.sum("_n").alias("_better"), F.max("_best").alias("parent"))
-    level = F.coalesce("_better", F.lit(0)) + 1
-    return pieces.join(found, ["t_name", "pos"], "left").select(
-        "t_name", F.col("pos").alias("start"), "end", "rk", level.alias("level"), "parent"
-    )
+    read = ranks_below(pieces, spans, ["t_name"], "pos", "t_start", "_last", "rk")
+    return read.select("t_name", F.col("pos").alias("start"), "end", "rk", (F.col("_better") + 1).alias("level"), F.col("_next").alias("parent"))
 
 
 def number_fills(pieces: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators.ordered import desc, islands, prefix_scan
 from helixframe.operators.pairing import grid_pairs, unordered_pairs
-from helixframe.operators.ranges import merge_intervals, stab
+from helixframe.operators.ranges import merge_intervals, ranks_below, stab
 
 
 def skewed(spark, n=400, seed=3):
@@ -61,6 +61,46 @@ def test_stab_agrees_with_brute_force(spark):
         assert (r["low"], r["all"]) == ((min(hit), sum(hit)) if hit else (None, None))
 
 
+def test_stab_of_one_giant_key_over_many_ranges(spark):
+    """Two thirds of all rows in one key, intervals over one, two and all ranges, keys that share a range."""
+    rnd = random.Random(8)
+    key = lambda: rnd.choice(["hot", "hot", "k1", "k2", None])
+    spans = [(key(), s, s + rnd.choice([0, 3, 500, 20_000]), n) for n, s in enumerate(rnd.randint(-50, 20_000) for _ in range(700))]
+    spans += [("hot", 5, 4, 1), (None, 1, 9, 2), ("other", -9, 9, 3)]
+    points = [(key(), rnd.choice([None, *[rnd.randint(-60, 21_000) for _ in range(30)]]), i) for i in range(3000)]
+    found = stab(
+        spark.createDataFrame(points, "k string, p int, n int").repartition(7), spark.createDataFrame(spans, "k string, s int, e int, v int"),
+        ["k"], "p", "s", "e", low=("min", "v"), high=("max", "v"), all=("sum", "v"),
+    ).collect()
+    assert len(found) == len(points)
+    by_number = {n: (k, p) for k, p, n in points}
+    for r in found:
+        k, p = by_number[r["n"]]
+        hit = [v for kk, s, e, v in spans if k is not None and kk == k and p is not None and s <= p <= e]
+        assert (r["k"], r["p"]) == (k, p)
+        assert (r["low"], r["high"], r["all"]) == ((min(hit), max(hit), sum(hit)) if hit else (None, None, None))
+
+
+def test_stab_of_nothing(spark):
+    points, none = spark.createDataFrame([("a", 1)], "k string, p int"), spark.createDataFrame([], "k string, s int, e int, v int")
+    assert [tuple(r) for r in stab(points, none, ["k"], "p", "s", "e", low=("min", "v")).collect()] == [("a", 1, None)]
+    assert stab(points.limit(0), none, ["k"], "p", "s", "e", low=("min", "v")).collect() == []
+
+
+def test_ranks_below_over_many_ranges(spark):
+    rnd = random.Random(9)
+    spans = [(rnd.choice(["hot", "hot", "k"]), s, s + rnd.choice([1, 60, 5000]), n) for n, s in enumerate(rnd.randint(0, 5000) for _ in range(300))]
+    points = [(rnd.choice(["hot", "hot", "k"]), p, rnd.randint(0, 320)) for p in rnd.sample(range(6000), 1500)]
+    got = ranks_below(
+        spark.createDataFrame(points, "k string, p int, r long"), spark.createDataFrame(spans, "k string, s int, e int, r long"), ["k"], "p", "s", "e", "r"
+    ).collect()
+    want = []
+    for k, p, own in points:
+        lower = [r for kk, s, e, r in spans if kk == k and s <= p <= e and r < own]
+        want.append((k, p, own, len(lower), max(lower, default=None)))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_grid_pairs_meets_every_pair_once(spark):
     left = spark.range(23).toDF("x")
     right = spark.range(17).toDF("y")
