@@ -8,11 +8,14 @@ gathers a chromosome in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from helixframe.operators.genome import file_states
 from helixframe.operators.ordered import desc, islands, prefix_scan, rank_rows
 from helixframe.operators.ranges import merge_intervals, ranks_below, stab
-from helixframe.session import cut_lineage
+from helixframe.session import cut_lineage, task_count
 
 LANE = ["t_name", "q_name", "strand"]
 
@@ -44,50 +47,128 @@ def chain_table(chained: DataFrame) -> DataFrame:
     )
 
 
-def chain_best(blocks: DataFrame, max_gap: int, gap_cost: float) -> DataFrame:
-    """Blocks with ``chain_id`` and ``link_cost`` from highest-scoring colinear chains with a linear gap cost.
-
-    A link leads to a block that starts within ``max_gap`` after another on both
-    sequences.  Best scores settle round by round over the link table; then each
-    block keeps its best predecessor and each predecessor the successor on the way
-    to the highest score, and the chains are the remaining paths, named by
-    doubling of back pointers.
+# Costs of the named gap kinds at eleven lengths, for a gap in one sequence and in both.
+GAP_LENGTHS = (1, 2, 3, 11, 111, 2111, 12111, 32111, 72111, 152111, 252111)
+GAP_COSTS = {
+    "medium": (
+        (350, 425, 450, 600, 900, 2900, 22900, 57900, 117900, 217900, 317900),
+        (750, 825, 850, 1000, 1300, 3300, 23300, 58300, 118300, 218300, 318300),
+    ),
+    "loose": (
+        (325, 360, 400, 450, 600, 1100, 3600, 7600, 15600, 31600, 56600),
+        (625, 660, 700, 750, 900, 1400, 4000, 8000, 16000, 32000, 57000),
+    ),
+}
+#: Blocks of a lane that one task chains at once.
+LANE_ROWS = 100_000
+
+
+def gap_costs(kind: str | float, t_gap: np.ndarray, q_gap: np.ndarray) -> np.ndarray:
+    """Costs of gaps: a price per letter, or a named kind, linear between its lengths and rounded."""
+    total = t_gap + q_gap
+    if not isinstance(kind, str):
+        return total * kind
+    at = np.clip(np.searchsorted(GAP_LENGTHS, total, side="right") - 1, 0, len(GAP_LENGTHS) - 2)
+    low, high = (np.array(GAP_LENGTHS, np.float64)[at + i] for i in (0, 1))
+    cost = 0.0
+    for both, costs in enumerate(np.array(GAP_COSTS[kind], np.float64)):
+        here = np.floor(costs[at] + (costs[at + 1] - costs[at]) * (total - low) / (high - low) + 0.5)
+        cost = here if not both else np.where((t_gap > 0) & (q_gap > 0), here, cost)
+    return np.where(total > 0, cost, 0.0)
+
+
+_SETTLED = "j bigint, t_end bigint, q_end bigint, best double, i bigint, cost double"
+
+
+def _settle(rows: pa.Table, max_gap: int, kind: str | float) -> pa.Table:
+    """Best scores of the blocks of one range of a lane, in target order, after those carried in."""
+    name, t_start, t_end, q_start, q_end, own, best = (
+        rows.column(c).to_numpy(zero_copy_only=False) for c in ("j", "t_start", "t_end", "q_start", "q_end", "own", "best")
+    )
+    known = ~np.isnan(best)
+    by_end = np.argsort(t_end, kind="stable")
+    ends, q_ends = t_end[by_end], q_end[by_end]
+    score = np.where(known, best, own)
+    place = np.empty(len(by_end), np.int64)
+    place[by_end] = np.arange(len(by_end))
+    sorted_score = score[by_end].astype(np.float64)
+    order = np.flatnonzero(~known)
+    order = order[np.lexsort((name[order], t_start[order]))]
+    first = np.searchsorted(ends, t_start[order] - max_gap, side="left")
+    last = np.searchsorted(ends, t_start[order], side="right")
+    back, paid = np.full(len(order), -1, np.int64), np.zeros(len(order))
+    # A block that ends where another begins has begun before it, so its score is settled.
+    for n, (j, low, high) in enumerate(zip(order.tolist(), first.tolist(), last.tolist())):
+        q_gap = q_start[j] - q_ends[low:high]
+        near = np.flatnonzero((q_gap >= 0) & (q_gap <= max_gap))
+        if len(near):
+            cost = gap_costs(kind, t_start[j] - ends[low + near], q_gap[near])
+            gain = sorted_score[low + near] - cost
+            top = gain.max()
+            if top > 0:
+                tied = near[gain == top]
+                chosen = tied[np.argmin(name[by_end[low + tied]])]
+                back[n], paid[n] = name[by_end[low + chosen]], cost[near == chosen][0]
+                sorted_score[place[j]] += top
+    return pa.table({
+        "j": pa.array(name[order]), "t_end": pa.array(t_end[order]), "q_end": pa.array(q_end[order]), "best": pa.array(sorted_score[place[order]]),
+        "i": pa.array(back, mask=back < 0), "cost": pa.array(paid),
+    })
+
+
+def _settled(blocks: DataFrame, max_gap: int, kind: str | float) -> DataFrame:
+    """``j, best, i, cost``: best score of a chain that ends in each block, the block before and what the link costs.
+
+    Lanes are cut into ranges of target order; the ranges of all lanes with the same number are settled
+    together.  What the next range can still link to, the blocks that end within ``max_gap`` before it, is
+    carried on.  The rounds are as many as the longest lane has ranges, whatever the chains.
     """
     end_q = F.when(F.col("strand") == "+", F.col("q_end")).otherwise(-F.col("q_start"))
     start_q = F.when(F.col("strand") == "+", F.col("q_start")).otherwise(-F.col("q_end"))
-    slot = lambda x: F.floor(x / max_gap)
-    ends = blocks.select(
-        *LANE, F.col("block_id").alias("i"), F.col("t_end").alias("_te"), end_q.alias("_qe")
-    ).select(
-        "*", F.explode(F.array(slot(F.col("_te")), slot(F.col("_te")) + 1)).alias("_x"),
-    ).select("*", F.explode(F.array(slot(F.col("_qe")), slot(F.col("_qe")) + 1)).alias("_y"))
-    begins = blocks.select(
-        *LANE, F.col("block_id").alias("j"), F.col("t_start").alias("_ts"), start_q.alias("_qs")
-    ).select("*", slot(F.col("_ts")).alias("_x"), slot(F.col("_qs")).alias("_y"))
-    t_gap, q_gap = F.col("_ts") - F.col("_te"), F.col("_qs") - F.col("_qe")
-    links = cut_lineage(
-        ends.join(begins, [*LANE, "_x", "_y"])
-        .where((F.col("i") != F.col("j")) & (t_gap >= 0) & (t_gap <= max_gap) & (q_gap >= 0) & (q_gap <= max_gap))
-        .select("i", "j", ((t_gap + q_gap) * gap_cost).alias("cost"))
-    )
-    own = F.col("score").cast("double")
-    state = cut_lineage(blocks.select(F.col("block_id").alias("j"), own.alias("own"), own.alias("best"), F.lit(True).alias("fresh")))
-    while not state.where("fresh").isEmpty():
-        moved = state.where("fresh").select(F.col("j").alias("i"), F.col("best").alias("b"))
-        # A link that costs more than the score before it helps nobody.
-        reach = links.join(moved, "i").where("b > cost").groupBy("j").agg(F.max(F.col("b") - F.col("cost")).alias("via"))
-        new = F.col("own") + F.col("via")
-        state = cut_lineage(
-            state.join(reach, "j", "left").select(
-                "j", "own", F.greatest("best", new).alias("best"), F.coalesce(new > F.col("best"), F.lit(False)).alias("fresh")
-            )
-        )
+    turned = blocks.select(*LANE, F.col("block_id").alias("j"), "t_start", "t_end", start_q.alias("q_start"), end_q.alias("q_end"), F.col("score").cast("double").alias("own"))
+    ranked = rank_rows(turned, LANE, [F.col("t_start"), F.col("j")], "_rn")
+    rows = cut_lineage(ranked.withColumn("range", F.floor((F.col("_rn") - 1) / LANE_ROWS)).drop("_rn"))
+    begins = rows.groupBy(*LANE, (F.col("range") - 1).alias("range")).agg(F.min("t_start").alias("_next"))
+    most = rows.agg(F.max("range")).first()[0]
+    done, carried = None, None
+    for number in range(0 if most is None else most + 1):
+        here = rows.where(F.col("range") == number).select(*LANE, "j", "t_start", "t_end", "q_start", "q_end", "own", F.lit(float("nan")).alias("best"))
+        if carried is not None:
+            here = here.unionByName(carried)
+        # A carried block keeps its settled score; where it begins no longer counts.
+        lane = lambda group: _with_lane(group, _settle(group, max_gap, kind))
+        found = cut_lineage(here.repartition(task_count(blocks.sparkSession), *LANE).groupBy(*LANE).applyInArrow(lane, f"t_name string, q_name string, strand string, {_SETTLED}"))
+        done = found if done is None else done.unionByName(found)
+        if number < most:
+            # Blocks of this range, and those carried so far, that the next one can reach.
+            open_ends = found.select(*LANE, "j", F.lit(0).cast("bigint").alias("t_start"), "t_end", F.lit(0).cast("bigint").alias("q_start"), "q_end", F.lit(0.0).alias("own"), "best")
+            if carried is not None:
+                open_ends = open_ends.unionByName(carried)
+            after = begins.where(F.col("range") == number).drop("range")
+            carried = cut_lineage(open_ends.join(after, LANE).where(F.col("t_end") >= F.col("_next") - max_gap).drop("_next"))
+    if done is None:
+        done = rows.select(*LANE, "j", "t_end", "q_end", F.col("own").alias("best"), F.lit(None).cast("bigint").alias("i"), F.lit(0.0).alias("cost"))
+    return done.select("j", "best", "i", "cost")
+
+
+def _with_lane(group: pa.Table, found: pa.Table) -> pa.Table:
+    for at, c in enumerate(LANE):
+        found = found.add_column(at, c, pa.array([group.column(c)[0].as_py()] * found.num_rows, pa.string()))
+    return found
+
+
+def chain_best(blocks: DataFrame, max_gap: int, gap_cost: str | float) -> DataFrame:
+    """Blocks with ``chain_id`` and ``link_cost`` from highest-scoring colinear chains.
+
+    A link leads to a block that starts within ``max_gap`` after another on both
+    sequences and costs what ``gap_costs`` says.  Best scores are settled by a sweep
+    in target order; then each block keeps its best predecessor and each predecessor
+    the successor on the way to the highest score, if that is higher than its own; the
+    chains are the remaining paths, named by doubling of back pointers.
+    """
+    state = cut_lineage(_settled(blocks, max_gap, gap_cost))
+    back = state.where("i IS NOT NULL").select("j", "i")
     best = state.select("j", "best")
-    b = best.select(F.col("j").alias("i"), F.col("best").alias("bi"))
-    gains = links.join(b, "i").join(best.withColumnRenamed("best", "bj"), "j").withColumn("gain", F.col("bi") - F.col("cost"))
-    back = cut_lineage(
-        gains.where("gain > 0").groupBy("j").agg(F.max_by("i", F.struct("gain", -F.col("i"))).alias("i"))
-    )
     # The best score that any path through a block goes on to reach.
     onward, jump = best.withColumnRenamed("best", "far"), back
     while not jump.isEmpty():
@@ -95,7 +176,9 @@ def chain_best(blocks: DataFrame, max_gap: int, gap_cost: float) -> DataFrame:
         onward = cut_lineage(onward.join(below, "j", "left").select("j", F.greatest("far", "_far").alias("far")))
         further = jump.select(F.col("j").alias("i"), F.col("i").alias("top"))
         jump = cut_lineage(jump.join(further, "i").select("j", F.col("top").alias("i")))
-    taken = back.join(onward, "j").groupBy("i").agg(F.max_by("j", F.struct("far", -F.col("j"))).alias("j"))
+    # A chain ends where no way onward reaches a higher score.
+    here = best.select(F.col("j").alias("i"), F.col("best").alias("_best"))
+    taken = back.join(onward, "j").join(here, "i").where("far > _best").groupBy("i").agg(F.max_by("j", F.struct("far", -F.col("j"))).alias("j"))
     root = cut_lineage(
         best.select("j").join(taken, "j", "left").select("j", F.coalesce("i", "j").alias("up"))
     )
@@ -105,7 +188,7 @@ def chain_best(blocks: DataFrame, max_gap: int, gap_cost: float) -> DataFrame:
         root = moved.select("j", "up")
         if moved.where("ch").isEmpty():
             break
-    paid = taken.join(links, ["i", "j"]).select("j", "cost")
+    paid = taken.join(state.select("j", "cost"), "j").select("j", "cost")
     named = root.join(paid, "j", "left").select(
         F.col("j").alias("block_id"), F.col("up").alias("chain_id"), F.coalesce("cost", F.lit(0.0)).alias("link_cost")
     )
@@ -223,29 +306,44 @@ def classify(net_fills: DataFrame, ranked: DataFrame) -> DataFrame:
     return joined.withColumn("kind", kind).drop("_q", "_s", "_pq", "_ps")
 
 
-def net_blocks(pieces: DataFrame, ranked: DataFrame, chained: DataFrame) -> DataFrame:
-    """Blocks cut to the parts of the target that their chain owns, with matching query ranges."""
+def net_blocks(pieces: DataFrame, ranked: DataFrame, chained: DataFrame, *kept: str) -> DataFrame:
+    """Blocks cut to the parts of the target that their chain owns, with matching query ranges.
+
+    Pieces that differ in the columns ``kept`` stay apart.
+    """
     owned = chained.join(ranked.select("chain_id", "rk"), "chain_id")
     closed = owned.withColumn("_last", F.col("t_end") - 1)
     held = stab(pieces, closed, ["t_name", "rk"], "start", "t_start", "_last", block_id=("min", "block_id"))
     runs = islands(
-        held.select("t_name", "block_id", "start", "end"), ["t_name", "block_id"], "start", "end"
-    ).groupBy("t_name", "block_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        held.select("t_name", "block_id", "start", "end", *kept), ["t_name", "block_id", *kept], "start", "end"
+    ).groupBy("t_name", "block_id", *kept, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cut = runs.drop("t_name").join(owned, "block_id")
     ahead, behind = F.col("start") - F.col("t_start"), F.col("t_end") - F.col("end")
     plus = F.col("strand") == "+"
     return cut.select(
         "block_id", "t_name", "start", "end", "q_name",
         (F.col("q_start") + F.when(plus, ahead).otherwise(behind)).alias("q_from"),
-        (F.col("q_end") - F.when(plus, behind).otherwise(ahead)).alias("q_to"), "strand", "chain_id",
+        (F.col("q_end") - F.when(plus, behind).otherwise(ahead)).alias("q_to"), "strand", *kept, "chain_id",
     )
 
 
-def net_pipeline(blocks: DataFrame, gap: int, min_score: int) -> DataFrame:
-    """Blocks to chains, sorted and pruned, netted and cut back to sorted alignments."""
+def gated(rows: DataFrame, log: DataFrame, marker: str) -> DataFrame:
+    """The rows, or an error as soon as any is read, if a file of ``log(file_id, line_no, line)`` does not end with ``marker``."""
+    unfinished = file_states(log, marker).where("NOT complete").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("first"))
+    said = unfinished.select(F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" incomplete inputs, the first one is "), F.col("first").cast("string")))).scalar()
+    told = rows.withColumn("_gate", F.when(said.isNotNull(), F.raise_error(said)))
+    return told.where("_gate IS NULL").drop("_gate")
+
+
+def net_pipeline(blocks: DataFrame, gap: int, min_score: int, log: DataFrame | None = None, marker: str = "") -> DataFrame:
+    """Blocks to chains, sorted and pruned, netted and cut back to alignments, each with its ``kind``.
+
+    With ``log`` the job fails on reading the blocks if one of the inputs is incomplete.
+    """
+    blocks = blocks if log is None else cut_lineage(gated(blocks, log, marker))
     chained = cut_lineage(chain_runs(blocks, gap))
     ranked = cut_lineage(sort_chains(chain_table(chained).where(F.col("score") >= min_score)))
     kept = cut_lineage(pre_net(ranked))
-    of_kept = chained.join(kept.select("chain_id"), "chain_id", "left_semi")
-    pieces = cut_lineage(net_pieces(kept, of_kept))
-    return net_blocks(pieces, kept, of_kept).orderBy("t_name", "start", "block_id")
+    of_kept = cut_lineage(chained.join(kept.select("chain_id"), "chain_id", "left_semi"))
+    pieces = cut_lineage(classify(net_pieces(kept, of_kept), kept))
+    return net_blocks(pieces, kept, of_kept, "kind").orderBy("t_name", "start", "block_id")

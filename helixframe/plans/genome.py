@@ -225,9 +225,51 @@ def pieces(fx):
     return fx.kept["pieces"]
 
 
-@query("chain_blocks")
+# Both kinds of gap costs, at the lowest score of their distance.
+_KINDS = {linear: least for distance, *_, least, linear in g.PRESETS if distance in ("medium", "far")}
+view("v_cost", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{kind}',{both},{n},{ch.GAP_LENGTHS[n]},{ch.GAP_LENGTHS[n + 1]},{costs[n]},{costs[n + 1]})"
+    for kind, sides in ch.GAP_COSTS.items() for both, costs in enumerate(sides) for n in range(len(ch.GAP_LENGTHS) - 1))
+    + ") v(kind, two, n, l0, l1, c0, c1)")
+view("v_turned", """SELECT block_id, t_name, q_name, strand, t_start, t_end, CASE strand WHEN '+' THEN q_start ELSE -q_end END AS qs,
+    CASE strand WHEN '+' THEN q_end ELSE -q_start END AS qe, score FROM f5_block""")
+view("v_link0", f"""SELECT x.block_id AS i, y.block_id AS j, y.t_start-x.t_end AS tg, y.qs-x.qe AS qg, x.score AS si, y.score AS sj FROM v_turned x JOIN v_turned y
+    ON y.t_name=x.t_name AND y.q_name=x.q_name AND y.strand=x.strand AND y.t_start>=x.t_end AND y.t_start<=x.t_end+{GAP} AND y.qs>=x.qe AND y.qs<=x.qe+{GAP}""")
+
+
+def _chain_sql(kind, least):
+    """Best scores by rounds over all links, then the paths."""
+    return f"""SELECT chain_id, t_name, q_name, strand, min(t_start) AS t_start, max(t_end) AS t_end, min(q_start) AS q_start, max(q_end) AS q_end,
+        CAST(sum(score)-sum(coalesce(cost,0)) AS DOUBLE) AS score, count(*) AS blocks, '{kind}' AS linear_gap FROM
+        (SELECT r.chain_id, b.*, t.cost FROM v_root_{kind} r JOIN f5_block b ON b.block_id=r.j LEFT JOIN v_taken_{kind} t ON t.j=r.j)
+        GROUP BY chain_id, t_name, q_name, strand HAVING sum(score)-sum(coalesce(cost,0))>={least}"""
+
+
+for _kind in _KINDS:
+    view(f"v_link_{_kind}", f"""SELECT i, j, CASE WHEN tg+qg=0 THEN 0 ELSE floor(c0+(c1-c0)*CAST(tg+qg-l0 AS DOUBLE)/(l1-l0)+0.5) END AS cost FROM v_link0
+        JOIN v_cost ON kind='{_kind}' AND two=CAST(tg>0 AND qg>0 AS INT)
+        AND n=least(greatest((SELECT count(*) FROM (SELECT unnest([{",".join(map(str, ch.GAP_LENGTHS))}]) AS l) WHERE l<=tg+qg)-1, 0), {len(ch.GAP_LENGTHS) - 2})""")
+    view(f"v_best_{_kind}", f"""WITH RECURSIVE b(j, best) USING KEY (j) AS (SELECT block_id, CAST(score AS DOUBLE) FROM f5_block
+        UNION SELECT l.j, max(o.score+b.best-l.cost) FROM b JOIN v_link_{_kind} l ON l.i=b.j JOIN f5_block o ON o.block_id=l.j JOIN recurring.b c ON c.j=l.j
+        GROUP BY l.j, c.best HAVING max(o.score+b.best-l.cost)>c.best) SELECT * FROM b""")
+    view(f"v_back_{_kind}", f"""SELECT l.j, l.i, l.cost FROM v_link_{_kind} l JOIN v_best_{_kind} b ON b.j=l.i WHERE b.best>l.cost
+        QUALIFY row_number() OVER (PARTITION BY l.j ORDER BY b.best-l.cost DESC, l.i)=1""")
+    view(f"v_far_{_kind}", f"""WITH RECURSIVE f(j, far) USING KEY (j) AS (SELECT j, best FROM v_best_{_kind}
+        UNION SELECT k.i, max(f.far) FROM f JOIN v_back_{_kind} k ON k.j=f.j JOIN recurring.f c ON c.j=k.i GROUP BY k.i, c.far HAVING max(f.far)>c.far) SELECT * FROM f""")
+    view(f"v_taken_{_kind}", f"""SELECT k.i, k.j, k.cost FROM v_back_{_kind} k JOIN v_far_{_kind} f ON f.j=k.j
+        JOIN v_best_{_kind} b ON b.j=k.i WHERE far>b.best QUALIFY row_number() OVER (PARTITION BY k.i ORDER BY far DESC, k.j)=1""")
+    view(f"v_root_{_kind}", f"""WITH RECURSIVE r(j, chain_id) AS (SELECT block_id, block_id FROM f5_block WHERE block_id NOT IN (SELECT j FROM v_taken_{_kind})
+        UNION ALL SELECT t.j, r.chain_id FROM r JOIN v_taken_{_kind} t ON t.i=r.j) SELECT * FROM r""")
+
+
+@query("chain_blocks", " UNION ALL ".join(_chain_sql(kind, least) for kind, least in _KINDS.items()))
 def chain_blocks(fx):
-    return ch.chain_table(ch.chain_best(fx.block, GAP, 10.0)).where("score >= 3000")
+    blocks = cut_lineage(fx.block)
+    both = [
+        ch.chain_table(ch.chain_best(blocks, GAP, kind)).where(F.col("score") >= least).withColumn("linear_gap", F.lit(kind))
+        for kind, least in _KINDS.items()
+    ]
+    return both[0].unionByName(both[1])
 
 
 @query("chain_blocks_simple", "SELECT chain_id, t_name, q_name, strand, t_start, t_end, q_start, q_end, score, blocks FROM v_chain")
@@ -290,15 +332,16 @@ def net_syntenic(fx):
     return ch.classify(ch.fills(pieces(fx)), ranked(fx)).select("t_name", "start", "end", "rk", "kind")
 
 
-def net_sql(piece, chain):
-    return f"""WITH h AS (SELECT b.block_id, p.t_name, p.start, p."end", b.q_name, b.q_start, b.q_end, b.t_start, b.t_end, b.strand FROM {piece} p
+def net_sql(piece, chain, kind=""):
+    keep, own = (f", {kind}", f", p.{kind}") if kind else ("", "")
+    return f"""WITH h AS (SELECT b.block_id, p.t_name, p.start, p."end", b.q_name, b.q_start, b.q_end, b.t_start, b.t_end, b.strand{own} FROM {piece} p
       JOIN {chain} r ON r.rk=p.rk JOIN v_chained b ON b.chain_id=r.chain_id AND b.t_start<=p.start AND b.t_end>p.start),
-    i AS (SELECT *, sum(o) OVER (PARTITION BY block_id ORDER BY start) AS isl FROM
-      (SELECT *, CASE WHEN lag("end") OVER (PARTITION BY block_id ORDER BY start)=start THEN 0 ELSE 1 END AS o FROM h))
+    i AS (SELECT *, sum(o) OVER (PARTITION BY block_id{keep} ORDER BY start) AS isl FROM
+      (SELECT *, CASE WHEN lag("end") OVER (PARTITION BY block_id{keep} ORDER BY start)=start THEN 0 ELSE 1 END AS o FROM h))
     SELECT block_id, t_name, min(start) AS start, max("end") AS "end", q_name,
       CASE WHEN strand='+' THEN max(q_start)+min(start)-max(t_start) ELSE max(q_start)+max(t_end)-max("end") END AS q_from,
-      CASE WHEN strand='+' THEN max(q_end)-(max(t_end)-max("end")) ELSE max(q_end)-(min(start)-max(t_start)) END AS q_to, strand
-    FROM i GROUP BY block_id, isl, t_name, q_name, strand"""
+      CASE WHEN strand='+' THEN max(q_end)-(max(t_end)-max("end")) ELSE max(q_end)-(min(start)-max(t_start)) END AS q_to, strand{keep}
+    FROM i GROUP BY block_id, isl, t_name, q_name, strand{keep}"""
 
 
 @query("net_to_alignments", net_sql("v_piece", "v_rank"))
@@ -306,7 +349,8 @@ def net_to_alignments(fx):
     return ch.net_blocks(pieces(fx), ranked(fx), chained(fx)).drop("chain_id").orderBy("t_name", "start")
 
 
-MIN_CHAIN = 60_000
+# The lowest score of a chain between far genomes.
+MIN_CHAIN = next(least for distance, *_, least, _ in g.PRESETS if distance == "far")
 view("p_rank", f"SELECT *, row_number() OVER (ORDER BY score DESC, chain_id) AS rk FROM v_chain WHERE score>={MIN_CHAIN}")
 for _s in ("t", "q"):
     view(f"p_break_{_s}", f"SELECT DISTINCT {_s}_name, unnest([{_s}_start, {_s}_end]) AS pos FROM p_rank")
@@ -318,10 +362,15 @@ view("p_point", """SELECT DISTINCT t_name, pos FROM (SELECT t_name, unnest([t_st
     UNION ALL SELECT t_name, unnest([t_start,t_end]) FROM p_kept)""")
 view("p_own", """SELECT p.t_name, pos, min(rk) AS rk FROM p_point p JOIN p_block b ON b.t_name=p.t_name AND b.t_start<=pos AND b.t_end>pos
     JOIN p_kept r ON r.chain_id=b.chain_id GROUP BY 1,2""")
-view("p_piece", """SELECT n.t_name, n.pos AS start, x.nxt AS "end", n.rk FROM p_own n
-    JOIN (SELECT t_name, pos, lead(pos) OVER (PARTITION BY t_name ORDER BY pos) AS nxt FROM p_point) x ON x.t_name=n.t_name AND x.pos=n.pos""")
+view("p_piece", """SELECT t_name, start, "end", rk, CASE WHEN parent IS NULL THEN 'top' WHEN c.q_name<>u.q_name THEN 'nonSyn'
+      WHEN c.strand=u.strand THEN 'syn' ELSE 'inv' END AS kind FROM
+    (SELECT n.t_name, n.pos AS start, x.nxt AS "end", n.rk, max(c.rk) AS parent FROM p_own n
+     JOIN (SELECT t_name, pos, lead(pos) OVER (PARTITION BY t_name ORDER BY pos) AS nxt FROM p_point) x ON x.t_name=n.t_name AND x.pos=n.pos
+     LEFT JOIN p_kept c ON c.t_name=n.t_name AND c.t_start<=n.pos AND c.t_end>n.pos AND c.rk<n.rk GROUP BY 1,2,3,4) f
+    JOIN p_kept c USING (rk, t_name) LEFT JOIN p_kept u ON u.rk=f.parent""")
 
 
-@query("net_pipeline", net_sql("p_piece", "p_kept"))
+@query("net_pipeline", net_sql("p_piece", "p_kept", "kind"))
 def net_pipeline(fx):
-    return ch.net_pipeline(fx.block, GAP, MIN_CHAIN).drop("chain_id")
+    whole = g.file_states(fx.log, "assistant").where("complete").select("file_id")
+    return ch.net_pipeline(fx.block, GAP, MIN_CHAIN, fx.log.join(whole, "file_id"), "assistant").drop("chain_id")

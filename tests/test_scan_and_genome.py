@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import chains, footprint, genome, scanning
@@ -121,6 +123,64 @@ def test_best_chain_score_is_the_optimum(spark):
     assert sorted(table.values()) == sorted(scores)
 
 
+def chain_scores(rows, gap, cost):
+    """Best score of a chain that ends in each block, by a plain loop."""
+    best = {}
+    side = lambda r: (r[5], r[6]) if r[7] == "+" else (-r[6], -r[5])
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        via = 0
+        for p in rows:
+            dt, dq = r[2] - p[3], side(r)[0] - side(p)[1]
+            if p[0] in best and p[7] == r[7] and 0 <= dt <= gap and 0 <= dq <= gap:
+                via = max(via, best[p[0]] - cost(dt, dq))
+        best[r[0]] = r[8] + via
+    return best
+
+
+def test_named_gap_costs_over_ranges_of_a_lane(spark, monkeypatch):
+    """One lane holds nearly all blocks; it is settled range by range, with blocks carried over."""
+    rnd = random.Random(14)
+    rows = [(i, "t", t, t + rnd.choice([5, 9, 700]), "q", q, q + 5, "-" if i % 40 == 0 else "+", rnd.randint(300, 2500))
+            for i, (t, q) in enumerate((rnd.randint(0, 3000), rnd.randint(0, 3000)) for _ in range(200))]
+
+    def cost(kind):
+        one, both = chains.GAP_COSTS[kind]
+
+        def of(dt, dq):
+            if dt + dq == 0:
+                return 0
+            values, total, at = both if dt and dq else one, dt + dq, 0
+            while at < len(values) - 2 and chains.GAP_LENGTHS[at + 1] <= total:
+                at += 1
+            a, b = chains.GAP_LENGTHS[at : at + 2]
+            return math.floor(values[at] + (values[at + 1] - values[at]) * (total - a) / (b - a) + 0.5)
+        return of
+
+    for kind in ("medium", "loose"):
+        want = chain_scores(rows, 800, cost(kind))
+        for size in (100_000, 23):
+            monkeypatch.setattr(chains, "LANE_ROWS", size)
+            state = chains._settled(blocks_of(spark, rows), 800, kind).collect()
+            assert {r["j"]: r["best"] for r in state} == want
+        chained = chains.chain_table(chains.chain_best(blocks_of(spark, rows), 800, kind)).collect()
+        assert max(r["score"] for r in chained) == max(want.values()) and sum(r["blocks"] for r in chained) == 200
+    assert chains.chain_best(blocks_of(spark, rows).limit(0), 800, "loose").collect() == []
+
+
+def test_one_cut_off_input_fails_the_pipeline(spark, tmp_path):
+    rows = blocks_of(spark, random_blocks(60, 5))
+    lines = [(f, n, "line") for f in "ab" for n in range(3)] + [("a", 3, "# end")]
+    log = spark.createDataFrame(lines + [("b", 3, "# end")], "file_id string, line_no int, line string")
+    whole = chains.net_pipeline(rows, 40, 100, log, "# end")
+    assert whole.count() == chains.net_pipeline(rows, 40, 100).count() > 0
+    assert {r["kind"] for r in whole.collect()} <= {"top", "syn", "inv", "nonSyn"}
+    cut_off = spark.createDataFrame(lines, "file_id string, line_no int, line string")
+    with pytest.raises(Exception, match="1 incomplete inputs, the first one is b"):
+        chains.gated(rows, cut_off, "# end").write.parquet(f"{tmp_path}/rows")
+    with pytest.raises(Exception, match="incomplete inputs"):
+        chains.net_pipeline(rows, 40, 100, cut_off, "# end")
+
+
 def test_net_owners_are_disjoint_and_best(spark):
     rows = random_blocks(80, 4)
     chained = chains.chain_runs(blocks_of(spark, rows), 40)
