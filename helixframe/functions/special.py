@@ -34,11 +34,25 @@ def digamma_array(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 0.5 / y - tail - sum(1 / (x + k) for k in range(SHIFT))
 
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
+def erfc_array(x: np.ndarray) -> np.ndarray:
+    """Complementary error function: a series near zero, a continued fraction further out."""
+    a = np.abs(np.asarray(x, float))
+    small, large = np.minimum(a, 2.5), np.maximum(a, 2.5)
+    term, total = small, small
+    for n in range(1, 60):
+        term = term * (2 * small * small / (2 * n + 1))
+        total = total + term
+    near = 1 - 2 / math.sqrt(math.pi) * np.exp(-small * small) * total
+    fraction = large
+    for k in range(80, 0, -1):
+        fraction = large + (k / 2) / fraction
+    far = np.exp(-large * large) / (math.sqrt(math.pi) * fraction)
+    tail = np.where(a < 2.5, near, far)
+    return np.where(x < 0, 2 - tail, tail)
 
 
 def normal_cdf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(z, float) / math.sqrt(2)) if len(z) else np.zeros(0)
+    return 0.5 * erfc_array(-np.asarray(z, float) / math.sqrt(2)) if len(z) else np.zeros(0)
 
 
 def chi2_tail_3df(x: np.ndarray) -> np.ndarray:
@@ -46,7 +60,7 @@ def chi2_tail_3df(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
     if x.size == 0:
         return x
-    return _erfc(np.sqrt(x / 2)) + np.sqrt(2 * x / math.pi) * np.exp(-x / 2)
+    return erfc_array(np.sqrt(x / 2)) + np.sqrt(2 * x / math.pi) * np.exp(-x / 2)
 
 
 @F.pandas_udf(DoubleType())

@@ -1,8 +1,9 @@
 """Comparative footprint operators on pairwise alignments and gene annotation.
 
 Alignments come as one row per position: ``(aln_id, apos, c1, c2)`` with ``-`` or
-``.`` for a gap.  Footprint sequences have at most 10,000 letters, which bounds
-every window over one alignment; the work spreads over alignments.
+``.`` for a gap.  An alignment may be of any length: running values go through
+``prefix_scan``, and sliding frames through ``framed``, which cuts the positions
+into blocks and copies the rows at their edges, so no window spans an alignment.
 """
 
 from __future__ import annotations
@@ -12,25 +13,35 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from helixframe.operators.ordered import desc, prefix_scan, rank_rows
 from helixframe.operators.ranges import stab
 from helixframe.operators.scanning import revcomp
 
 MIN_VIEW = 500  # fixed value: narrowest default view
+#: Positions of an alignment in one block of a sliding frame.
+FRAME_ROWS = 1 << 16
 
 
 def is_base(column: str) -> Column:
     return ~F.col(column).isin("-", ".")
 
 
-def alignment_index(alignment: DataFrame) -> DataFrame:
-    """Adds the ungapped positions ``p1`` and ``p2``; null in gaps."""
-    so_far = W.partitionBy("aln_id").orderBy("apos").rowsBetween(W.unboundedPreceding, 0)
+def framed(rows: DataFrame, pos: str, before: int, after: int, size: int | None = None) -> DataFrame:
+    """Rows with ``_block``, blocks of ``size`` positions of an alignment, and ``_own``, whether it is the row's block.
 
-    def position(letter: str) -> Column:
-        here = is_base(letter)
-        return F.when(here, F.sum(here.cast("int")).over(so_far)).cast("int")
+    A row is copied to the neighbouring blocks in which frames from ``before`` rows back to ``after`` rows ahead need it.
+    """
+    size = size or FRAME_ROWS
+    block = lambda x: F.floor((x - 1) / size)
+    spread = rows.withColumn("_block", F.explode(F.sequence(block(F.col(pos) - after), block(F.col(pos) + before))))
+    return spread.withColumn("_own", F.col("_block") == block(F.col(pos)))
 
-    return alignment.withColumn("p1", position("c1")).withColumn("p2", position("c2"))
+
+def alignment_index(alignment: DataFrame) -> DataFrame:
+    """Adds the ungapped positions ``p1`` and ``p2``; null in gaps."""
+    marked = alignment.withColumn("_b1", is_base("c1").cast("int")).withColumn("_b2", is_base("c2").cast("int"))
+    counted = prefix_scan(marked, ["aln_id"], [F.col("apos")], p1=("sum", "_b1"), p2=("sum", "_b2"))
+    return counted.select(*alignment.columns, *[F.when(F.col(f"_b{n}") == 1, F.col(f"p{n}")).cast("int").alias(f"p{n}") for n in (1, 2)])
 
 
 def strip_gaps(text: Column) -> Column:
@@ -45,12 +56,10 @@ def lookup(points: DataFrame, index: DataFrame, source: str, target: str) -> Dat
 
 def nearest_mapped(index: DataFrame, source: str, target: str) -> DataFrame:
     """For every ``source`` position, the nearest ``target`` at or below and at or above it."""
-    ordered = W.partitionBy("aln_id").orderBy(source)
-    lower = F.last(target, ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, 0))
-    higher = F.first(target, ignorenulls=True).over(ordered.rowsBetween(0, W.unboundedFollowing))
-    return index.where(F.col(source).isNotNull()).select(
-        "aln_id", source, F.coalesce(lower, F.lit(1)).alias("lower"), higher.alias("higher")
-    )
+    known = index.where(F.col(source).isNotNull()).select("aln_id", source, target)
+    below = prefix_scan(known, ["aln_id"], [F.col(source)], lower=("last", target))
+    both = prefix_scan(below, ["aln_id"], [desc(source)], higher=("last", target))
+    return both.select("aln_id", source, F.coalesce("lower", F.lit(1)).alias("lower"), "higher")
 
 
 def identity() -> Column:
@@ -61,25 +70,30 @@ def conservation(index: DataFrame, window: int = 50, which: int = 1) -> DataFram
     """Percent identity around each base of one sequence; the divisor stays ``window`` at the ends."""
     p = f"p{which}"
     half = window // 2
-    frame = W.partitionBy("aln_id").orderBy(p).rowsBetween(-(window - 1 - half), half)
-    return index.where(F.col(p).isNotNull()).select(
-        "aln_id", F.col(p).alias("pos"), (F.sum(identity()).over(frame) * 100 / window).alias("conservation")
-    )
+    back = window - 1 - half
+    rows = index.where(F.col(p).isNotNull()).select("aln_id", F.col(p).alias("pos"), identity().alias("_same"))
+    frame = W.partitionBy("aln_id", "_block").orderBy("pos").rowsBetween(-back, half)
+    summed = framed(rows, "pos", back, half).withColumn("conservation", F.sum("_same").over(frame) * 100 / window)
+    return summed.where("_own").select("aln_id", "pos", "conservation")
 
 
 def conservation_cutoff(profile: DataFrame, share: float = 0.9) -> DataFrame:
-    """Element ``int(share * n)`` of the ascending profile of each alignment."""
-    rank = F.row_number().over(W.partitionBy("aln_id").orderBy("conservation"))
-    n = F.count(F.lit(1)).over(W.partitionBy("aln_id"))
-    chosen = profile.withColumn("_r", rank).withColumn("_n", n).where(F.col("_r") == F.floor(F.col("_n") * share) + 1)
-    return chosen.select("aln_id", F.col("conservation").alias("cutoff"))
+    """Element ``int(share * n)`` of the ascending profile of each alignment.
+
+    A profile has few different values, so they are counted first.
+    """
+    counts = profile.groupBy("aln_id", "conservation").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy("aln_id").orderBy("conservation"))
+    whole = F.sum("_c").over(W.partitionBy("aln_id"))
+    chosen = counts.select("aln_id", "conservation", upto.alias("_upto"), (F.floor(whole * share) + 1).alias("_k")).where("_upto >= _k")
+    return chosen.groupBy("aln_id").agg(F.min("conservation").alias("cutoff"))
 
 
 def conserved_regions(profile: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Maximal runs of positions at or above the cutoff."""
-    high = profile.join(cutoffs, "aln_id").where("conservation >= cutoff")
-    run = F.col("pos") - F.row_number().over(W.partitionBy("aln_id").orderBy("pos"))
-    return high.withColumn("_run", run).groupBy("aln_id", "_run").agg(
+    high = profile.join(cutoffs, "aln_id").where("conservation >= cutoff").select("aln_id", "pos")
+    ranked = rank_rows(high, ["aln_id"], [F.col("pos")], "_rn")
+    return ranked.groupBy("aln_id", (F.col("pos") - F.col("_rn")).alias("_run")).agg(
         F.min("pos").alias("r_start"), F.max("pos").alias("r_end")
     ).drop("_run")
 

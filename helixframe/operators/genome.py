@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from helixframe.operators import extension, pieces
+from helixframe.operators.footprint import framed
 from helixframe.operators.ordered import desc, prefix_scan
 from helixframe.operators.pairing import grid_pairs
 from helixframe.operators.pieces import PIECE, tiles
@@ -171,12 +172,13 @@ def alignment_scores(alignment: DataFrame, spark: SparkSession) -> DataFrame:
 
     The two tables joined here are the fixed 48-row and 3-row parameters.
     """
-    order = W.partitionBy("aln_id").orderBy("apos")
     gap = F.when(F.col("c1").isin("-", "."), 1).when(F.col("c2").isin("-", "."), 2).otherwise(0)
-    marked = alignment.withColumn("_gap", gap)
+    order = W.partitionBy("aln_id", "_block").orderBy("apos")
+    near = framed(alignment.withColumn("_gap", gap), "apos", 1, 0)
     opens = ((F.col("_gap") > 0) & (F.col("_gap") != F.coalesce(F.lag("_gap").over(order), F.lit(0)))).cast("int")
+    marked = near.withColumn("_open", opens).where("_own")
     # Letters are counted per alignment before the parameters come in.
-    counted = marked.withColumn("_open", opens).groupBy("aln_id", F.upper("c1").alias("b1"), F.upper("c2").alias("b2")).agg(
+    counted = marked.groupBy("aln_id", F.upper("c1").alias("b1"), F.upper("c2").alias("b2")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_open").alias("opens"), F.sum((F.col("_gap") > 0).cast("int")).alias("gaps")
     )
     table = F.broadcast(substitutions(spark))

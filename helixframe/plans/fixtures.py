@@ -216,12 +216,12 @@ class Fixtures:
 
     @cached_property
     def protein(self) -> DataFrame:
-        """Consecutive rows of ten residues over every text; a shorter rest is no row."""
+        """Consecutive rows of ten residues over every text; the last one may be shorter."""
         residues = F.upper(F.regexp_replace("text", "[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]+", ""))
         return self.table("documents").select(
             F.col("source").alias("member"),
             F.col("doc_id").alias("row_id"),
-            F.posexplode(F.regexp_extract_all(residues, F.lit("(.{10})"), F.lit(1))).alias("part", "aligned"),
+            F.posexplode(F.regexp_extract_all(residues, F.lit("(.{1,10})"), F.lit(1))).alias("part", "aligned"),
         )
 
 
@@ -269,7 +269,7 @@ ORACLE_VIEWS: dict[str, str] = {
     "f11_scored": """SELECT d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS score, l.quality AS label
         FROM documents d JOIN labels l USING (doc_id)""",
     "f12_protein": """SELECT member, row_id, CAST(part AS INT) AS part, substr(residues, CAST(part*10+1 AS INT), 10) AS aligned FROM
-        (SELECT member, row_id, residues, unnest(range(0, length(residues)//10)) AS part FROM
+        (SELECT member, row_id, residues, unnest(range(0, (length(residues)+9)//10)) AS part FROM
           (SELECT source AS member, doc_id AS row_id,
              upper(regexp_replace(text,'[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]','','g')) AS residues FROM documents))""",
 }

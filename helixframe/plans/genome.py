@@ -157,7 +157,7 @@ def seed_matches(fx):
 HSP_SCORE = 2200
 DROP = g.drop_off("far")
 _LANE = "t_id, q_id, strand, diag"
-view("v_anchor", f"""SELECT *, row_number() OVER (ORDER BY {_LANE}, a) AS k, lag(e) OVER (PARTITION BY {_LANE} ORDER BY a) AS pe FROM
+view("v_seed_anchor", f"""SELECT *, row_number() OVER (ORDER BY {_LANE}, a) AS k, lag(e) OVER (PARTITION BY {_LANE} ORDER BY a) AS pe FROM
     (SELECT {_LANE}, min(t_pos) AS a, max(t_pos)+19 AS e FROM
       (SELECT *, sum(o) OVER (PARTITION BY {_LANE} ORDER BY t_pos) AS island FROM
         (SELECT *, CASE WHEN t_pos<=lag(t_pos) OVER (PARTITION BY {_LANE} ORDER BY t_pos)+19 THEN 0 ELSE 1 END AS o FROM
@@ -176,15 +176,15 @@ def _walk_views(name, table, positions, step):
         QUALIFY row_number() OVER (PARTITION BY k ORDER BY g DESC, n)=1""")
 
 
-_walk_views("v_left", "v_anchor", "range(greatest(1, diag+1, coalesce(pe,1)), a)", "a-pos")
-view("v_core", """SELECT k, sum(b.s) AS core FROM (SELECT x.*, unnest(range(a, e)) AS pos, t.seq AS ts, q.seq AS qs FROM v_anchor x
+_walk_views("v_left", "v_seed_anchor", "range(greatest(1, diag+1, coalesce(pe,1)), a)", "a-pos")
+view("v_anchor_core", """SELECT k, sum(b.s) AS core FROM (SELECT x.*, unnest(range(a, e)) AS pos, t.seq AS ts, q.seq AS qs FROM v_seed_anchor x
     JOIN f1_sequence t ON t.seq_id=t_id JOIN v_form q ON q.seq_id=q_id AND q.strand=x.strand) JOIN v_subst b ON b.distance='far'
     AND b.b1=substr(ts,CAST(pos AS INT),1) AND b.b2=substr(qs,CAST(pos-diag AS INT),1) GROUP BY 1""")
 view("v_run", f"""SELECT {_LANE}, min(k) AS k, min(a) AS a, max(e) AS e, arg_min(best, a) AS lbest, arg_min(best_len, a) AS llen,
     sum(core)+sum(CASE WHEN joins THEN gap ELSE 0 END) AS score FROM
     (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY {_LANE} ORDER BY a) AS run FROM
-      (SELECT x.*, c.core, coalesce(b.best,0) AS best, coalesce(b.best_len,0) AS best_len, pe IS NOT NULL AND fall IS NULL AS joins, z.g AS gap FROM v_anchor x
-       JOIN v_core c USING (k) LEFT JOIN v_left_best b USING (k) LEFT JOIN v_left_fall f USING (k)
+      (SELECT x.*, c.core, coalesce(b.best,0) AS best, coalesce(b.best_len,0) AS best_len, pe IS NOT NULL AND fall IS NULL AS joins, z.g AS gap FROM v_seed_anchor x
+       JOIN v_anchor_core c USING (k) LEFT JOIN v_left_best b USING (k) LEFT JOIN v_left_fall f USING (k)
        LEFT JOIN (SELECT k, arg_max(g, n) AS g FROM v_left_step GROUP BY 1) z USING (k))) GROUP BY {_LANE}, run""")
 _walk_views("v_right", "v_run", "range(e, least(length(t.seq), length(q.seq)+diag)+1)", "pos-e+1")
 

@@ -29,6 +29,8 @@ def query(name: str, sql: str | None = None):
 
 def view(name: str, sql: str) -> None:
     """Add a named intermediate that oracle statements may build on."""
+    if ORACLE_VIEWS.get(name, sql) != sql:
+        raise ValueError(f"view {name!r} stated twice")
     ORACLE_VIEWS[name] = sql
 
 

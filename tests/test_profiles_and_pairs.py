@@ -185,3 +185,18 @@ def test_merge_rounds_give_the_average_linkage_tree(spark):
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     assert clusters.newick(merges).first()["tree"].count("m") == 7
+
+
+def test_error_function_of_arrays():
+    import math
+
+    import numpy as np
+
+    from helixframe.functions.special import chi2_tail_3df, erfc_array, normal_cdf
+
+    x = np.concatenate([np.linspace(-8, 12, 2001), [0.0, 2.5, -2.5, 26.0, 40.0, np.inf, -np.inf]])
+    want = np.array([math.erfc(v) for v in x])
+    got = erfc_array(x)
+    assert np.all(np.abs(got - want) <= 1e-14 + 1e-10 * want)
+    assert normal_cdf(np.zeros(0)).size == 0 and chi2_tail_3df(np.zeros(0)).size == 0
+    assert abs(normal_cdf(np.array([1.96]))[0] - 0.9750021048517795) < 1e-14
