@@ -8,8 +8,9 @@ time stamp; its first packet carries the random-access flag and the clock
 reference, its last one is filled up with adaptation-field stuffing.
 
 ``demux`` reads such bytes back, also those from elsewhere: it finds the stream
-through the tables, checks continuity counters, joins the packets into units
-and returns payload, time stamps and random-access points.
+through the tables (all sections, also those over several packets or several in
+one; those that fail are counted in ``section_errors``), checks continuity
+counters, joins the packets into units and returns payload, time stamps and random-access points.
 
 Results: a null or empty text is a payload of 64 zero bytes.  A null stream has
 no payload (null) and no units; bytes that are no transport stream give an empty
@@ -47,7 +48,7 @@ UNIT = T.StructType([
 READ = [
     T.StructField("payload", T.BinaryType()), T.StructField("packets", T.LongType()), T.StructField("programs", T.IntegerType()),
     T.StructField("sync_errors", T.LongType()), T.StructField("continuity_errors", T.LongType()),
-    T.StructField("units", T.ArrayType(UNIT)),
+    T.StructField("section_errors", T.LongType()), T.StructField("units", T.ArrayType(UNIT)),
 ]
 
 
@@ -127,18 +128,45 @@ def write_stream(payload: bytes) -> bytes:
     return np.concatenate(packets).tobytes() if packets else b""
 
 
-def _sections(bodies: list[bytes], table_id: int) -> list[bytes]:
-    """Whole sections of one table that start in the given packet bodies and check out."""
-    found = []
-    for body in bodies:
-        if not body:
-            continue
-        section = body[1 + body[0] :]
-        if len(section) >= 12 and section[0] == table_id:
-            size = 3 + (struct.unpack(">H", section[1:3])[0] & 0x0FFF)
-            if 12 <= size <= len(section) and _section_crc(section[:size]) == 0:
-                found.append(section[8 : size - 4])
-    return list(dict.fromkeys(found))
+def _sections(packets: list[tuple[bool, int, bytes]], table_id: int) -> tuple[list[bytes], int]:
+    """Bodies of the current sections of one table, and how many sections fail their checksum or stay unfinished.
+
+    ``packets`` are those of the table's PID with a body, in order: whether a section begins there, counter, body.
+    A section may go on over several packets, and several may stand in one.
+    """
+    found: dict[bytes, None] = {}
+    errors, held, before = 0, None, None
+
+    def take(data: bytes) -> bytes | None:
+        """Reads the whole sections; returns the beginning of an unfinished one."""
+        nonlocal errors
+        while data and data[0] != 0xFF:  # filling
+            size = 3 + (struct.unpack(">H", data[1:3])[0] & 0x0FFF) if len(data) >= 3 else len(data) + 1
+            if len(data) < size:
+                return data
+            section, data = data[:size], data[size:]
+            if section[0] == table_id:
+                if size < 12 or _section_crc(section):
+                    errors += 1
+                elif section[5] & 1:  # not one that is yet to come
+                    found[section[8:-4]] = None
+        return None
+
+    for begins, counter, body in packets:
+        if before == (counter, body):
+            continue  # repeated
+        lost = before is not None and counter != before[0] + 1 & 15
+        before = (counter, body)
+        if lost and held is not None:
+            errors, held = errors + 1, None
+        if begins:
+            ahead = 1 + body[0] if body else 0
+            if held is not None and take(held + body[1:ahead]) is not None:
+                errors += 1
+            held = take(body[ahead:])
+        elif held is not None:
+            held = take(held + body)
+    return list(found), errors + (held is not None)
 
 
 def read_stream(data: bytes) -> dict:
@@ -147,7 +175,7 @@ def read_stream(data: bytes) -> dict:
     grid = np.frombuffer(data, np.uint8, count * PACKET).reshape(count, PACKET)
     good = grid[:, 0] == SYNC
     out = {
-        "payload": b"", "packets": count, "programs": 0, "continuity_errors": 0, "units": [],
+        "payload": b"", "packets": count, "programs": 0, "continuity_errors": 0, "section_errors": 0, "units": [],
         "sync_errors": int((~good).sum()) + (len(data) % PACKET > 0),
     }
     number = np.flatnonzero(good & (grid[:, 1] & 0x80 == 0))  # without packets marked as damaged
@@ -157,22 +185,26 @@ def read_stream(data: bytes) -> dict:
     begins = np.where(control & 2 > 0, 5 + grid[:, 4].astype(np.int64), 4)
     begins = np.where(control & 1 > 0, np.minimum(begins, PACKET), PACKET)
 
-    def starts_of(wanted):
-        at = np.flatnonzero((pid == wanted) & (grid[:, 1] & 0x40 > 0))
-        # Repetitions are the same bytes but for the counter.
-        return list(dict.fromkeys(grid[i, begins[i] :].tobytes() for i in at))
+    def sections(wanted: int, table_id: int) -> list[bytes]:
+        at = np.flatnonzero((pid == wanted) & (control & 1 > 0))
+        packets = [(bool(grid[i, 1] & 0x40), int(grid[i, 3] & 15), grid[i, begins[i] :].tobytes()) for i in at]
+        bodies, errors = _sections(packets, table_id)
+        out["section_errors"] += errors
+        return bodies
 
-    streams = []
-    for association in _sections(starts_of(PAT_PID), 0x00):
+    streams, maps = [], []
+    for association in sections(PAT_PID, 0x00):
         for program, map_pid in struct.iter_unpack(">HH", association[: len(association) // 4 * 4]):
             if program:
                 out["programs"] += 1
-                for body in _sections(starts_of(map_pid & 0x1FFF), 0x02):
-                    at = 4 + (struct.unpack(">H", body[2:4])[0] & 0x0FFF)
-                    while at + 5 <= len(body):
-                        _, stream, info = struct.unpack(">BHH", body[at : at + 5])
-                        streams.append(stream & 0x1FFF)
-                        at += 5 + (info & 0x0FFF)
+                maps.append(map_pid & 0x1FFF)
+    for map_pid in dict.fromkeys(maps):
+        for body in sections(map_pid, 0x02):
+            at = 4 + (struct.unpack(">H", body[2:4])[0] & 0x0FFF)
+            while at + 5 <= len(body):
+                _, stream, info = struct.unpack(">BHH", body[at : at + 5])
+                streams.append(stream & 0x1FFF)
+                at += 5 + (info & 0x0FFF)
     payload = []
     held = 0
     for stream in dict.fromkeys(streams):
@@ -236,10 +268,10 @@ def mux(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFra
 
 
 def demux(streams: DataFrame, media: str = "media") -> DataFrame:
-    """Add ``payload, packets, programs, sync_errors, continuity_errors, units`` of each stream."""
+    """Add ``payload, packets, programs, sync_errors, continuity_errors, section_errors, units`` of each stream."""
     kept, names = _passed(streams, {f.name for f in READ})
     units = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("packet", pa.int64()), ("random_access", pa.bool_())]))
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), units]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), units]
 
     def run(batches):
         for part in slices(batches, media):
@@ -266,7 +298,7 @@ def op3(spark, sf_dir):
         F.concat_ws(
             " ",
             F.format_string("packets=%d programs=%d units=%d", "packets", "programs", F.size("units")),
-            F.format_string("errors=%d", F.col("sync_errors") + F.col("continuity_errors")),
+            F.format_string("errors=%d", F.col("sync_errors") + F.col("continuity_errors") + F.col("section_errors")),
             F.format_string("random_access=%d last_pts=%d", F.size(points), F.coalesce(F.array_max("units.pts"), F.lit(-1))),
         ).alias("feature"),
         "packets",
