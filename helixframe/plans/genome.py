@@ -69,11 +69,23 @@ def lift_up(fx):
     return carried.unionByName(g.lift_up(results, lift, "error").withColumn("mode", F.lit("error")))
 
 
-@query("merge_part_results", "SELECT feature_id, seq_id, kind, f_start, f_end, strand FROM f10_feature")
+# Features found chunk by chunk: in chunk coordinates, written in parts, those in a lap found twice.
+@query("merge_part_results", f"""SELECT DISTINCT feature_id AS result_id, CAST(f.seq_id AS VARCHAR) AS seq, CAST(f_start-1 AS BIGINT) AS start, CAST(f_end AS BIGINT) AS "end"
+    FROM f10_feature f JOIN v_chunk c ON c.seq_id=f.seq_id AND f_start-1>="offset" AND f_end<="offset"+c.size""")
 def merge_part_results(fx):
+    chunks = g.chunks(fx.size, CHUNK, LAP).select("seq_id", F.col("start").alias("c_start"), F.col("end").alias("c_end"), g.chunk_name().alias("chunk"))
+    own = F.floor((F.col("f_start") - 1) / CHUNK) * CHUNK
+    # A feature begins in its own chunk and, if near its beginning, in the lap of the one before.
+    near = fx.feature.withColumn("c_start", F.explode(F.array(own, own - CHUNK)))
+    found = near.join(chunks, ["seq_id", "c_start"]).where((F.col("f_start") - 1 >= F.col("c_start")) & (F.col("f_end") <= F.col("c_end")))
+    results = found.select(
+        F.col("feature_id").alias("result_id"), "chunk", (F.col("f_start") - 1 - F.col("c_start")).alias("start"),
+        (F.col("f_end") - F.col("c_start")).alias("end"), F.pmod(F.floor(F.col("c_start") / CHUNK), F.lit(8)).alias("part"),
+    )
     path = scratch_path(fx.spark, "parts")
-    fx.feature.withColumn("part", F.col("seq_id") % 8).write.partitionBy("part").parquet(path)
-    return fx.spark.read.parquet(path).select("feature_id", "seq_id", "kind", "f_start", "f_end", "strand")
+    results.write.partitionBy("part").parquet(path)
+    lift = g.lift_table(chunk_names(fx).select("chunk"), fx.size)
+    return g.lift_up(fx.spark.read.parquet(path).drop("part"), lift).drop("status").distinct()
 
 
 @query("soft_mask", """WITH cover AS (SELECT DISTINCT seq_id, unnest(range(f_start, f_end+1)) AS pos FROM f10_feature WHERE kind='other'),
