@@ -16,8 +16,8 @@ whole text.
 
 Results: null and empty texts have no terms and get the score of the bias.
 Of several labels of one id the mean counts; rows of one id all take part.
-Repeated rows are scored one by one.  Without usable labels every score is 0.
-Other columns pass through; ``score`` is replaced.
+Repeated rows are scored one by one.  Without usable labels, or if none of them is
+toxic, every score is next to 0; if all of them are, next to 1.  Other columns pass through; ``score`` is replaced.
 """
 
 from __future__ import annotations
