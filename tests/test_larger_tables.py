@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import scanning
+from helixframe.operators import genome, scanning
 from helixframe.operators.ordered import prefix_scan, segments
 from helixframe.operators.ranges import sweep
 from helixframe.plans import catalogue
@@ -124,3 +124,14 @@ def test_hits_come_as_arrow_batches():
     assert all(isinstance(p, pa.RecordBatch) for p in parts)
     got = {(r["seq_id"], r["start"], r["end"], r["strand"], r["site"]) for p in parts for r in p.to_pylist()}
     assert got == {(7, 1, 3, 1, "ACG"), (7, 2, 4, -1, "ACG")}
+
+
+def test_seed_matches_are_not_moved_after_the_join_on_words(spark):
+    rnd = random.Random(3)
+    letters = {i: "".join(rnd.choice("ACGT") for _ in range(60)) for i in (1, 2)}
+    texts = spark.createDataFrame([(1, letters[1]), (2, letters[2])], "seq_id bigint, seq string")
+    found = genome.seed_matches(texts, spark.createDataFrame([(3, letters[1][20:50])], "seq_id bigint, seq string"), 50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Join " in line)
+    assert "word" in top and "q_id" not in top
+    assert {tuple(r) for r in found.where("strand = 1").collect()} == {(1, 20 + i, 3, 1, i) for i in range(1, 13)}
