@@ -283,20 +283,29 @@ view("v_mi", """SELECT x.i, x.j, sum(p*log2(p/(m.f*d.f))) AS mi FROM v_joint x J
     JOIN v_domain d ON d.j=x.j AND d.res=x.res WHERE p>0 AND m.f>0 AND d.f>0 GROUP BY ALL""")
 
 
+def _residues(fx):
+    """Residue counts of all members, written once: the texts are read for them a single time."""
+    if "residues" not in fx.kept:
+        fx.kept["residues"] = cut_lineage(p.residue_counts(fx.protein, "member", "aligned"))
+    return fx.kept["residues"]
+
+
 def _protein(fx):
-    residues = p.residue_counts(fx.protein, "member", "aligned")
+    residues = _residues(fx)
     sums = residues.groupBy("member", "pos").agg(F.sum("n").alias("w"))
     return residues.join(sums, ["member", "pos"]).select("member", "pos", "res", (F.col("n") / F.col("w")).alias("f"))
 
 
 def _domain(fx):
-    cells = p.residue_counts(fx.protein, "member", "aligned").groupBy("pos", "res").agg(F.sum("n").alias("n"))
+    cells = _residues(fx).groupBy("pos", "res").agg(F.sum("n").alias("n"))
     sums = cells.groupBy("pos").agg(F.sum("n").alias("w"))
     return cells.join(sums, "pos").select("pos", "res", (F.col("n") / F.col("w")).alias("f"))
 
 
 def _dna(fx):
-    return p.pseudo_frequencies(counts(fx)).withColumnRenamed("matrix_id", "member")
+    if "dna" not in fx.kept:
+        fx.kept["dna"] = cut_lineage(p.pseudo_frequencies(counts(fx)).withColumnRenamed("matrix_id", "member"))
+    return fx.kept["dna"]
 
 
 def joint(fx):
@@ -306,7 +315,7 @@ def joint(fx):
 
 
 def information_pairs(fx):
-    one = _dna(fx).join(fx.protein.select("member").distinct(), "member", "left_semi").select(
+    one = _dna(fx).join(_residues(fx).select("member").distinct(), "member", "left_semi").select(
         F.lit(0).alias("cluster"), F.col("member").alias("matrix_id"), "pos", *BASES
     )
     merged = p.long(k.merge_mean(one).withColumnRenamed("cluster", "matrix_id"), "f").select("pos", "base", "f")
