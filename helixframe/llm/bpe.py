@@ -10,7 +10,8 @@ it costs a logarithmic number of node updates.  Matches of up to
 longer ones through one tree on lists; both follow the same steps.
 
 The ids of a match do not depend on where it stands, so each worker keeps those
-of the matches it has met, up to ``CACHE_ENTRIES``; beyond that it starts anew.
+of the matches it has met, up to ``CACHE_ENTRIES``, in two halves: when the newer
+one is full it becomes the older one, and what is not met again goes with it.
 
 Results: a null text counts as empty; an empty text has no ids.  Decoding skips
 null ids and ids outside the vocabulary; a null id list decodes to no bytes.
@@ -23,6 +24,7 @@ those names.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from itertools import chain
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from helixframe.llm.common import query, slices, table, texts_of
 
 BATCH_BYTES = 64
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -68,6 +70,8 @@ class Vocabulary:
                     self.pairs[left << 32 | right] = rank
         self.pair_keys = np.array(sorted(self.pairs), np.int64)
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        # Pairs of single bytes, which every match begins with, by a table.
+        self.byte_pairs = self.pair_rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, ``_NONE`` where the join is no token."""
@@ -134,7 +138,8 @@ def merge_many(data: list[bytes], width: int, vocabulary: Vocabulary) -> list[by
     after[:, :width] = np.where(position + 1 < sizes[:, None], after[:, :width], width)
     alive = position < sizes[:, None]
     tree = np.full((rows, 2 * width), _NONE, np.int64)
-    ranks = vocabulary.pair_rank(ids[:, : width - 1], ids[:, 1:width])
+    bytes_ = raw.astype(np.int64)
+    ranks = vocabulary.byte_pairs[bytes_[:, : width - 1] << 8 | bytes_[:, 1:]]
     live = (position[:-1] + 1 < sizes[:, None]) & (ranks != _NONE)
     # rank * width + position: the minimum is the leftmost pair of least rank.
     tree[:, width : 2 * width - 1] = np.where(live, ranks * width + position[:-1], _NONE)
@@ -142,36 +147,44 @@ def merge_many(data: list[bytes], width: int, vocabulary: Vocabulary) -> list[by
     while step:
         tree[:, step : 2 * step] = np.minimum(tree[:, 2 * step : 4 * step : 2], tree[:, 2 * step + 1 : 4 * step : 2])
         step //= 2
+    # The same arrays in one row each: places are taken by one index.
+    nodes, ids_at, after_at, before_at = tree.reshape(-1), ids.reshape(-1), after.reshape(-1), before.reshape(-1)
 
     def put(row, place, value):
-        node = width + place
-        tree[row, node] = value
-        while node[0] > 1:
-            node = node >> 1
-            tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+        base, node, at = row * (2 * width), width + place, width
+        nodes[base + node] = value
+        while at > 1:
+            at, node = at >> 1, node >> 1
+            below = base + 2 * node
+            nodes[base + node] = np.minimum(nodes[below], nodes[below + 1])
 
     def pair_at(row, place):
-        follower = after[row, place]
-        rank = vocabulary.pair_rank(ids[row, place], ids[row, follower])
-        return np.where((follower < width) & (rank != _NONE), np.where(rank == _NONE, 0, rank) * width + place, _NONE)
+        base = row * (width + 1)
+        follower = after_at[base + place]
+        value = np.full(len(row), _NONE)
+        some = np.flatnonzero(follower < width)
+        rank = vocabulary.pair_rank(ids_at[base[some] + place[some]], ids_at[base[some] + follower[some]])
+        value[some] = np.where(rank == _NONE, _NONE, np.where(rank == _NONE, 0, rank) * width + place[some])
+        return value
 
     row = np.flatnonzero(tree[:, 1] != _NONE)
     while len(row):
-        low = tree[row, 1]
+        low = nodes[row * (2 * width) + 1]
         here = low % width
-        gone = after[row, here]
-        ids[row, here] = low // width
-        follower = after[row, gone]
-        after[row, here] = follower
-        before[row, follower] = here
+        base = row * (width + 1)
+        gone = after_at[base + here]
+        ids_at[base + here] = low // width
+        follower = after_at[base + gone]
+        after_at[base + here] = follower
+        before_at[base + follower] = here
         alive[row, gone] = False
         put(row, gone, _NONE)
         put(row, here, pair_at(row, here))
-        left = before[row, here]
-        some = left >= 0
-        if some.any():
+        left = before_at[base + here]
+        some = np.flatnonzero(left >= 0)
+        if len(some):
             put(row[some], left[some], pair_at(row[some], left[some]))
-        row = row[tree[row, 1] != _NONE]
+        row = row[nodes[row * (2 * width) + 1] != _NONE]
     sizes = 4 * alive.sum(axis=1)
     flat = ids[:, :width][alive].astype("<i4").tobytes()
     ends = np.cumsum(sizes).tolist()
@@ -185,36 +198,54 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}  # ids of 32 bits each
+        self.older: dict[str, bytes] = {}
 
     def learn(self, matches: list[str]) -> None:
-        if len(self.known) + len(matches) > CACHE_ENTRIES:
-            self.known.clear()
-        classes: dict[int, list[tuple[str, bytes]]] = {}
-        for match in matches:
-            data = match.encode("utf-8", "replace")
-            whole = self.vocabulary.rank.get(data)
-            if whole is not None:
-                self.known[match] = whole.to_bytes(4, "little")
-            elif len(data) > BATCH_BYTES:
-                self.known[match] = np.array(merge_one(data, self.vocabulary), "<i4").tobytes()
-            else:
-                classes.setdefault(1 << (len(data) - 1).bit_length(), []).append((match, data))
-        for width, members in classes.items():
+        if len(self.known) + len(matches) > CACHE_ENTRIES // 2:
+            self.older, self.known = self.known, {}
+        again = {m: self.older[m] for m in matches if m in self.older}
+        if again:
+            self.known.update(again)
+            matches = [m for m in matches if m not in again]
+        data = [m.encode("utf-8", "replace") for m in matches]
+        whole = list(map(self.vocabulary.rank.get, data))
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        # Tokens are known as they are; the others by the least power of two that holds their bytes.
+        width = np.where(sizes > BATCH_BYTES, -1, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        width[[rank is not None for rank in whole]] = 0
+        for w in np.unique(width).tolist():
+            members = np.flatnonzero(width == w).tolist()
             for begin in range(0, len(members), 8192):
                 part = members[begin : begin + 8192]
-                self.known.update(zip((m for m, _ in part), merge_many([d for _, d in part], width, self.vocabulary)))
+                if w == 0:
+                    ids = [whole[i].to_bytes(4, "little") for i in part]
+                elif w < 0:
+                    ids = [np.array(merge_one(data[i], self.vocabulary), "<i4").tobytes() for i in part]
+                else:
+                    ids = merge_many([data[i] for i in part], w, self.vocabulary)
+                self.known.update(zip([matches[i] for i in part], ids))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
+        # No cycles are made here, and the collector would walk the long lists again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.split(t) for t in texts]
         matches = list(chain.from_iterable(split))
-        distinct = set(matches)
-        fresh = [m for m in distinct if m not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE_ENTRIES:
-                fresh = list(distinct)
+        found = list(map(self.known.get, matches))
+        if None in found:
+            places = [i for i, ids in enumerate(found) if ids is None]
+            fresh = list({matches[i] for i in places})
             self.learn(fresh)
-        found = [self.known[m] for m in matches]
+            for i in places:
+                found[i] = self.known[matches[i]]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = np.frombuffer(b"".join(found), "<i4")
         upto = np.concatenate([[0], np.cumsum(lengths)])

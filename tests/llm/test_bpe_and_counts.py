@@ -99,3 +99,17 @@ def test_limit_answers(spark, tmp_path, texts, reference):
         assert row["ids_cut"] == sum(min(n, row["context_limit"]) for n in lengths)
     half = answers.agg(token_counts.quantile(answers, 0.5).alias("q")).first()["q"]
     assert half == sorted(lengths)[-(-len(lengths) // 2) - 1]
+
+
+def test_matches_met_again_stay_known(monkeypatch):
+    """What the newer half of the cache pushes out is taken from the older one, not merged again."""
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 8)
+    work = bpe.Encoder(*bpe.default_vocabulary())
+    words = ["qzxqzx", "wvkjwvkj", "zzqqxxjj"]
+    want = [work.encode([w])[0].tolist() for w in words]
+    work.encode(["kkvvkkvv"]), work.encode(["jjwwqq"])
+    merged = []
+    many = bpe.merge_many
+    monkeypatch.setattr(bpe, "merge_many", lambda data, *rest: merged.extend(data) or many(data, *rest))
+    assert [work.encode([w])[0].tolist() for w in words] == want
+    assert not merged
