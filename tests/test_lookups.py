@@ -27,7 +27,7 @@ def _broadcast(df):
             yield " ".join(lines[i:below])
 
 
-@pytest.mark.parametrize("name", ["coord_lookup"])
+@pytest.mark.parametrize("name", ["coord_lookup", "view_range"])
 def test_positions_of_alignments_do_not_come_to_the_driver(spark, tmp_path, name):
     rnd = random.Random(3)
     texts = {i: "".join(rnd.choice("ACGT") for _ in range(400)) for i in range(4)}
@@ -48,3 +48,19 @@ def test_places_across_lead_to_the_other_sequence(spark, monkeypatch):
     want = points.join(index.where("p1 IS NOT NULL").select("aln_id", "p1", "p2"), ["aln_id", "p1"], "left")
     key = lambda df: sorted(map(str, ((r.id, r.aln_id, r.p1, r.p2) for r in df.collect())))
     assert key(found) == key(want) and dict(found.dtypes)["p2"] == "int"
+
+
+def test_ranges_are_mapped_as_by_the_index(spark, monkeypatch):
+    monkeypatch.setattr(footprint, "FRAME_ROWS", 7)
+    draw = random.Random(6)
+    alignment = spark.createDataFrame([(aln, apos, draw.choice("ACGT-"), "A") for aln in (1, 2) for apos in range(1, 50)] + [(3, 1, "-", "A")], "aln_id long, apos int, c1 string, c2 string")
+    at = {(r.aln_id, r.p1): r.apos for r in footprint.alignment_index(alignment).collect() if r.p1}
+    asked = [(aln, a, b) for aln in (1, 2, 3, 4, None) for a, b in ((-3, 10), (30, 4), (5, 5), (40, 99), (5, 5))]
+    want = []
+    for aln, a, b in asked:
+        n = max((p for k, p in at if k == aln), default=None)
+        if n:
+            low, high = (min(max(x, 1), n) for x in sorted((a, b)))
+            want.append((aln, a, b, at[aln, low], at[aln, high]))
+    requests = spark.createDataFrame(asked, "aln_id long, r_from int, r_to int")
+    assert sorted(map(tuple, footprint.view_range(requests, footprint.alignment_index(alignment, places=True)).collect())) == sorted(want)
