@@ -27,7 +27,7 @@ def _broadcast(df):
             yield " ".join(lines[i:below])
 
 
-@pytest.mark.parametrize("name", ["coord_lookup", "view_range"])
+@pytest.mark.parametrize("name", ["coord_lookup", "view_range", "paired_sites"])
 def test_positions_of_alignments_do_not_come_to_the_driver(spark, tmp_path, name):
     rnd = random.Random(3)
     texts = {i: "".join(rnd.choice("ACGT") for _ in range(400)) for i in range(4)}
@@ -64,3 +64,16 @@ def test_ranges_are_mapped_as_by_the_index(spark, monkeypatch):
             want.append((aln, a, b, at[aln, low], at[aln, high]))
     requests = spark.createDataFrame(asked, "aln_id long, r_from int, r_to int")
     assert sorted(map(tuple, footprint.view_range(requests, footprint.alignment_index(alignment, places=True)).collect())) == sorted(want)
+
+
+def test_hits_pair_off_by_places_as_by_the_index(spark):
+    draw = random.Random(7)
+    alignment = spark.createDataFrame([(aln, apos, *draw.choice(["AA", "CC", "AC", "-A", "G-"])) for aln in (1, 2) for apos in range(1, 200)], "aln_id long, apos int, c1 string, c2 string")
+    index = footprint.alignment_index(alignment)
+    profile = footprint.conservation(index)
+    hits = [spark.createDataFrame([(draw.choice([1, 2, 3]), draw.choice("mn"), s, s + 3, draw.choice([1, -1]), 1.0, "ACGT") for s in range(1, 150)],
+                                  "aln_id long, matrix_id string, start int, end int, strand int, score double, site string") for _ in "ab"]
+    cutoffs = profile.groupBy("aln_id").agg(F.lit(10.0).alias("cutoff"))
+    plain, by_places = (footprint.paired_sites(*hits, index, profile, cutoffs, places=p) for p in (None, footprint.alignment_index(alignment, places=True)))
+    assert sorted(map(str, by_places.collect())) == sorted(map(str, plain.collect())) != []
+    assert by_places.dtypes == plain.dtypes
