@@ -27,7 +27,7 @@ def _broadcast(df):
             yield " ".join(lines[i:below])
 
 
-@pytest.mark.parametrize("name", ["coord_lookup", "view_range", "paired_sites", "hit_pair_table"])
+@pytest.mark.parametrize("name", ["coord_lookup", "view_range", "paired_sites", "hit_pair_table", "filtering_ratio"])
 def test_positions_of_alignments_do_not_come_to_the_driver(spark, tmp_path, name):
     rnd = random.Random(3)
     texts = {i: "".join(rnd.choice("ACGT") for _ in range(400)) for i in range(4)}
