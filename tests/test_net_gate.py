@@ -1,6 +1,7 @@
 """The gate of the net pipeline: inputs that are not complete stay out."""
 
-from helixframe.plans import catalogue
+from helixframe.operators import chains
+from helixframe.plans import catalogue, fixtures, genome
 
 
 def test_blocks_of_an_incomplete_input_stay_out_of_the_net(spark, tmp_path):
@@ -13,3 +14,16 @@ def test_blocks_of_an_incomplete_input_stay_out_of_the_net(spark, tmp_path):
     spark.createDataFrame(lines, "conv_id long, turn long, role string").write.parquet(f"{tmp_path}/conversations.parquet")
     rows = catalogue.queries()["net_pipeline"](spark, str(tmp_path)).collect()
     assert rows and {3 * int(r.t_name[1:]) + int(r.q_name[1:]) for r in rows} == set(range(15)) - cut_off
+
+
+def test_nets_move_no_query_side_of_their_chains(spark, tmp_path, monkeypatch):
+    rows = [(n, 1, n % 7 + 1, n % 5 + 1, 900.0 + n, "1995-01-01", 30, "NR"[n % 2]) for n in range(60)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate string, l_quantity long, l_returnflag string"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    ranked, sort = [], chains.sort_chains
+    monkeypatch.setattr(chains, "sort_chains", lambda df: ranked.append(df.columns) or sort(df))
+    narrow = catalogue.queries()["net_to_alignments"](spark, str(tmp_path)).collect()
+    assert [set(c) & {"q_name", "q_start", "q_end", "strand", "blocks"} for c in ranked] == [set()]
+    fx = fixtures.Fixtures(spark, str(tmp_path))
+    whole = chains.net_blocks(chains.net_pieces(genome.ranked(fx), genome.chained(fx)), genome.chained(fx)).drop("chain_id")
+    assert sorted(map(str, narrow)) == sorted(map(str, whole.collect())) != []
