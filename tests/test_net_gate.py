@@ -1,6 +1,6 @@
 """The gate of the net pipeline: inputs that are not complete stay out."""
 
-from helixframe.operators import chains
+from helixframe.operators import chains, ordered
 from helixframe.plans import catalogue, fixtures, genome
 
 
@@ -16,6 +16,17 @@ def test_blocks_of_an_incomplete_input_stay_out_of_the_net(spark, tmp_path):
     assert rows and {3 * int(r.t_name[1:]) + int(r.q_name[1:]) for r in rows} == set(range(15)) - cut_off
 
 
+def test_blocks_are_written_with_their_chains_alone(spark, monkeypatch):
+    blocks = [(i, "t0", 50 * i, 50 * i + 20, "q0", 50 * i, 50 * i + 20, "+", 60) for i in range(30)]
+    rows = spark.createDataFrame(blocks, "block_id long, t_name string, t_start long, t_end long, q_name string, q_start long, q_end long, strand string, score long")
+    log = spark.createDataFrame([("a", 1, "# end")], "file_id string, line_no int, line string")
+    written, cut = [], chains.cut_lineage
+    for module in (chains, ordered):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    found = chains.net_pipeline(rows, 40, 100, log, "# end").collect()
+    assert len(found) == 30 and rows.columns not in written
+
+
 def test_nets_move_no_query_side_of_their_chains(spark, tmp_path, monkeypatch):
     rows = [(n, 1, n % 7 + 1, n % 5 + 1, 900.0 + n, "1995-01-01", 30, "NR"[n % 2]) for n in range(60)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate string, l_quantity long, l_returnflag string"
